@@ -148,24 +148,26 @@ def clip(c, lower=None, upper=None) -> Column:
     return F.when(x.isNotNull(), y)
 
 
-# Column synonyms (target <- source) of the served preprocessor.
+# Column synonyms of the served preprocessor (source -> canonical).
 SYNONYMS = {
-    "reviews": "review_count",
-    "number_of_offers": "offer_count",
-    "crawl_category": "category",
-    "price": "current_price",
-    "sales_volume": "sales",
+    "review_count": "reviews",
+    "offer_count": "number_of_offers",
+    "category": "crawl_category",
+    "is_choice": "is_amazon_choice",
+    "is_climate": "is_climate_friendly",
+    "has_variation": "has_variations",
 }
 
 
 def apply_synonyms(df: DataFrame, synonyms: Mapping[str, str] = SYNONYMS) -> DataFrame:
     """CLN-14: copy a synonym column into the canonical name when that is absent."""
-    add = {tgt: F.col(src) for tgt, src in synonyms.items()
+    add = {tgt: F.col(src) for src, tgt in synonyms.items()
            if tgt not in df.columns and src in df.columns}
     return df.withColumns(add) if add else df
 
 
-def conform(df: DataFrame, spec: Mapping[str, tuple[str, object]]) -> DataFrame:
+def conform(df: DataFrame, spec: Mapping[str, tuple[str, object]],
+            keep_rest: bool = True) -> DataFrame:
     """CLN-15: one projection to a declared schema ``{name: (type, default)}``.
 
     Absent columns get the default; present ones are try_cast, then filled.
@@ -186,7 +188,7 @@ def conform(df: DataFrame, spec: Mapping[str, tuple[str, object]]) -> DataFrame:
         if default is not None:
             v = F.coalesce(v, F.lit(default).cast(typ))
         cols.append(v.alias(name))
-    rest = [c for c in df.columns if c not in spec]
+    rest = [c for c in df.columns if c not in spec] if keep_rest else []
     return df.select(*cols, *rest)
 
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import bins
-from marketlens.operators.clean import dashboard_table
+from marketlens.operators.clean import ROW_ORDER, dashboard_table
+from marketlens.operators.ranking import first_per_key
 from marketlens.operators.joins import category_display
 from marketlens.sources.fixtures import raw_listings
 
@@ -23,6 +24,11 @@ KEY = ["asin", "row_k1", "row_k2", "row_k3"]
 OTHER_CATEGORY = "other"
 
 
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw listing text, first row per product (W-01), before any cleaning."""
+    return first_per_key(raw_listings(spark, sf_dir), "asin", ROW_ORDER)
+
+
 def listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned, deduplicated listing table the dashboard loads."""
     return dashboard_table(raw_listings(spark, sf_dir))
