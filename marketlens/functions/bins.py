@@ -100,10 +100,14 @@ def discount_class(rate_pct) -> Column:
     return F.when(d <= 0, 1).when(d <= 20, 2).when(d <= 50, 3).when(d > 50, 4)
 
 
-def price_tier(price) -> Column:
-    """FE-12: <=17.99 budget(1), <=46.99 mid(2), else premium(3)."""
+def price_tier(price, cents: bool = False) -> Column:
+    """FE-12: <=17.99 budget(1), <=46.99 mid(2), else premium(3).
+
+    ``cents=True`` compares integer cents (exact, no float edge effects)."""
     p = _c(price)
     lo, hi = PRICE_TIER_EDGES
+    if cents:
+        lo, hi = round(lo * 100), round(hi * 100)
     return F.when(p <= lo, 1).when(p <= hi, 2).otherwise(3)
 
 

@@ -69,9 +69,16 @@ def truncate_label(c, n: int) -> Column:
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("..."))).otherwise(x)
 
 
+def _one_decimal(v: Column, unit: float) -> Column:
+    """v/unit with one decimal, half rounded up, as text (exact for integer input)."""
+    tenths = F.floor(v / (unit / 10) + 0.5).cast("bigint")
+    return F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."),
+                    (tenths % 10).cast("string"))
+
+
 def compact_number(c) -> Column:
     """FE-29: 1500 -> '1.5K', 2500000 -> '2.5M', else the number as text."""
     v = _c(c).cast("double")
-    return (F.when(v >= 1e6, F.concat(F.format_string("%.1f", v / 1e6), F.lit("M")))
-            .when(v >= 1e3, F.concat(F.format_string("%.1f", v / 1e3), F.lit("K")))
+    return (F.when(v >= 1e6, F.concat(_one_decimal(v, 1e6), F.lit("M")))
+            .when(v >= 1e3, F.concat(_one_decimal(v, 1e3), F.lit("K")))
             .otherwise(_c(c).cast("string")))

@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"marketlens.plans.{name}")
 
 
-MODULES = ["q_price", "q_clean"]
+MODULES = ["q_price", "q_clean", "q_features", "q_market"]

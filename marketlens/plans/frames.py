@@ -91,6 +91,49 @@ def deal_frame(df: DataFrame) -> DataFrame:
         F.coalesce(F.col("is_prime"), F.lit(False)).alias("is_prime"))
 
 
+def badge_frame(df: DataFrame) -> DataFrame:
+    """Badge rows: 'other' category fallback, flags default false, price tier."""
+    price = _z("price_cents")
+    return df.select(
+        *KEY,
+        category_display(F.coalesce(F.col("crawl_category"), F.lit(UNKNOWN_CATEGORY)),
+                         fallback="other").alias("category"),
+        F.coalesce(F.col("is_amazon_choice"), F.lit(False)).alias("is_amazon_choice"),
+        F.coalesce(F.col("is_best_seller"), F.lit(True)).alias("is_best_seller"),
+        F.coalesce(F.col("is_prime"), F.lit(False)).alias("is_prime"),
+        price.alias("price_cents"), _z("sales_volume_num").alias("sales"),
+        F.coalesce(F.col("rating_x10"), F.lit(0)).alias("rating_x10"),
+        _z("reviews").alias("reviews"),
+        bins.price_tier(price, cents=True).alias("price_tier"))
+
+
+# Listing fields judged for completeness (the reference's
+# exclusion list applied to our table) and the quantitative ones among them.
+QUALITY_FIELDS = ["title", "price_cents", "original_price_cents", "rating", "reviews",
+                  "has_variations", "is_climate_friendly", "number_of_offers", "variants",
+                  "key_features", "full_description"]
+QUANTITATIVE_FIELDS = ["rating", "reviews", "number_of_offers"]
+
+
+def quality_frame(df: DataFrame) -> DataFrame:
+    """Listing-quality rows: provided flag per field, missing_count, segment
+    (p33/p67 of positive prices, defaults $10/$30; zero prices fall in LOW)."""
+    from marketlens.functions.text import is_missing
+    price = _z("price_cents")
+    provided = {f"has_{c}": ~is_missing(c, c in QUANTITATIVE_FIELDS) for c in QUALITY_FIELDS}
+    missing = sum((~v).cast("int") for v in provided.values())
+    base = df.select(
+        *KEY,
+        category_display(F.col("crawl_category"), fallback="raw").alias("category"),
+        _z("sales_volume_num").alias("sales"), price.alias("price_cents"),
+        *[v.alias(k) for k, v in provided.items()], missing.alias("missing_count"))
+    pos = base.where(F.col("price_cents") > 0)
+    q = pos.agg(F.percentile("price_cents", F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
+    p33 = q.select(F.coalesce(F.bround(F.col("q")[0], 0), F.lit(1000.0)).cast("bigint")).scalar()
+    p67 = q.select(F.coalesce(F.bround(F.col("q")[1], 0), F.lit(3000.0)).cast("bigint")).scalar()
+    return base.withColumn("segment", bins.segment("price_cents", p33, p67))
+
+
 def trust_frame(df: DataFrame) -> DataFrame:
     """Rating/review rows: category with the 'other' fallback, zero-filled measures."""
     return df.select(

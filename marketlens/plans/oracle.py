@@ -228,11 +228,60 @@ select asin, row_k1, row_k2, row_k3,
 from listing
 )"""
 
-BASE_CTES = [RAW_LISTINGS, PRODUCTS, CLEAN, LISTING, CATEGORY_DIM, MARKET, PRICE, DEAL, TRUST]
+BADGE = f"""
+badge as (
+select asin, row_k1, row_k2, row_k3,
+  {disp_other("coalesce(crawl_category, 'unknown')")} as category,
+  coalesce(is_amazon_choice, false) as is_amazon_choice,
+  coalesce(is_best_seller, true) as is_best_seller,
+  coalesce(is_prime, false) as is_prime,
+  coalesce(price_cents, 0) as price_cents, coalesce(sales_volume_num, 0) as sales,
+  coalesce(rating_x10, 0) as rating_x10, coalesce(reviews, 0) as reviews,
+  case when coalesce(price_cents, 0) <= 1799 then 1
+       when coalesce(price_cents, 0) <= 4699 then 2 else 3 end as price_tier
+from listing
+)"""
+
+QUALITY_FIELDS = ["title", "price_cents", "original_price_cents", "rating", "reviews",
+                  "has_variations", "is_climate_friendly", "number_of_offers", "variants",
+                  "key_features", "full_description"]
+QUANTITATIVE_FIELDS = ["rating", "reviews", "number_of_offers"]
+
+
+def missing_sql(c: str) -> str:
+    vocab = ["", "nan", "none", "[]", "{}", "false"]
+    if c not in QUANTITATIVE_FIELDS:
+        vocab += ["0", "0.0"]
+    return f"({c} is null or lower(trim(cast({c} as varchar))) in {_in(vocab)})"
+
+
+QUALITY = f"""
+quality_base as (
+select asin, row_k1, row_k2, row_k3, {disp_raw('crawl_category')} as category,
+  coalesce(sales_volume_num, 0) as sales, coalesce(price_cents, 0) as price_cents,
+  {", ".join(f"not {missing_sql(c)} as has_{c}" for c in QUALITY_FIELDS)},
+  {" + ".join(f"cast({missing_sql(c)} as int)" for c in QUALITY_FIELDS)} as missing_count
+from listing
+),
+quality_th as (
+select coalesce(cast(round_even(quantile_cont(price_cents, 0.33), 0) as bigint), 1000) as p33,
+       coalesce(cast(round_even(quantile_cont(price_cents, 0.67), 0) as bigint), 3000) as p67
+from quality_base where price_cents > 0
+),
+quality as (
+select b.*, case when price_cents <= (select p33 from quality_th) then 1
+                 when price_cents <= (select p67 from quality_th) then 2 else 3 end as segment
+from quality_base b
+)"""
+
+BASE_CTES = [RAW_LISTINGS, PRODUCTS, CLEAN, LISTING, CATEGORY_DIM, MARKET, PRICE, DEAL, TRUST,
+             BADGE, QUALITY]
 
 
 def with_base(body: str, extra: str = "") -> str:
     ctes = ",\n".join(c.strip() for c in BASE_CTES)
     if extra:
         ctes += ",\n" + extra.strip()
+    if body.lstrip().lower().startswith("with "):
+        body = f"select * from (\n{body}\n) q"
     return f"with {ctes}\n{body}"
