@@ -31,4 +31,5 @@ def load_all() -> None:
         importlib.import_module(f"marketlens.plans.{name}")
 
 
-MODULES = ["q_price", "q_clean", "q_features", "q_market"]
+MODULES = ["q_price", "q_clean", "q_features", "q_market", "q_quality", "q_profile",
+           "q_ranking"]
