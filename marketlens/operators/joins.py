@@ -71,6 +71,62 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
+def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str = "asin") -> DataFrame:
+    """J-02: search items left-joined to details and to the review endpoint.
+
+    ``details`` and ``reviews`` must be unique per key (pre-aggregated); both
+    grow with the data, so the joins shuffle on the key (no broadcast), and
+    AQE's skew handling splits a hot key on the search side.
+    """
+    d = details.select(key, *[F.col(c).alias(f"d_{c}") for c in details.columns if c != key],
+                       F.lit(True).alias("_has_details"))
+    r = reviews.select(key, *[F.col(c).alias(f"e_{c}") for c in reviews.columns if c != key])
+    return search.join(d, key, "left").join(r, key, "left") \
+        .withColumn("_has_details", F.coalesce(F.col("_has_details"), F.lit(False)))
+
+
+def merge_details(enriched: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """J-03: details keys override search keys, even when the details value is NULL."""
+    return enriched.withColumns({
+        f: F.when(F.col("_has_details"), F.col(f"d_{f}")).otherwise(F.col(f))
+        for f in fields if f"d_{f}" in enriched.columns})
+
+
+# Fields backfilled from search also when the detail text is "".
+TEXT_BACKFILL = ["title", "asin", "link", "image_url"]
+
+
+def backfill_from_search(merged: DataFrame, search_cols: dict[str, str],
+                         text_fields: Sequence[str] = TEXT_BACKFILL) -> DataFrame:
+    """J-04: fill gaps of the merged record from the search item.
+
+    ``search_cols`` maps field -> search column. Text identity fields are
+    filled when NULL or ""; others only when NULL. Then price and current
+    price fill each other (both directions).
+    """
+    out = {}
+    for f, s in search_cols.items():
+        if f in text_fields:
+            out[f] = F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(s))
+        else:
+            out[f] = F.coalesce(F.col(f), F.col(s))
+    df = merged.withColumns(out)
+    if "price_cents" in df.columns and "current_price_cents" in df.columns:
+        df = df.withColumns({
+            "price_cents": F.coalesce(F.col("price_cents"), F.col("current_price_cents")),
+            "current_price_cents": F.coalesce(F.col("current_price_cents"), F.col("price_cents"))})
+    return df
+
+
+def review_fallback(endpoint_reviews, detail_reviews, element_ddl: str, n: int = 3) -> Column:
+    """J-05: endpoint reviews when any, else the details' reviews, else []; first n."""
+    e = F.col(endpoint_reviews) if isinstance(endpoint_reviews, str) else endpoint_reviews
+    d = F.col(detail_reviews) if isinstance(detail_reviews, str) else detail_reviews
+    empty = F.array().cast(f"array<{element_ddl}>")
+    chosen = F.when(F.coalesce(F.size(e), F.lit(0)) > 0, e).otherwise(F.coalesce(d, empty))
+    return F.slice(chosen, 1, n)
+
+
 def keep_rows_with_key(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """J-06: rows whose key appears in ``keys`` (left semi join)."""
     return df.join(keys, list(on), "left_semi")
