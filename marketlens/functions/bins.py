@@ -17,17 +17,26 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def bucketize(c, edges: Sequence[float], closed: str = "left") -> Column:
-    """Index of the bin holding x. ``closed='left'``: [e_i, e_{i+1}); 'right': (e_i, e_{i+1}].
+def bucketize(c, edges: Sequence[float], closed: str = "left", open_end: bool = False) -> Column:
+    """1-based index of the bin holding x, as one CASE chain from the top edge.
 
-    Returns 1..len(edges)-1 for values inside, 0 below, len(edges) above; NULL stays NULL.
+    ``closed='left'``: bins [e_i, e_{i+1}); ``'right'``: (e_i, e_{i+1}].
+    ``open_end``: one more bin above the last edge (to +inf). Values outside
+    all bins, and NULL, give NULL. x is referenced once per edge only, so a
+    complex input expression stays small in generated code.
     """
     x = _c(c)
-    out = F.lit(0)
-    for e in edges:
-        hit = (x >= F.lit(e)) if closed == "left" else (x > F.lit(e))
-        out = out + hit.cast("int")
-    return F.when(x.isNotNull(), out)
+
+    def above(e):     # x lies past the lower boundary e of a bin
+        return x >= F.lit(e) if closed == "left" else x > F.lit(e)
+
+    n = len(edges)
+    top = n if open_end else n - 1
+    out = None if open_end else F.when(above(edges[-1]), F.lit(None))
+    for i in range(top, 0, -1):
+        cond = above(edges[i - 1])
+        out = F.when(cond, F.lit(i)) if out is None else out.when(cond, F.lit(i))
+    return out.cast("int")
 
 
 # The reference's bin edges and labels.
@@ -48,22 +57,20 @@ PRICE_TIER_EDGES = (17.99, 46.99)
 SEGMENT_LABELS = ["LOW", "MID", "HIGH"]
 
 
-def price_bin(price) -> Column:
-    """FE-13: [0,5,10,15,20,30,50,70,100,200,inf) left-closed -> 1..10; negatives -> NULL."""
-    b = bucketize(price, PRICE_BIN_EDGES, "left")
-    return F.when(b >= 1, b)
+def price_bin(price, scale: int = 1) -> Column:
+    """FE-13: [0,5,10,15,20,30,50,70,100,200,inf) left-closed -> 1..10; negatives -> NULL.
+    ``scale=100`` bins a price held in cents."""
+    return bucketize(price, [e * scale for e in PRICE_BIN_EDGES], "left", open_end=True)
 
 
 def discount_bin10(rate_pct) -> Column:
     """FE-14: ten bins of width 10 on the percent rate, last [90,101)."""
-    b = bucketize(rate_pct, DISCOUNT_BIN_EDGES, "left")
-    return F.when((b >= 1) & (b <= 10), b)
+    return bucketize(rate_pct, DISCOUNT_BIN_EDGES, "left")
 
 
 def discount_bin5(rate_pct) -> Column:
     """FE-15: five bins of width 20, last [80,101)."""
-    b = bucketize(rate_pct, DISCOUNT5_BIN_EDGES, "left")
-    return F.when((b >= 1) & (b <= 5), b)
+    return bucketize(rate_pct, DISCOUNT5_BIN_EDGES, "left")
 
 
 def rating_bin(rating, keep_zero_quirk: bool = True) -> Column:

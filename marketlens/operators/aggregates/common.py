@@ -33,7 +33,12 @@ def js_round(c) -> Column:
 def complete_bins(agg: DataFrame, bin_col: str, labels: Sequence[str],
                   fill: dict[str, object]) -> DataFrame:
     """Right join a grouped frame to its full bin list (1..len(labels)) so empty
-    bins appear with their fill values. The bin list is a literal of fixed size."""
+    bins appear with their fill values. The bin list is a literal of fixed size.
+
+    Rows outside every bin form a NULL group that the join drops. Callers do
+    not filter on the bin expression before grouping: such a filter would be
+    pushed below the projections with the whole measure expression inlined
+    once per edge."""
     spark = agg.sparkSession
     all_bins = spark.range(1, len(labels) + 1).select(
         F.col("id").cast("int").alias(bin_col))

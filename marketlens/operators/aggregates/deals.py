@@ -26,7 +26,6 @@ def deal_kpis(df: DataFrame) -> DataFrame:
 def discount_histogram(df: DataFrame) -> DataFrame:
     """AG-13: listings per 10-point discount bin, all ten bins."""
     g = (df.withColumn("discount_bin", discount_bin10("discount_pct"))
-         .where(F.col("discount_bin").isNotNull())
          .groupBy("discount_bin").agg(F.count(F.lit(1)).alias("listings")))
     return complete_bins(g, "discount_bin", DISCOUNT_BIN_LABELS, {"listings": 0})
 
@@ -35,7 +34,6 @@ def sales_by_discount(df: DataFrame) -> DataFrame:
     """AG-14: sales mean & median per discount bin over listings with sales."""
     g = (df.where(F.col("sales") > 0)
          .withColumn("discount_bin", discount_bin10("discount_pct"))
-         .where(F.col("discount_bin").isNotNull())
          .groupBy("discount_bin")
          .agg(F.count(F.lit(1)).alias("selling"), F.avg("sales").alias("sales_mean"),
               F.median("sales").alias("sales_median")))
@@ -95,7 +93,6 @@ def category_sales_by_discount(df: DataFrame) -> DataFrame:
     (all five bins, 0 when a bin has no sales)."""
     g = (df.where(F.col("sales") > 0)
          .withColumn("discount_bin", discount_bin5("discount_pct"))
-         .where(F.col("discount_bin").isNotNull())
          .groupBy("category", "discount_bin")
          .agg(F.count(F.lit(1)).alias("selling"), F.avg("sales").alias("sales_mean")))
     grid = (df.select("category").distinct()

@@ -66,6 +66,5 @@ def top_category_measures(df: DataFrame, k: int = 8) -> DataFrame:
 def rating_distribution(df: DataFrame, keep_zero_quirk: bool = True) -> DataFrame:
     """AG-06: listings per rating bin (FE-16), all five bins."""
     g = (df.withColumn("rating_bin", rating_bin(F.col("rating_x10") / 10, keep_zero_quirk))
-         .where(F.col("rating_bin").isNotNull())
          .groupBy("rating_bin").agg(F.count(F.lit(1)).alias("listings")))
     return complete_bins(g, "rating_bin", RATING_BIN_LABELS, {"listings": 0})

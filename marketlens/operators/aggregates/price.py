@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.functions.bins import (PRICE_BIN_EDGES, PRICE_BIN_LABELS, SEGMENT_LABELS,
-                                       bucketize, label_of)
+from marketlens.functions.bins import PRICE_BIN_LABELS, SEGMENT_LABELS, label_of, price_bin
 from marketlens.operators.aggregates.common import complete_bins, js_round
 from marketlens.operators.ranking import global_ordinal_rank
 
@@ -16,8 +15,8 @@ def price_bin_sales(df: DataFrame) -> DataFrame:
 
     One grouped aggregate (partial+final), then completion to all ten bins.
     """
-    b = bucketize(F.col("price_cents"), [e * 100 for e in PRICE_BIN_EDGES], "left")
-    g = (df.where(F.col("price_cents") >= 0).withColumn("price_bin", b.cast("int"))
+    b = price_bin(F.col("price_cents"), scale=100)
+    g = (df.where(F.col("price_cents") >= 0).withColumn("price_bin", b)
          .groupBy("price_bin")
          .agg(F.count(F.lit(1)).alias("listings"),
               F.avg("sales").alias("sales_mean"),

@@ -239,17 +239,21 @@ ROW_ORDER = ["row_k1", "row_k2", "row_k3"]
 
 
 def dashboard_clean(raw: DataFrame, key: str = "asin",
-                    order: Sequence[str] = ROW_ORDER) -> DataFrame:
+                    order: Sequence[str] = ROW_ORDER, deduplicated: bool = False) -> DataFrame:
     """CLN-21: placeholders -> coercion -> boolean domain -> first per key ->
     fills -> drop rows without price/rating -> date -> features.
 
     Works on the fixture's cent/tenth columns (``price_cents``,
     ``original_price_cents``, ``rating_x10``); money stays integer cents.
+
+    The first-per-key step only looks at the key and the row order, which the
+    row-wise cleaning steps never change, so it runs first: every later
+    expression is evaluated once per product instead of once per raw row.
     """
-    df = replace_placeholders(raw)
+    df = raw if deduplicated else first_per_key(raw, key, order)
+    df = replace_placeholders(df)
     df = coerce_numeric(df, ["price_cents", "rating_x10", "reviews"])
     df = enforce_bool_domain(df)
-    df = first_per_key(df, key, order)
     df = fill_missing(df, {"original_price_cents": "price_cents"},
                       {"sales_volume": NO_SALES_TEXT, "delivery_info": NO_DELIVERY_TEXT})
     df = drop_incomplete(df, ["price_cents", "rating_x10"])
@@ -272,10 +276,10 @@ def dashboard_clean(raw: DataFrame, key: str = "asin",
     }).drop("delivery")
 
 
-def dashboard_table(raw: DataFrame) -> DataFrame:
+def dashboard_table(raw: DataFrame, deduplicated: bool = False) -> DataFrame:
     """The dashboard's loaded table: CLN-21 plus the loader's coercions
     (missing best-seller flag -> false, choice flag via CLN-07)."""
-    df = dashboard_clean(raw)
+    df = dashboard_clean(raw, deduplicated=deduplicated)
     if "is_best_seller" not in df.columns:
         df = df.withColumn("is_best_seller", F.lit(False))
     return df.withColumns({

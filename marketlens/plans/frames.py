@@ -9,14 +9,18 @@ computed once and inlined as literals.
 
 from __future__ import annotations
 
+import os
+import threading
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import bins
 from marketlens.operators.clean import ROW_ORDER, dashboard_table
-from marketlens.operators.ranking import first_per_key
 from marketlens.operators.joins import category_display
-from marketlens.sources.fixtures import raw_listings
+from marketlens.session import ensure_checkpoint_dir
+from marketlens.sources.fixtures import first_listings, raw_listings
 
 # Labels for a missing category and for unmapped ones (FE-10).
 UNKNOWN_CATEGORY = "unknown"
@@ -25,13 +29,56 @@ OTHER_CATEGORY = "other"
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw listing text, first row per product (W-01), before any cleaning."""
-    return first_per_key(raw_listings(spark, sf_dir), "asin", ROW_ORDER)
-
-
-def listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cleaned, deduplicated listing table the dashboard loads."""
-    return dashboard_table(raw_listings(spark, sf_dir))
+    """Raw listing text, first row per product (W-01), before any cleaning.
+
+    Same rows as ``first_per_key(raw_listings, 'asin', ROW_ORDER)`` (checked
+    by the w_01 oracle and a test); the dedupe runs on the narrow keys first.
+    """
+    return first_listings(spark, sf_dir)
+
+
+def build_listing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned, deduplicated listing table as a lazy plan over the raw tables."""
+    return dashboard_table(products(spark, sf_dir), deduplicated=True)
+
+
+_SNAPSHOTS: dict[tuple, str] = {}
+_SNAPSHOT_LOCK = threading.Lock()
+
+
+def _input_stamp(sf_dir: str) -> tuple:
+    out = []
+    for t in ("lineitem", "part"):
+        p = os.path.join(sf_dir, f"{t}.parquet")
+        try:
+            st = os.stat(p)
+            out.append((t, st.st_size, int(st.st_mtime)))
+        except OSError:          # remote file systems: the path alone is the key
+            out.append((t, None, None))
+    return tuple(out)
+
+
+def listing_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
+    """The cleaned listing table the dashboard questions read.
+
+    Like the reference (clean once, write the snapshot, let every dashboard
+    question load it), the table is built once per input and written as
+    Parquet under the session's shared checkpoint folder; questions then scan
+    that snapshot. This cuts the lineage (a lost executor re-reads the
+    snapshot instead of re-running join + dedupe + parsing) and keeps every
+    question's plan shallow. ``materialize=False`` returns the lazy plan.
+    """
+    if not materialize:
+        return build_listing_table(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _input_stamp(sf_dir))
+    with _SNAPSHOT_LOCK:
+        path = _SNAPSHOTS.get(key)
+        if path is None:
+            base = ensure_checkpoint_dir(spark).rstrip("/")
+            path = f"{base}/listing_snapshot/{uuid.uuid4().hex}"
+            build_listing_table(spark, sf_dir).write.mode("overwrite").parquet(path)
+            _SNAPSHOTS[key] = path
+    return spark.read.parquet(path)
 
 
 def _z(c: str) -> Column:
