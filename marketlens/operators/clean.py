@@ -276,6 +276,29 @@ def dashboard_clean(raw: DataFrame, key: str = "asin",
     }).drop("delivery")
 
 
+# Numeric inputs of the served preprocessor (cents/tenths forms
+# of the money and rating columns in this library's tables).
+PREPROCESS_NUMERIC = ["price_cents", "original_price_cents", "rating_x10", "reviews",
+                      "number_of_offers", "lowest_offer_price", "delivery_fee", "sales_volume_num"]
+
+
+def preprocess(df: DataFrame) -> DataFrame:
+    """CLN-20: the served preprocessor as one DataFrame -> DataFrame step:
+    placeholders -> synonyms -> numeric columns present and coerced ->
+    original price falls back to price -> flags as 0/1 (default 0) ->
+    category present -> sales default 0."""
+    out = replace_placeholders(df)
+    out = apply_synonyms(out)
+    out = out.withColumns({c: F.lit(None).cast("double") for c in PREPROCESS_NUMERIC
+                           if c not in out.columns})
+    out = coerce_numeric(out, PREPROCESS_NUMERIC)
+    out = fill_missing(out, {"original_price_cents": "price_cents"})
+    out = int_flags(out, BOOL_FLAGS)
+    if "crawl_category" not in out.columns:
+        out = out.withColumn("crawl_category", F.lit(None).cast("string"))
+    return out.withColumn("sales_volume_num", F.coalesce(F.col("sales_volume_num"), F.lit(0)))
+
+
 def dashboard_table(raw: DataFrame, deduplicated: bool = False) -> DataFrame:
     """The dashboard's loaded table: CLN-21 plus the loader's coercions
     (missing best-seller flag -> false, choice flag via CLN-07)."""
