@@ -32,4 +32,4 @@ def load_all() -> None:
 
 
 MODULES = ["q_price", "q_clean", "q_features", "q_market", "q_quality", "q_profile",
-           "q_ranking", "q_joins", "q_ml"]
+           "q_ranking", "q_joins", "q_ml", "q_sources"]
