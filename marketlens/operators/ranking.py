@@ -62,11 +62,13 @@ def top_fraction_exact(df: DataFrame, cell: Sequence[str], measure: str, tie: Se
     # null-safe join on the cell (a category may be NULL)
     cond = [df[c].eqNullSafe(keep[c]) for c in cell] + [df[measure] == keep[measure]]
     joined = df.join(keep, cond, "inner").select(df["*"], keep["_need"])
-    wt = Window.partitionBy(*cell, measure).orderBy(*_cols(tie))
-    ranked = joined.withColumn(
-        "_r", F.when(F.col("_need").isNull(), F.lit(1)).otherwise(F.row_number().over(wt)))
-    return ranked.where(F.col("_need").isNull() | (F.col("_r") <= F.col("_need"))) \
-        .drop("_need", "_r")
+    above = joined.where(F.col("_need").isNull())
+    # rows tied at the cut-off: ordinal rank by the tie key within the cell,
+    # range-partitioned, so a cell whose tie holds most rows is still spread
+    tied = global_ordinal_rank(joined.where(F.col("_need").isNotNull()), tie, "_r",
+                               group=[*cell, measure])
+    kept = tied.where(F.col("_r") <= F.col("_need")).drop("_r")
+    return above.unionByName(kept).drop("_need")
 
 
 def kth_largest_threshold(df: DataFrame, cell: Sequence[str], measure: str,
@@ -86,33 +88,45 @@ def kth_largest_threshold(df: DataFrame, cell: Sequence[str], measure: str,
 
 
 def global_ordinal_rank(df: DataFrame, order: Sequence, rank_col: str = "rank",
-                        num_partitions: int | None = None) -> DataFrame:
-    """W-03: 1..n ordinal rank over the whole table without a single-partition window.
-
-    ``order`` must be a total order (add a unique tie-break column).
-    The range-partitioned frame is checkpointed to the shared checkpoint folder
-    so partition ids are stable between counting and numbering, and so a lost
-    executor recomputes from the checkpoint instead of re-sampling the ranges.
+                        num_partitions: int | None = None,
+                        group: Sequence[str] = ()) -> DataFrame:
+    """W-03: 1..n ordinal rank over the whole table (or within each ``group``)
+    without a window that puts a whole table or group in one partition.
+
+    ``order`` must be a total order (add a unique tie-break column). Rows are
+    range-partitioned on (group, order), so a large group spreads over many
+    partitions; each partition numbers its rows per group, and per-group
+    offsets come from the (group, partition) counts: one row per partition a
+    group touches. The range-partitioned frame is checkpointed to the shared
+    checkpoint folder so partition ids are stable between counting and
+    numbering, and a lost executor recomputes from the checkpoint.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    group = list(group)
     ocols = _cols(order)
-    parted = (df.repartitionByRange(n, *ocols)
-              .sortWithinPartitions(*ocols)
+    keys = [*_cols(group), *ocols]
+    parted = (df.repartitionByRange(n, *keys)
+              .sortWithinPartitions(*keys)
               .withColumn("_pid", F.spark_partition_id()))
     parted = parted.checkpoint(eager=True)
-    offsets = (parted.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pc"))
-               .withColumn("_off", F.coalesce(
-                   F.sum("_pc").over(Window.orderBy("_pid").rowsBetween(
-                       Window.unboundedPreceding, -1)), F.lit(0)))
-               .select("_pid", "_off"))
-    local = Window.partitionBy("_pid").orderBy(*ocols)
-    # offsets has one row per partition (bounded by n): broadcast is safe
-    return (parted.withColumn("_lr", F.row_number().over(local))
-            .join(F.broadcast(offsets), "_pid")
-            .withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
-            .drop("_pid", "_lr", "_off"))
+    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parted.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_pc"))
+    # fresh names on the offsets side: no self-join attribute ambiguity
+    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_pc").over(before), F.lit(0)))
+               .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+                       F.col("_pid").alias("_opid"), "_off"))
+    local = Window.partitionBy("_pid", *group).orderBy(*ocols)
+    numbered = parted.withColumn("_lr", F.row_number().over(local))
+    cond = [numbered["_pid"] == offsets["_opid"]] + \
+        [numbered[c].eqNullSafe(offsets[f"_g{i}"]) for i, c in enumerate(group)]
+    # offsets: one row per (group, partition touched); without groups at most
+    # n rows, so it is broadcast; with groups it is joined by key
+    offs = F.broadcast(offsets) if not group else offsets
+    joined = numbered.join(offs, cond)
+    return (joined.withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
+            .drop("_pid", "_lr", "_off", "_opid", *[f"_g{i}" for i in range(len(group))]))
 
 
 def top_k(df: DataFrame, k: int, order: Sequence) -> DataFrame:

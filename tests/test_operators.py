@@ -19,6 +19,31 @@ def test_top_fraction_exact_vs_threshold(spark):
     assert df.where(F.col("sales") >= th).count() == 4
 
 
+def test_top_fraction_hot_tie_matches_brute_force(spark):
+    # cell A: a third of all rows, all tied on sales; cell B: spread values
+    rows = [(k, 7, "A") for k in range(1000)] + [(1000 + k, k % 37, "B") for k in range(2000)]
+    df = spark.createDataFrame(rows, "k long, sales long, cell string").repartition(5)
+    got = sorted((r.cell, r.k) for r in R.top_fraction_exact(df, ["cell"], "sales", ["k"]).collect())
+    pdf = pd.DataFrame(rows, columns=["k", "sales", "cell"])
+    want = []
+    for cell, g in pdf.groupby("cell"):
+        n = max(1, int(len(g) * 0.1))
+        top = g.sort_values(["sales", "k"], ascending=[False, True]).head(n)
+        want += [(cell, int(k)) for k in top["k"]]
+    assert got == sorted(want)
+
+
+def test_grouped_rank_matches_brute_force(spark):
+    rows = [(k, k % 3, (k * 7919) % 101) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, g long, v long")
+    got = {r.k: r.rank for r in R.global_ordinal_rank(df, ["v", "k"], "rank", 6, group=["g"]).collect()}
+    want = {}
+    for g in range(3):
+        part = sorted((v, k) for k, gg, v in rows if gg == g)
+        want.update({k: i + 1 for i, (v, k) in enumerate(part)})
+    assert got == want
+
+
 def test_global_rank_no_single_partition(spark):
     df = spark.range(0, 5000).select((F.col("id") % 97).alias("v"), F.col("id").alias("k"))
     ranked = R.global_ordinal_rank(df.repartition(7), ["v", "k"], "rank", num_partitions=5)
