@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,52 +142,8 @@ def mean_missing_by_cell(df: DataFrame) -> DataFrame:
 # Adaptive missing-count bins (AG-34..AG-37)
 # ---------------------------------------------------------------------------
 
-# Missing counts >= 34 are pooled; forced bin starts; at most
-# 7 bins; close a bin above 1.5x or 0.7x the target size (n / 7).
-POOL_FROM = 34
-POOLED_KEY = 999
-FORCED_STARTS = (15, 18, 28, POOLED_KEY)
-MAX_BINS = 7
-
-BIN_SCHEMA = ("cell_category string, cell_segment string, mkey int, "
-              "bin int, bin_label string")
-
-
-def _fold_cell(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sequential bin fold for one cell's histogram (rows: mkey, cnt, vmin, vmax)."""
-    pdf = pdf.sort_values("mkey")
-    target = pdf["cnt"].sum() / MAX_BINS
-    bins, cur = [], {"keys": [], "count": 0, "lo": None, "hi": None}
-    for r in pdf.itertuples(index=False):
-        too_big = cur["count"] + r.cnt > target * 1.5
-        half_full = cur["count"] > target * 0.7
-        if len(bins) < MAX_BINS - 1 and cur["count"] > 0 and (too_big or half_full
-                                                               or r.mkey in FORCED_STARTS):
-            bins.append(cur)
-            cur = {"keys": [], "count": 0, "lo": None, "hi": None}
-        cur["keys"].append(int(r.mkey))
-        cur["count"] += int(r.cnt)
-        cur["lo"] = r.vmin if cur["lo"] is None else min(cur["lo"], r.vmin)
-        cur["hi"] = r.vmax if cur["hi"] is None else max(cur["hi"], r.vmax)
-    if cur["count"] > 0:
-        bins.append(cur)
-    labels = []
-    for b in bins:
-        lo, hi = int(b["lo"]), int(b["hi"])
-        labels.append(f"{POOL_FROM}+" if lo >= POOL_FROM else (str(lo) if lo == hi else f"{lo}-{hi}"))
-    # merge "29" with a following "30" / "30-31..." bin
-    merged, i = [], 0
-    while i < len(bins):
-        if (i + 1 < len(bins) and labels[i] == "29"
-                and (labels[i + 1] == "30" or labels[i + 1].startswith("30-31"))):
-            merged.append((bins[i]["keys"] + bins[i + 1]["keys"], "29-31"))
-            i += 2
-            continue
-        merged.append((bins[i]["keys"], labels[i]))
-        i += 1
-    cat, seg = pdf["cell_category"].iloc[0], pdf["cell_segment"].iloc[0]
-    rows = [(cat, seg, k, idx + 1, lab) for idx, (keys, lab) in enumerate(merged) for k in keys]
-    return pd.DataFrame(rows, columns=["cell_category", "cell_segment", "mkey", "bin", "bin_label"])
+from marketlens.operators.aggregates.binfold import (BIN_SCHEMA, POOL_FROM,  # noqa: E402
+                                                    POOLED_KEY, fold_cell)
 
 
 def _cell_rows(df: DataFrame) -> DataFrame:
@@ -207,7 +162,7 @@ def adaptive_bins(df: DataFrame) -> DataFrame:
     hist = (_cell_rows(df).groupBy(*CELL, "mkey")
             .agg(F.count(F.lit(1)).alias("cnt"), F.min("missing_count").alias("vmin"),
                  F.max("missing_count").alias("vmax")))
-    return hist.groupBy(*CELL).applyInPandas(_fold_cell, BIN_SCHEMA)
+    return hist.groupBy(*CELL).applyInPandas(fold_cell, BIN_SCHEMA)
 
 
 def _binned_rows(df: DataFrame) -> DataFrame:

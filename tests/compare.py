@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import sys
 import time
 
@@ -15,6 +16,9 @@ import duckdb
 
 sys.path.insert(0, ".")
 
+# STRICT=1: compare doubles bit for bit instead of to 9 significant digits
+STRICT = os.environ.get("STRICT", "0") == "1"
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -29,7 +33,7 @@ def norm(v):
             return None
         if v == int(v) and abs(v) < 2**53:
             return int(v)
-        return float(f"{v:.9g}")
+        return v if STRICT else float(f"{v:.9g}")
     if hasattr(v, "isoformat"):
         return v.isoformat()
     if isinstance(v, (list, tuple)):

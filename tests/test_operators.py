@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from marketlens.operators import ranking as R
 from marketlens.operators.aggregates import deals as D
 from marketlens.operators.aggregates import price as P
-from marketlens.operators.aggregates.quality import _fold_cell
+from marketlens.operators.aggregates.binfold import fold_cell
 
 
 def test_top_fraction_exact_vs_threshold(spark):
@@ -78,7 +78,7 @@ def test_adaptive_fold_forced_starts_and_merge():
                          "cnt": [10, 10, 10, 10, 10, 10, 10, 10],
                          "vmin": [14, 15, 17, 18, 28, 29, 30, 31],
                          "vmax": [14, 15, 17, 18, 28, 29, 30, 31]})
-    out = _fold_cell(hist)
+    out = fold_cell(hist)
     labels = out.drop_duplicates("bin").sort_values("bin")["bin_label"].tolist()
     # target n/7 = 11.4: every step would exceed 1.5x, so each key closes the
     # bin until six are closed; 30 and 31 share the last, then 29 + 30-31 merge
