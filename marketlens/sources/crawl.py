@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.sources.fixtures import raw_listings
+from marketlens.sources.fixtures import first_listings, raw_listings
 
 REVIEW_CAP = 5
 ROW_KEY = ["row_k1", "row_k2", "row_k3"]
@@ -49,9 +49,9 @@ def _bounded_reviews(raw: DataFrame, cond, name: str, cap: int = REVIEW_CAP) ->
 
 
 def details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from marketlens.operators.ranking import first_per_key
     raw = raw_listings(spark, sf_dir)
-    prod = first_per_key(raw, "asin", ROW_KEY).where(F.col("rating_x10").isNotNull())
+    # first row per product, deduplicated on the narrow line-item keys
+    prod = first_listings(spark, sf_dir).where(F.col("rating_x10").isNotNull())
     rev = _bounded_reviews(raw, F.col("row_k3") % 3 == 0, "top_reviews")
     return prod.select(
         "asin",
