@@ -11,12 +11,23 @@ from marketlens.functions.bins import (DISCOUNT5_BIN_LABELS, DISCOUNT_BIN_LABELS
 from marketlens.operators.aggregates.common import complete_bins, zero_if_null
 
 
+NANO = 1_000_000_000
+
+
+def mean_pct(c: str):
+    """Mean of a percentage summed in integer nano-percent units: the sum is
+    exact, so the mean does not depend on partitioning or summation order
+    (each value is rounded at 1e-9 percentage points)."""
+    nano = F.round(F.col(c) * NANO).cast("bigint")
+    return F.sum(nano).cast("double") / F.count(nano) / NANO
+
+
 def deal_kpis(df: DataFrame) -> DataFrame:
     """AG-12: mean discount % (zeros included), share discounted (%), price mean
     & median, total sales."""
     return df.agg(
         F.count(F.lit(1)).alias("listings"),
-        zero_if_null(F.avg("discount_pct")).alias("discount_mean_pct"),
+        zero_if_null(mean_pct("discount_pct")).alias("discount_mean_pct"),
         zero_if_null(F.avg((F.col("discount_pct") > 0).cast("int")) * 100).alias("discounted_pct"),
         zero_if_null(F.avg("price_cents")).alias("price_mean_cents"),
         zero_if_null(F.median("price_cents")).alias("price_median_cents"),
@@ -49,7 +60,7 @@ def discount_classes(df: DataFrame) -> DataFrame:
 
 
 def _by_category(df: DataFrame) -> DataFrame:
-    return df.groupBy("category").agg(F.avg("discount_pct").alias("discount_mean_pct"),
+    return df.groupBy("category").agg(mean_pct("discount_pct").alias("discount_mean_pct"),
                                       F.sum("sales").cast("bigint").alias("sales_total"))
 
 

@@ -126,7 +126,7 @@ def ag_09(spark, d):
 # ------------------------------------------------------------------ deal tab
 
 @register("ag_12", O.with_base("""
-select count(*) as listings, coalesce(avg(discount_pct), 0.0) as discount_mean_pct,
+select count(*) as listings, coalesce(cast(sum(cast(round(discount_pct * 1000000000) as bigint)) as double) / count(*) / 1000000000, 0.0) as discount_mean_pct,
   coalesce(avg(cast(discount_pct > 0 as int)) * 100, 0.0) as discounted_pct,
   coalesce(avg(price_cents), 0.0) as price_mean_cents,
   coalesce(quantile_cont(price_cents, 0.5), 0.0) as price_median_cents,
@@ -177,7 +177,7 @@ def ag_15(spark, d):
     return D.discount_classes(deal_frame(_lst(spark, d)))
 
 
-CAT_DEAL = """(select category, avg(discount_pct) as discount_mean_pct,
+CAT_DEAL = """(select category, cast(sum(cast(round(discount_pct * 1000000000) as bigint)) as double) / count(*) / 1000000000 as discount_mean_pct,
   cast(sum(sales) as bigint) as sales_total from deal group by category)"""
 
 
