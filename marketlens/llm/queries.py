@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality_rules
+from . import langid, mixing, packing, quality_rules
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id")) == 0
     model = langid.fit(docs, ~held_out)
     return langid.identify(docs, model).withColumn("held_out", held_out)
+
+
+MIXING_SQL = r"""
+with sized as (
+  select doc_id, source, md5(coalesce(doc_id::varchar, '')) as h,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size
+  from documents),
+per as (
+  select source, sum(size)::bigint as source_size from sized group by source),
+weighed as (
+  select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight,
+         row_number() over (order by source nulls last) as ix from per),
+levels as (
+  select *, (sum(source_size) over () * 1.5::double
+             - coalesce(sum(source_size * 2.0::double) over (order by source_size * 2.0::double / weight, ix rows between unbounded preceding and 1 preceding), 0))
+            / (sum(weight) over () - coalesce(sum(weight) over (order by source_size * 2.0::double / weight, ix rows between unbounded preceding and 1 preceding), 0)) as level
+  from weighed),
+targets as (
+  select source, source_size, least(source_size * 2.0::double, max(level) over () * weight) as target from levels),
+placed as (
+  select s.doc_id, s.source, s.size, t.source_size, t.target, floor(t.target)::bigint as quota,
+         (sum(s.size) over (partition by s.source order by s.h, s.size rows between unbounded preceding and current row) - s.size)::bigint as start
+  from sized s join targets t on s.source is not distinct from t.source)
+select doc_id, source, size, source_size, target,
+       (greatest(0, least(size, quota - start)) + greatest(0, least(size, quota - source_size - start)))::bigint as taken
+from placed
+"""
+
+
+@query("op1_mixing", MIXING_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
