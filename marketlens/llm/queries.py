@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality_rules
+from . import langid, mixing, near_dups, packing, quality_rules
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ from placed
 @query("op1_mixing", MIXING_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op9_minhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
