@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,17 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, name:
     place = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (df.withColumn("_place", place).join(starts, [*keys, "_bucket"])
             .withColumn(name, F.col("_ahead") + F.col("_place") - 1).drop("_bucket", "_place", "_ahead"))
+
+
+def shipped(spark: SparkSession, thing: object) -> Callable[[], object]:
+    """Broadcast an object's fields (of a bounded size); in a task the result gives the object.
+
+    The class itself travels with the function that calls it, so executors need no package."""
+    fields, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
+
+    def get() -> object:
+        out = object.__new__(kind)
+        out.__dict__.update(fields.value)
+        return out
+
+    return get

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import hash_share
+from .common import hash_share, shipped
 
 #: Most symbols of labelled text that an automaton is built from, for each language.
 TRAIN_SYMBOLS = 30_000
@@ -202,10 +202,6 @@ def _sampler(max_symbols: int):
     return run
 
 
-def _broadcast(docs: DataFrame, model: Model):
-    return docs.sparkSession.sparkContext.broadcast(model)
-
-
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every row of ``docs``.
 
@@ -214,12 +210,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     learnt. Ties go to the smallest language by code point. Rows are judged one by one: repeated
     rows and null ids are kept, other columns are ignored, an empty table gives an empty result.
     """
-    shared = _broadcast(docs, model)
+    shared = shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = shared()
         for b in batches:
             for lo, hi, data, offs in ts.text_slices(b.column(1)):
-                names, score = shared.value.predict(data, offs)
+                names, score = learnt.predict(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
     kind = dict(docs.dtypes)["doc_id"]
@@ -228,13 +225,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` in which a language is found, all columns unchanged."""
-    shared = _broadcast(docs, model)
+    shared = shipped(docs.sparkSession, model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = shared()
         for b in batches:
             if b.num_rows:
-                names = [n for _, _, data, offs in ts.text_slices(b.column(at)) for n in shared.value.predict(data, offs)[0]]
+                names = [n for _, _, data, offs in ts.text_slices(b.column(at)) for n in learnt.predict(data, offs)[0]]
                 yield b.filter(pa.array([n != UNKNOWN for n in names]))
 
     return docs.mapInArrow(run, docs.schema)

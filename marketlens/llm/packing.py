@@ -8,9 +8,11 @@ their sequence from their length and their rank among pieces of that length.
 
 from __future__ import annotations
 
+import sys
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
+from types import ModuleType
 from unicodedata import is_normalized
 
 import numpy as np
@@ -23,9 +25,9 @@ from .common import checkpointed, with_rank
 
 #: Ids of one sequence, and the id that ends a document.
 SIZE, END = 2048, 1
-#: Distinct parts of words whose ids a task remembers.
-CACHED_PARTS = 500_000
-SLICE_BYTES = 4 << 20
+#: Distinct parts of words whose ids a Python worker remembers.
+CACHED_PARTS = 250_000
+SLICE_BYTES = 2 << 20
 
 
 #: Class of a byte: 0 white space, 1 ASCII letter, 2 ASCII punctuation but for the apostrophe
@@ -57,10 +59,10 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        bare.normalizer = normalizers.Sequence([])
+        tokenizer = Tokenizer.from_file(path)
+        bare = Tokenizer(tokenizer.model)
         bare.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.encode, self.encode_plain = tokenizer.encode_batch_fast, bare.encode_batch_fast
@@ -139,15 +141,22 @@ class WordIds:
         return out, bounds
 
 
+def _encoder(path: str) -> WordIds:
+    """The worker process's own encoder: it outlives tasks, so a vocabulary is loaded once."""
+    store = vars(sys.modules.setdefault("marketlens_worker", ModuleType("marketlens_worker")))
+    if path not in store:
+        store[path] = WordIds(path)
+    return store[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece, and ids if asked for."""
     doc_type = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        encode = _encoder(tokenizer)
         for b in batches:
-            encode = encode or WordIds(tokenizer)
             for lo, _, data, offs in ts.text_slices(b.column(1), SLICE_BYTES):
                 ids, bounds = encode(data, offs)
                 total = np.diff(bounds)
