@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,14 +56,8 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, name:
 
 
 def shipped(spark: SparkSession, thing: object) -> Callable[[], object]:
-    """Broadcast an object's fields (of a bounded size); in a task the result gives the object.
+    """Broadcast an object of a bounded size; in a task the result gives the object.
 
-    The class itself travels with the function that calls it, so executors need no package."""
-    fields, kind = spark.sparkContext.broadcast(vars(thing)), type(thing)
-
-    def get() -> object:
-        out = object.__new__(kind)
-        out.__dict__.update(fields.value)
-        return out
-
-    return get
+    It is pickled by value, classes included, so executors need no copy of the package."""
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(data.value)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, near_dups, packing, quality_rules, vector_dups
+from . import class_lm, langid, mixing, near_dups, packing, quality_rules, vector_dups
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,3 +92,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_embedding_near_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op4_class_lm")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) == 1
+    return class_lm.score(docs, class_lm.fit(docs, ~held_out)).withColumn("held_out", held_out)
