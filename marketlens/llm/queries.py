@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, langid, mixing, near_dups, packing, quality_rules, vector_dups
+from . import class_lm, langid, mixing, near_dups, packing, quality_model, quality_rules, vector_dups
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id")) == 1
     return class_lm.score(docs, class_lm.fit(docs, ~held_out)).withColumn("held_out", held_out)
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id")) == 0
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality_model.score(docs, model).withColumn("held_out", held_out)
