@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import hash_share, shipped
+from .common import checkpointed, hash_share, shipped
 
 #: Most symbols of labelled text that an automaton is built from, for each language.
 TRAIN_SYMBOLS = 30_000
@@ -176,6 +176,8 @@ def fit(docs: DataFrame, usable: Column, max_symbols: int = TRAIN_SYMBOLS) -> Mo
     rates = (rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n"))
              # at least about 32 rows, so that one long text does not stand for a language
              .select("lang", F.greatest(2.0 * max_symbols / F.greatest("chars", F.lit(1)), 32.0 / F.col("n")).alias("rate")))
+    rates = checkpointed(rates)  # one row for each language; texts are not shuffled to meet them
+    rates = F.broadcast(rates) if rates.count() <= 10_000 else rates
     sample = rows.join(rates, "lang").where("h < rate").groupBy("lang").applyInPandas(
         _sampler(max_symbols), "lang string, sample string").toPandas()
     samples = {r.lang: r.sample for r in sample.itertuples() if r.sample.strip()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, langid, mixing, near_dups, packing, quality_model, quality_rules, vector_dups
+from . import class_lm, langid, licenses, mixing, near_dups, packing, quality_model, quality_rules, token_counts, vector_dups
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,8 @@ ORACLES: dict[str, str] = {}
 
 #: Vocabulary file of the packing query.
 TOKENIZER = "word_bpe_49k.json"
+#: Piece file of the token counts.
+PIECES = "piece_bpe_32k.model"
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -107,3 +109,15 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id")) == 0
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
     return quality_model.score(docs, model).withColumn("held_out", held_out)
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.fit(docs))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = token_counts.Vocabulary.of(token_counts.zipf_scores(tokenizer_path(PIECES)))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
