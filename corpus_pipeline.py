@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import langid, packing, quality_rules
+from marketlens.llm import langid, mixing, near_dups, packing, quality_rules
 from marketlens.llm.common import table
 from marketlens.llm.queries import TOKENIZER, tokenizer_path
 
@@ -20,12 +20,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_identified(docs, langid.fit(docs, F.lit(True)))
 
 
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id."""
+    return near_dups.one_of_each(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix; one that the mix takes twice is there twice."""
+    return mixing.mixed(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all rows and their places in sequences."""
     return packing.pack(docs, tokenizer_path(TOKENIZER))
 
 
-STAGES = [("quality rules", quality), ("language ID", language), ("packing", pack)]
+STAGES = [("quality rules", quality), ("language ID", language), ("near dedup", dedup), ("mixing", mix), ("packing", pack)]
 
 #: Tokenization and cross-parsing have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
