@@ -9,7 +9,7 @@ on the sketch of their union and confirmed on full sets.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,14 +24,17 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 BOTTOM, BINS = 96, 48
+#: Bins that have lists. Sets at the threshold match in a bin with odds of 0.29 or more, so 32 bins
+#: miss a pair once in 50,000 at worst, and far less often above the threshold.
+KEYED = 32
 #: Least estimate of a pair that goes on to its full sets: 4.5 standard errors below the threshold.
 LEAST_ESTIMATE = 0.55
 #: Longest list of which all pairs are taken; longer ones are refined.
 SHORT_LIST = 24
 #: Further bins that refine a long list.
-REFINE = 5
+REFINE = 4
 #: Members of a long list compared at once.
-BLOCK = 1024
+BLOCK = 512
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +66,11 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def list_keys(sketch: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each bin of each row that holds a retained value, rows end to end, and offsets."""
+    """One key for each of the first KEYED bins of each row that holds a retained value, and offsets."""
     rows = len(bounds) - 1
     cell = np.repeat(np.arange(rows) * BINS, np.diff(bounds)) + (sketch % np.uint64(BINS)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
+    order = order[cell[order] % BINS < KEYED]
     cell, values = cell[order], ts.mix(sketch[order])
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(1, int)
     cell = cell[edge[:-1]]
@@ -78,44 +82,45 @@ def _ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print (128 bits of the whole set), sketch and keys of every row."""
+def _print(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """128 bits of each whole set."""
+    both = np.stack([_sums(ts.mix(h), bounds), _sums(ts.mix(~h), bounds)], axis=1)
+    out = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(bounds) - 1, [None, pa.py_buffer(both.astype(">u8").tobytes())])
+    return out.cast(pa.binary())
+
+
+def _read(docs: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
+    """doc_id and the given columns of the sets of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offs in ts.text_slices(b.column(1)):
-                h, bounds = shingle_sets(data, offs)
-                n = np.diff(bounds)
-                one, two = _sums(ts.mix(h), bounds), _sums(ts.mix(~h), bounds)
-                prints = np.stack([one, two], axis=1).astype(">u8").tobytes()
-                kept = np.minimum(n, BOTTOM)
-                at = np.concatenate([[0], np.cumsum(kept)])
-                sketch = h[np.arange(at[-1]) + np.repeat(bounds[:-1] - at[:-1], kept)]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n),
-                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), hi - lo, [None, pa.py_buffer(prints)]).cast(pa.binary()),
-                     _ragged(sketch, at), _ragged(*list_keys(sketch, at))],
-                    ["doc_id", "n_shingles", "print", "sketch", "keys"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, print binary, sketch array<long>, keys array<long>")
+                got = columns(*shingle_sets(data, offs))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *got.values()], ["doc_id", *got])
 
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {schema}")
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, print and the whole set of every row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi, data, offs in ts.text_slices(b.column(1)):
-                h, bounds = shingle_sets(data, offs)
-                prints = np.stack([_sums(ts.mix(h), bounds), _sums(ts.mix(~h), bounds)], axis=1).astype(">u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo),
-                     pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), hi - lo, [None, pa.py_buffer(prints)]).cast(pa.binary()),
-                     _ragged(h, bounds)], ["doc_id", "print", "shingles"])
+def prints(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, print of every row."""
+    return _read(docs, "n_shingles long, print binary", lambda h, bounds: {"n_shingles": pa.array(np.diff(bounds)), "print": _print(h, bounds)})
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """doc_id, print, sketch and keys of every row."""
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, print binary, shingles array<long>")
+    def columns(h: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
+        kept = np.minimum(np.diff(bounds), BOTTOM)
+        at = np.concatenate([[0], np.cumsum(kept)])
+        sketch = h[np.arange(at[-1]) + np.repeat(bounds[:-1] - at[:-1], kept)]
+        return {"print": _print(h, bounds), "sketch": _ragged(sketch, at), "keys": _ragged(*list_keys(sketch, at))}
+
+    return _read(docs, "print binary, sketch array<long>, keys array<long>", columns)
+
+
+def full_sets(docs: DataFrame) -> DataFrame:
+    """doc_id, print and the whole set of every row."""
+    return _read(docs, "print binary, shingles array<long>", lambda h, bounds: {"print": _print(h, bounds), "shingles": _ragged(h, bounds)})
 
 
 def _near(n_a: str, n_b: str):
@@ -132,8 +137,9 @@ def _pairs_of_short(lists: DataFrame) -> DataFrame:
 
 
 def _stars(lists: DataFrame) -> DataFrame:
-    """Each member of a list with one member, picked by a hash that differs from list to list."""
-    centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), "id", "n")).alias("c"))
+    """Each member of a list with one member, the first by a hash of the id: the lists of a group
+    of copies mostly share their centre, so a member meets few centres."""
+    centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("c"))
     return (lists.join(centre, "key").where((F.col("id") != F.col("c.id")) & _near("n", "c.n"))
             .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
 
@@ -146,7 +152,10 @@ def _with_length(lists: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose union sketch does not rule them out; ``exact`` if the sketches are whole sets."""
-    side = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("print").alias(f"print_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    pairs = checkpointed(pairs)
+    met = classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
+    met = checkpointed(met.select("id", "n", "print", "sketch"))
+    side = lambda x: met.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in met.columns])
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, BOTTOM)
     whole = (F.col("n_a") <= BOTTOM) & (F.col("n_b") <= BOTTOM)
     both = F.size(F.array_intersect("sketch_a", "sketch_b"))
@@ -170,27 +179,51 @@ def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of members of long lists that lie in different components, compared by their sketches
-    in blocks of BLOCK by BLOCK members. Lists whose members are all linked by now are left out."""
+    """Pairs of members of long lists that lie in different components, estimated on their sketches
+    in blocks of BLOCK by BLOCK members. Lists whose members are all linked by now are left out; a
+    pair comes from the least of the lists that it shares alone."""
     now = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = now.join(open_, "key").withColumn("n_blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
+    rows = checkpointed(now.join(open_, "key"))
+    of = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists")).join(classes.select("id", "sketch"), "id")
+    rows = rows.withColumn("n_blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
-            .join(classes.select("id", "sketch"), "id"))
-    return rows.groupBy("key", "i", "j").applyInPandas(_compare, "a long, b long").distinct()
+            .join(of, "id"))
+    return rows.groupBy("key", "i", "j").applyInPandas(_compare, "key long, i int, j int, a long, b long")
+
+
+def _confirmed_in_blocks(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links among the pairs (key, i, j, a, b), each block with the full sets of its documents once."""
+    pairs, block = checkpointed(pairs), ["key", "i", "j"]
+    used = pairs.select(*block, F.col("a").alias("id")).union(pairs.select(*block, "b")).distinct()
+    sets = full_sets(docs.join(used.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("print")), ["doc_id", "print"], "left_semi")
+    sets = sets.groupBy(F.col("doc_id").alias("id")).agg(F.first("shingles").alias("shingles"))
+    held = used.join(sets, "id").select(*[F.col(c).alias(f"_{c}") for c in block], "id", "shingles")
+    return pairs.groupBy(*block).cogroup(held.groupBy(*[f"_{c}" for c in block])).applyInPandas(_reach, "a long, b long")
+
+
+def _reach(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+    of = dict(zip(sets["id"].tolist(), sets["shingles"], strict=True))
+
+    def linked(a: int, b: int) -> bool:
+        both = len(np.intersect1d(of[a], of[b], assume_unique=True))
+        return 100 * both >= PERCENT * (len(of[a]) + len(of[b]) - both)
+
+    return pairs.loc[[linked(a, b) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)], ["a", "b"]]
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block whose sketches overlap as the least estimate needs."""
+    """Pairs of one block whose union sketch does not rule them out."""
     size = rows["sketch"].str.len().to_numpy()
     value = np.concatenate(rows["sketch"].to_numpy())
     row = np.repeat(np.arange(len(rows)), size)
     _, code, count = np.unique(value, return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
     shared = count[code] > 1
-    n, block = rows["n"].to_numpy(), rows["block"].to_numpy()
+    n, block, key = rows["n"].to_numpy(), rows["block"].to_numpy(), rows["key"].iloc[0]
     group, ids = rows["component"].to_numpy(), rows["id"].to_numpy()
     overlap = np.zeros((len(rows), len(rows)), np.float32)
     for lo in range(0, int(column[-1]) + 1, 4096):
@@ -198,13 +231,20 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         held = np.zeros((len(rows), 4096), np.float32)
         held[row[here], column[code[here]] - lo] = 1
         overlap += held @ held.T
-    most = np.maximum.outer(size, size)
-    pick = (overlap >= LEAST_ESTIMATE * most) & (group[:, None] != group[None, :]) & (ids[:, None] < ids[None, :])
+    # what the sketch of a union shares lies in both sketches, so a lower overlap rules a pair out
+    pick = (overlap >= LEAST_ESTIMATE * np.maximum.outer(size, size)) & (group[:, None] != group[None, :]) & (ids[:, None] < ids[None, :])
     pick &= 100 * np.minimum.outer(n, n) >= PERCENT * np.maximum.outer(n, n)
     if rows["i"].iloc[0] != rows["j"].iloc[0]:
         pick &= block[:, None] != block[None, :]
     a, b = np.nonzero(pick)
-    return pd.DataFrame({"a": ids[a], "b": ids[b]})
+    sketch, lists = rows["sketch"].to_numpy(), rows["lists"].to_numpy()
+    kept = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        if np.intersect1d(lists[x], lists[y], assume_unique=True)[0] == key:
+            both = np.intersect1d(sketch[x], sketch[y], assume_unique=True)
+            union = np.union1d(sketch[x], sketch[y])[:BOTTOM]
+            kept[k] = np.searchsorted(both, union[-1], side="right") >= LEAST_ESTIMATE * len(union)
+    return pd.DataFrame({"key": key, "i": rows["i"].iloc[0], "j": rows["j"].iloc[0], "a": ids[a[kept]], "b": ids[b[kept]]})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,11 +259,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own id. Rows that repeat an id count as one document. Texts of fewer than five words
     are one shingle. Other columns are ignored, and an empty table gives an empty result.
     """
-    rows = checkpointed(sketches(docs))
+    rows = checkpointed(prints(docs))
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(named.groupBy("n_shingles", "print").agg(
-        F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-        .withColumnRenamed("n_shingles", "n"))
+    first = named.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("doc_id"))
+    classes = checkpointed(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+                           .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch", "keys"))
     member = named.select("doc_id", "n_shingles", "print").join(
         classes.select(F.col("n").alias("n_shingles"), "print", "id"), ["n_shingles", "print"])
     own = member.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
@@ -243,7 +283,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = short.union(_pairs_of_short(finer.where(F.col("len") <= SHORT_LIST))).union(_stars(long_)).distinct()
     links = checkpointed(_confirmed(docs, _estimated(pairs, classes)))
     found = components(links)
-    rest = checkpointed(_confirmed(docs, _estimated(_blocks(long_, classes, found), classes)))
+    rest = checkpointed(_confirmed_in_blocks(docs, _blocks(long_, classes, found), classes))
     whole = components(links.union(rest).union(own))
     return (rows.join(whole, F.col("doc_id") == F.col("id"), "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
