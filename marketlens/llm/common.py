@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Callable
 
 from pyspark import cloudpickle
@@ -37,6 +38,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared checkpoint folder.
+
+    Unlike a checkpoint, the table read again has sizes of its own: a checkpoint keeps the planner's
+    estimates, which multiply from round to round of a loop until planning itself is slow.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def with_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, name: str) -> DataFrame:
     """Add a rank from 0 within ``keys``, without sorting a whole key in one task.
 

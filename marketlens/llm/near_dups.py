@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import checkpointed
+from .common import written
 from .components import components
 
 SHINGLE = 5
@@ -152,9 +152,9 @@ def _with_length(lists: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose union sketch does not rule them out; ``exact`` if the sketches are whole sets."""
-    pairs = checkpointed(pairs)
+    pairs = written(pairs)
     met = classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
-    met = checkpointed(met.select("id", "n", "print", "sketch"))
+    met = written(met.select("id", "n", "print", "sketch"))
     side = lambda x: met.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in met.columns])
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, BOTTOM)
     whole = (F.col("n_a") <= BOTTOM) & (F.col("n_b") <= BOTTOM)
@@ -167,7 +167,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) among the pairs: those whose full sets reach the threshold."""
-    near = checkpointed(near)
+    near = written(near)
     open_ = near.where(~F.col("exact"))
     wanted = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
     sets = full_sets(docs.join(wanted, "doc_id", "left_semi"))
@@ -184,7 +184,7 @@ def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     pair comes from the least of the lists that it shares alone."""
     now = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = checkpointed(now.join(open_, "key"))
+    rows = written(now.join(open_, "key"))
     of = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists")).join(classes.select("id", "sketch"), "id")
     rows = rows.withColumn("n_blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
@@ -196,7 +196,7 @@ def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
 
 def _confirmed_in_blocks(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links among the pairs (key, i, j, a, b), each block with the full sets of its documents once."""
-    pairs, block = checkpointed(pairs), ["key", "i", "j"]
+    pairs, block = written(pairs), ["key", "i", "j"]
     used = pairs.select(*block, F.col("a").alias("id")).union(pairs.select(*block, "b")).distinct()
     sets = full_sets(docs.join(used.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     sets = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("print")), ["doc_id", "print"], "left_semi")
@@ -259,31 +259,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own id. Rows that repeat an id count as one document. Texts of fewer than five words
     are one shingle. Other columns are ignored, and an empty table gives an empty result.
     """
-    rows = checkpointed(prints(docs))
+    rows = written(prints(docs))
     named = rows.where("n_shingles > 0 and doc_id is not null")
     first = named.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("doc_id"))
-    classes = checkpointed(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    classes = written(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
                            .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch", "keys"))
     member = named.select("doc_id", "n_shingles", "print").join(
         classes.select(F.col("n").alias("n_shingles"), "print", "id"), ["n_shingles", "print"])
     own = member.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
 
     posted = classes.select("id", "n", F.explode("keys").alias("key"))
-    met = checkpointed(_with_length(posted))
+    met = written(_with_length(posted))
     short = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST))
     # a long list meets the bins that follow it, in the order of the document's keys
-    hot = met.where(F.col("len") > SHORT_LIST).select("id", F.col("key").alias("hot"))
+    hot = met.where(F.col("len") > SHORT_LIST).select(F.col("id").alias("_id"), F.col("key").alias("hot"))
     follow = Window.partitionBy("id").orderBy("pos")
-    chained = classes.join(hot.select("id").distinct(), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("pos", "key"))
+    chained = classes.join(hot.select(F.col("_id").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("pos", "key"))
     chained = chained.withColumn("next", F.collect_list("key").over(follow.rowsBetween(1, REFINE)))
-    finer = (chained.join(hot, (chained["id"] == hot["id"]) & (chained["key"] == hot["hot"])).drop(hot["id"])
+    finer = (chained.join(hot, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("hot")))
              .select("id", "n", F.explode("next").alias("other"), "hot").select("id", "n", F.xxhash64("hot", "other").alias("key")))
-    finer = checkpointed(_with_length(finer))
+    finer = written(_with_length(finer))
     long_ = finer.where(F.col("len") > SHORT_LIST)
     pairs = short.union(_pairs_of_short(finer.where(F.col("len") <= SHORT_LIST))).union(_stars(long_)).distinct()
-    links = checkpointed(_confirmed(docs, _estimated(pairs, classes)))
+    links = written(_confirmed(docs, _estimated(pairs, classes)))
     found = components(links)
-    rest = checkpointed(_confirmed_in_blocks(docs, _blocks(long_, classes, found), classes))
+    rest = written(_confirmed_in_blocks(docs, _blocks(long_, classes, found), classes))
     whole = components(links.union(rest).union(own))
     return (rows.join(whole, F.col("doc_id") == F.col("id"), "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash_share, shipped
+from .common import checkpointed, hash_share, shipped, written
 from .components import components
 
 THRESHOLD = 0.93
@@ -202,7 +202,7 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     same = ["label", "print1", "print2"]
     classes = checkpointed(named.where("print1 is not null").groupBy(*same).agg(
         F.min("rid").alias("id"), F.first("embedding").alias("embedding"), F.count(F.lit(1)).alias("copies")))
-    found = checkpointed(links(classes.select("id", "label", "embedding", "copies"), threshold))
+    found = written(links(classes.select("id", "label", "embedding", "copies"), threshold))
     group = components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "_member")
     counts = found.groupBy(F.col("id").alias("_counted")).agg(F.sum("n").alias("n"))
     classes = (classes.drop("embedding").join(group, F.col("id") == F.col("_member"), "left").join(counts, F.col("id") == F.col("_counted"), "left")
