@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text accepted as true by the loader, and the extra false
-# spellings we accept in the boolean domain check.
+# Text accepted as true by the loader; the boolean domain check
+# knows only the two words themselves.
 TRUE_TEXT = ["true", "1", "yes", "y"]
-FALSE_TEXT = ["false", "0", "no", "n"]
 # Placeholder strings that mean "missing" (exact match, no trim).
 PLACEHOLDERS = ["[]", "{}", "", "missing value", "N/A", "nan"]
 EXPLORATION_PLACEHOLDERS = ["[]", "{}", ""]
@@ -30,9 +29,9 @@ def text_to_bool(c) -> Column:
 
 
 def bool_domain(c) -> Column:
-    """CLN-05: text in the true/false vocabulary -> boolean, anything else -> NULL."""
+    """CLN-05: "true" or "false" in any case -> boolean, anything else -> NULL."""
     t = F.lower(F.trim(_c(c).cast("string")))
-    return F.when(t.isin(*TRUE_TEXT), True).when(t.isin(*FALSE_TEXT), False)
+    return F.when(t == "true", True).when(t == "false", False)
 
 
 def flag_to_int(c) -> Column:

@@ -84,7 +84,7 @@ def feature_pipeline() -> Pipeline:
     idx = StringIndexer(inputCol="crawl_category", outputCol="crawl_category_idx",
                         handleInvalid="keep", stringOrderType="alphabetAsc")
     ohe = OneHotEncoder(inputCol="crawl_category_idx", outputCol="crawl_category_ohe",
-                        dropLast=True, handleInvalid="keep")
+                        dropLast=True, handleInvalid="error")
     assemble = VectorAssembler(
         inputCols=[c + "_lc_s" for c in SKEWED] + [c + "_s" for c in STABLE]
         + ["crawl_category_ohe"] + FLAGS, outputCol="features")
@@ -108,10 +108,13 @@ def feature_names(transformed: DataFrame, col: str = "features") -> list[str]:
     for group in meta.get("attrs", {}).values():
         attrs.extend(group)
     names = [None] * meta.get("num_attrs", len(attrs))
+    scaled = {c + "_lc_s" for c in SKEWED} | {c + "_s" for c in STABLE}
     for a in attrs:
         n = a.get("name", f"f{a['idx']}")
-        for junk in ("_lc_s", "_s", "crawl_category_ohe_"):
-            n = n.replace(junk, "" if junk != "crawl_category_ohe_" else "crawl_category_")
+        if n.startswith("crawl_category_ohe_"):
+            n = "crawl_category_" + n.removeprefix("crawl_category_ohe_")
+        elif n in scaled or n.rsplit("_", 1)[0] in scaled:  # some slots carry a number at the end
+            n = n.removesuffix("_s").removesuffix("_lc")
         names[a["idx"]] = n.replace("[", "").replace("]", "").replace("<", "")
     return [n or f"f{i}" for i, n in enumerate(names)]
 
@@ -132,12 +135,13 @@ def load_pipeline(path: str) -> PipelineModel:
 
 def ensure_pipeline(path: str, sample: DataFrame) -> PipelineModel:
     """ML-08: load if present, else fit on ``sample`` and save."""
-    try:
+    spark = sample.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return load_pipeline(path)
-    except Exception:  # noqa: BLE001 - missing or unreadable: rebuild
-        m = fit_features(sample)
-        save_pipeline(m, path)
-        return m
+    m = fit_features(sample)
+    save_pipeline(m, path)
+    return m
 
 
 # ---------------------------------------------------------------------------
@@ -214,7 +218,7 @@ def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction")
     """ML-14: RMSE, MAE, R^2 as one aggregate (R^2 from the label's own mean)."""
     y, p = F.col(label), F.col(prediction)
     n = F.count(F.lit(1))
-    sst = F.sum(y * y) - F.sum(y) * F.sum(y) / n
+    sst = F.var_pop(y) * n
     return pred.agg(F.sqrt(F.avg((y - p) * (y - p))).alias("rmse"),
                     F.avg(F.abs(y - p)).alias("mae"),
                     (F.lit(1.0) - F.sum((y - p) * (y - p)) / sst).alias("r2"),

@@ -8,9 +8,9 @@ Cells are (category | ALL) x (segment | ALL).
 * Per-cell top 10 % (not additive) explodes each row into its four cells
   and uses the histogram cut-off of ``ranking.top_fraction_exact``: no cell,
   not even ALL x ALL, is ever sorted as one window partition.
-* The adaptive missing-count bins are an order-dependent fold; it runs in
-  ``applyInPandas`` on the per-cell histogram (at most ~35 rows per cell),
-  never on listing rows.
+* The adaptive missing-count bins are an order-dependent fold; it is an
+  ``aggregate`` over the per-cell histogram (at most 35 values), never over
+  listing rows.
 """
 
 from __future__ import annotations
@@ -74,14 +74,15 @@ def provided_by_cell(df: DataFrame) -> DataFrame:
 
 
 def explode_cells(df: DataFrame) -> DataFrame:
-    """Each row once per cell it belongs to: (cat, seg), (cat, ALL), (ALL, seg), (ALL, ALL)."""
+    """Each row once per cell it belongs to: (cat, seg), (cat, ALL), (ALL, seg), (ALL, ALL);
+    a row without category only in the last two."""
     seg = _seg_label(F.col("segment"))
     cells = F.array(
         F.struct(F.col("category").alias("c"), seg.alias("s")),
         F.struct(F.col("category").alias("c"), F.lit(ALL).alias("s")),
         F.struct(F.lit(ALL).alias("c"), seg.alias("s")),
         F.struct(F.lit(ALL).alias("c"), F.lit(ALL).alias("s")))
-    return (df.withColumn("_cell", F.explode(cells))
+    return (df.withColumn("_cell", F.explode(F.filter(cells, lambda c: c["c"].isNotNull())))
             .withColumn("cell_category", F.col("_cell.c"))
             .withColumn("cell_segment", F.col("_cell.s")).drop("_cell"))
 
@@ -90,7 +91,7 @@ def top_provided_by_cell(df: DataFrame, fraction: float = 0.1) -> DataFrame:
     """AG-30: AG-29 restricted to the top 10 % by sales of each cell
     (exactly max(1, floor(n*0.1)) rows, ties -> earliest row)."""
     flags = _flags(df)
-    ex = explode_cells(df.where(F.col("category").isNotNull()))
+    ex = explode_cells(df)
     top = top_fraction_exact(ex, CELL, "sales", ROW_TIE, fraction)
     cells = top.groupBy(*CELL).agg(F.count(F.lit(1)).alias("listings"),
                                    *[F.sum(F.col(c).cast("long")).alias(c) for c in flags])
@@ -142,27 +143,63 @@ def mean_missing_by_cell(df: DataFrame) -> DataFrame:
 # Adaptive missing-count bins (AG-34..AG-37)
 # ---------------------------------------------------------------------------
 
-from marketlens.operators.aggregates.binfold import (BIN_SCHEMA, POOL_FROM,  # noqa: E402
-                                                    POOLED_KEY, fold_cell)
+# Missing counts from 34 on are one key; values that start a bin;
+# at most 7 bins; a bin closes when the next value would take it over 1.5 times
+# an even share, or when it holds more than 0.7 of one; "29" joins "30" or "30-31".
+POOL_FROM, POOLED_KEY = 34, 999
+STARTS_BIN = (15, 18, 28, POOLED_KEY)
+MAX_BINS, OVER, ENOUGH = 7, 1.5, 0.7
+LONE, NEIGHBOUR, NEIGHBOUR_ENDS = 29, 30, (30, 31)
 
 
 def _cell_rows(df: DataFrame) -> DataFrame:
-    ex = explode_cells(df.where(F.col("category").isNotNull()))
+    ex = explode_cells(df)
     mkey = F.when(F.col("missing_count") >= POOL_FROM, F.lit(POOLED_KEY)) \
         .otherwise(F.col("missing_count")).cast("int")
     return ex.withColumn("mkey", mkey)
 
 
+def _bin_starts(values: Column, share: Column) -> Column:
+    """First keys of the bins over the ordered histogram ``values`` (mkey, cnt)."""
+    def step(acc: Column, x: Column) -> Column:
+        closes = (F.size(acc["starts"]) < MAX_BINS) & (
+            (acc["held"] + x["cnt"] > share * OVER) | (acc["held"] > share * ENOUGH) | x["mkey"].isin(*STARTS_BIN))
+        opens = (F.size(acc["starts"]) == 0) | closes
+        return F.struct(F.when(opens, x["cnt"]).otherwise(acc["held"] + x["cnt"]).alias("held"),
+                        F.when(opens, F.concat(acc["starts"], F.array(x["mkey"]))).otherwise(acc["starts"]).alias("starts"))
+
+    empty = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("starts"))
+    return F.aggregate(values, empty, step, lambda acc: acc["starts"])
+
+
 def adaptive_bins(df: DataFrame) -> DataFrame:
     """AG-34: per cell, mapping missing-count key -> adaptive bin (index, label).
 
-    Spark builds the per-cell histogram (grouped, map-side combined); only that
-    histogram (<= 35 rows per cell) goes through the pandas fold.
+    Spark builds the per-cell histogram (grouped, map-side combined); the bins are
+    a fold over its at most 35 ordered values, their extents windows over the same rows.
     """
     hist = (_cell_rows(df).groupBy(*CELL, "mkey")
             .agg(F.count(F.lit(1)).alias("cnt"), F.min("missing_count").alias("vmin"),
                  F.max("missing_count").alias("vmax")))
-    return hist.groupBy(*CELL).applyInPandas(fold_cell, BIN_SCHEMA)
+    cells = hist.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("mkey", "cnt", "vmin", "vmax"))).alias("values"),
+                                    (F.sum("cnt") / MAX_BINS).alias("share"))
+    rows = (cells.withColumn("starts", _bin_starts(F.col("values"), F.col("share")))
+            .select(*CELL, "starts", F.explode("values").alias("v")).select(*CELL, "starts", "v.*")
+            .withColumn("nth", F.size(F.filter("starts", lambda s: s <= F.col("mkey")))))
+    extent = Window.partitionBy(*CELL, "nth")
+    rows = rows.withColumn("lo", F.min("vmin").over(extent)).withColumn("hi", F.max("vmax").over(extent))
+    # the lone bin is followed by the neighbour: both get one label, later bins move up
+    cell = Window.partitionBy(*CELL)
+    lone = F.max(F.when((F.col("lo") == LONE) & (F.col("hi") == LONE), F.col("nth"))).over(cell)
+    next_ = F.max(F.when((F.col("lo") == NEIGHBOUR) & F.col("hi").isin(*NEIGHBOUR_ENDS), F.col("nth"))).over(cell)
+    joined = F.coalesce(next_ == lone + 1, F.lit(False))
+    label = (F.when(F.col("_joined") & F.col("nth").isin(F.col("_lone"), F.col("_lone") + 1), F.lit(f"{LONE}-{NEIGHBOUR_ENDS[-1]}"))
+             .when(F.col("lo") >= POOL_FROM, F.lit(f"{POOL_FROM}+"))
+             .when(F.col("lo") == F.col("hi"), F.col("lo").cast("string"))
+             .otherwise(F.concat_ws("-", F.col("lo").cast("string"), F.col("hi").cast("string"))))
+    moved = F.col("nth") - F.when(F.col("_joined") & (F.col("nth") > F.col("_lone")), 1).otherwise(0)
+    return (rows.withColumn("_lone", lone).withColumn("_joined", joined)
+            .select(*CELL, "mkey", moved.cast("int").alias("bin"), label.alias("bin_label")))
 
 
 def _binned_rows(df: DataFrame) -> DataFrame:

@@ -177,10 +177,10 @@ def conform(df: DataFrame, spec: Mapping[str, tuple[str, object]],
     for name, (typ, default) in spec.items():
         if name in df.columns:
             src = F.col(name)
-            if not isinstance(df.schema[name].dataType, T.StringType) or typ == "string":
-                v = src.cast(typ) if typ != "boolean" else src.cast("string").try_cast(typ)
-            else:
-                v = src.try_cast(typ)
+            if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
+                src = F.when(~F.isnan(src), src)
+            # booleans by the loader's vocabulary (CLN-07); a missing value takes the default
+            v = F.when(src.isNotNull(), text_to_bool(name)) if typ == "boolean" else src.try_cast(typ)
             if typ in ("double", "float"):
                 v = F.when(~F.isnan(v), v)
         else:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from marketlens.functions.parse import (DATE_PATTERN, DELIVERY_FEE_PATTERN, SALES_PATTERN,
                                         SHIP_PATTERN, STOCK_PATTERN)
-from marketlens.functions.text import FALSE_TEXT, PLACEHOLDERS, TRUE_TEXT
+from marketlens.functions.text import PLACEHOLDERS
 from marketlens.sources.fixtures import category_mapping
 
 
@@ -78,8 +78,7 @@ def ph(c: str) -> str:
 
 def booldom(c: str) -> str:
     t = f"lower(trim({ph(c)}))"
-    return (f"case when {t} in {_in(TRUE_TEXT)} then true "
-            f"when {t} in {_in(FALSE_TEXT)} then false end")
+    return f"case when {t} = 'true' then true when {t} = 'false' then false end"
 
 
 def sales_trunc(c: str) -> str:

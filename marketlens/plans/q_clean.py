@@ -9,7 +9,7 @@ from marketlens.operators.aggregates.profile import missing_profile
 from marketlens.operators.joins import attach_scalars
 from marketlens.plans import oracle as O
 from marketlens.plans.catalog import register
-from marketlens.plans.frames import listing_table, products
+from marketlens.plans.frames import build_listing_table, listing_table, products
 
 TEXT_COLS = ["sales_volume", "delivery_info", "variants", "key_features", "full_description"]
 NUM_TEXT_COLS = ["is_climate_friendly", "sales_volume", "full_description", "variants"]
@@ -230,7 +230,7 @@ def cln_17(spark, d):
 
 @register("cln_18", O.with_base("select asin, date from listing"))
 def cln_18(spark, d):
-    return listing_table(spark, d).select("asin", "date")
+    return C.add_date(build_listing_table(spark, d).select("asin"), C.SNAPSHOT_DATE)
 
 
 @register("cln_19", O.with_base("""

@@ -14,7 +14,7 @@ from marketlens.operators import filters as FL
 from marketlens.operators.joins import category_display
 from marketlens.plans import oracle as O
 from marketlens.plans.catalog import register
-from marketlens.plans.frames import (QUALITY_FIELDS, badge_frame, deal_frame, listing_table,
+from marketlens.plans.frames import (build_listing_table, QUALITY_FIELDS, badge_frame, deal_frame, listing_table,
                                      market_frame, price_frame, products, quality_frame,
                                      trust_frame)
 
@@ -51,19 +51,19 @@ def fe_04(spark, d):
 select asin, delivery_info, delivery_fee, delivery_date_text, delivery_ship_to, delivery_stock_note
 from listing"""))
 def fe_05(spark, d):
-    return listing_table(spark, d).select(
+    return build_listing_table(spark, d).select(
         "asin", "delivery_info", "delivery_fee", "delivery_date_text", "delivery_ship_to",
         "delivery_stock_note")
 
 
 @register("fe_06", O.with_base("select asin, discount_cents from listing"))
 def fe_06(spark, d):
-    return listing_table(spark, d).select("asin", "discount_cents")
+    return build_listing_table(spark, d).select("asin", "discount_cents")
 
 
 @register("fe_07", O.with_base("select asin, discount_rate from listing"))
 def fe_07(spark, d):
-    return listing_table(spark, d).select("asin", "discount_rate")
+    return build_listing_table(spark, d).select("asin", "discount_rate")
 
 
 @register("fe_08", O.with_base("select asin, discount_pct from deal"))

@@ -136,14 +136,15 @@ def j_06(spark, d):
 
 
 @register("j_07", O.with_base("""
-select coalesce(category, 'ALL') as cell_category,
+select case when grouping(category) = 1 then 'ALL' else category end as cell_category,
        case when grouping(segment) = 1 then 'ALL'
             else case segment when 1 then 'LOW' when 2 then 'MID' else 'HIGH' end end as cell_segment,
        count(*) as listings
-from quality where category is not null group by cube(category, segment)"""))
+from quality group by cube(category, segment)
+having grouping(category) = 1 or category is not null"""))
 def j_07(spark, d):
     from marketlens.operators.aggregates.quality import CELL, explode_cells
-    q = quality_frame(listing_table(spark, d)).where(F.col("category").isNotNull())
+    q = quality_frame(listing_table(spark, d))
     return explode_cells(q).groupBy(*CELL).agg(F.count(F.lit(1)).alias("listings"))
 
 

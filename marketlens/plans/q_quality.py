@@ -35,7 +35,7 @@ exploded as (
                                  (q.category, 'ALL'),
                                  ('ALL', {SEG_LABEL.replace('segment', 'q.segment')}),
                                  ('ALL', 'ALL')) v(cell_category, cell_segment)) c
-  where q.category is not null
+  where c.cell_category is not null
 ),
 ranked as (
   select *, row_number() over (partition by cell_category, cell_segment
