@@ -27,7 +27,7 @@ from marketlens.ml.estimators import PopulationScaler, QuantileClipper, impute_c
 from marketlens.ml.scoring import back_transform
 from marketlens.functions.bins import potential_badge
 from marketlens.operators import clean as C
-from marketlens.operators.ranking import hash_split
+from marketlens.operators.ranking import hash_split, stable_hash
 
 # The model's feature groups.
 SKEWED = ["price", "original_price", "reviews", "number_of_offers", "delivery_fee", "discount",
@@ -201,7 +201,7 @@ def tuned(estimator, grid, folds: int = 3, seed: int = 42, parallelism: int = 4)
 
 
 def with_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64("asin", F.lit(seed + 1)), F.lit(k)).cast("int"))
+    return df.withColumn("fold", F.pmod(stable_hash("asin", seed + 1), F.lit(k)).cast("int"))
 
 
 def model_zoo(size: str = "reference") -> dict:
@@ -271,7 +271,7 @@ def learning_curve(estimator, data: DataFrame, sizes=(0.1, 0.325, 0.55, 0.775, 1
                    k: int = 3, seed: int = 42) -> DataFrame:
     """ML-17: CV MSE for nested hash-prefix subsets of the training data."""
     data = with_folds(data, k, seed).withColumn(
-        "_u", F.pmod(F.xxhash64("asin", F.lit(seed + 7)), F.lit(10_000)) / 10_000.0)
+        "_u", F.pmod(stable_hash("asin", seed + 7), F.lit(10_000)) / 10_000.0)
     out = None
     for s, f in itertools.product(sizes, range(k)):
         tr = data.where((F.col("fold") != f) & (F.col("_u") < s))

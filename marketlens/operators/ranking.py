@@ -140,13 +140,18 @@ def per_group_cap(df: DataFrame, group: Sequence[str], k: int, order: Sequence)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k).drop("_rn")
 
 
+def stable_hash(key: str, seed: int) -> Column:
+    """The first 8 hex digits of md5("key:seed") as a number: the same in every SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
 def hash_split(df: DataFrame, key: str, seed: int = 42,
                fractions: Sequence[float] = (0.70, 0.15, 0.15),
                names: Sequence[str] = ("train", "val", "test")) -> DataFrame:
-    """SP-01: deterministic split column from pmod(xxhash64(key, seed), 100).
+    """SP-01: deterministic split column from ``stable_hash(key, seed)`` modulo 100.
 
     Stable under repartitioning and executor loss (unlike randomSplit)."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(100))
+    bucket = F.pmod(stable_hash(key, seed), F.lit(100))
     edges, acc = [], 0.0
     for f in fractions:
         acc += f
@@ -159,4 +164,4 @@ def hash_split(df: DataFrame, key: str, seed: int = 42,
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """SP-02/03/04: n rows chosen by a seeded hash of the key (reproducible)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return df.orderBy(stable_hash(key, seed), F.col(key)).limit(n)

@@ -102,24 +102,82 @@ def ag_33(spark, d):
     return Q.mean_missing_by_cell(_q(spark, d))
 
 
-# The adaptive bins are a sequential fold (no SQL form); rows-only checks,
-# with exact hand-worked cases in tests/test_quality.py.
+# The adaptive bins as a walk over each cell's ordered histogram.
+HIST_SQL = CELLS_SQL + """,
+hist as (
+  select cell_category, cell_segment, cast(case when missing_count >= 34 then 999 else missing_count end as int) as mkey,
+         count(*) as cnt, min(missing_count) as vmin, max(missing_count) as vmax
+  from exploded group by 1, 2, 3
+),
+steps as (
+  select *, row_number() over (partition by cell_category, cell_segment order by mkey) as rn,
+         sum(cnt) over (partition by cell_category, cell_segment) / 7.0 as share
+  from hist
+)"""
+OPENS = """case when w.nth < 7 and (w.held + s.cnt > s.share * 1.5 or w.held > s.share * 0.7
+                          or s.mkey in (15, 18, 28, 999)) then 1 else 0 end"""
+BINS_SQL = f"""with recursive walk as (
+  select cell_category, cell_segment, mkey, rn, 1 as nth, cnt as held, vmin, vmax from steps where rn = 1
+  union all
+  select s.cell_category, s.cell_segment, s.mkey, s.rn, w.nth + {OPENS},
+         case when {OPENS} = 1 then s.cnt else w.held + s.cnt end, s.vmin, s.vmax
+  from walk w join steps s on s.cell_category = w.cell_category and s.cell_segment = w.cell_segment and s.rn = w.rn + 1
+),
+spans as (
+  select *, min(vmin) over (partition by cell_category, cell_segment, nth) as lo,
+         max(vmax) over (partition by cell_category, cell_segment, nth) as hi
+  from walk
+),
+lone as (
+  select cell_category, cell_segment, max(case when lo = 29 and hi = 29 then nth end) as one,
+         max(case when lo = 30 and hi in (30, 31) then nth end) as two
+  from spans group by 1, 2
+),
+bins as (
+  select s.cell_category, s.cell_segment, s.mkey,
+         cast(nth - case when two = one + 1 and nth > one then 1 else 0 end as int) as bin,
+         case when two = one + 1 and nth in (one, two) then '29-31' when lo >= 34 then '34+'
+              when lo = hi then cast(lo as varchar) else lo || '-' || hi end as bin_label
+  from spans s join lone l on s.cell_category = l.cell_category and s.cell_segment = l.cell_segment
+),
+binned as (
+  select e.*, b.bin, b.bin_label from exploded e join bins b
+  on e.cell_category = b.cell_category and e.cell_segment = b.cell_segment
+     and b.mkey = case when e.missing_count >= 34 then 999 else e.missing_count end
+),
+per_bin as (
+  select cell_category, cell_segment, bin, bin_label, count(*) as listings, avg(sales) as sales_mean, median(sales) as sales_median
+  from binned group by 1, 2, 3, 4
+)
+"""
+
 
-@register("ag_34")
+@register("ag_34", O.with_base(BINS_SQL + "select * from bins", HIST_SQL))
 def ag_34(spark, d):
     return Q.adaptive_bins(_q(spark, d))
 
 
-@register("ag_35")
+@register("ag_35", O.with_base(BINS_SQL + "select * from per_bin", HIST_SQL))
 def ag_35(spark, d):
     return Q.sales_by_missing_bin(_q(spark, d))
 
 
-@register("ag_36")
+@register("ag_36", O.with_base(BINS_SQL + """
+select cell_category, cell_segment, min_by(s, bin) as best_sales, max_by(s, bin) as worst_sales, count(*) as bins,
+       min_by(s, bin) - max_by(s, bin) as difference
+from (select *, cast(floor(sales_mean + 0.5) as bigint) as s from per_bin) p group by 1, 2""", HIST_SQL))
 def ag_36(spark, d):
     return Q.best_vs_worst_bin(_q(spark, d))
 
 
-@register("ag_37")
+@register("ag_37", O.with_base(BINS_SQL + """
+select cell_category, cell_segment, bin, bin_label, listings, top_listings, top_listings * 100.0 / listings as top_pct,
+       top_listings * 100.0 / listings / 10 as uplift
+from (
+  select b.cell_category, b.cell_segment, bin, bin_label, count(*) as listings,
+         count(*) filter (where sales >= threshold and sales > 0) as top_listings
+  from binned b join (select cell_category as c, cell_segment as s, min(sales) as threshold from ranked
+                      where rn <= greatest(1, floor(n * 0.1)) group by 1, 2) t
+  on b.cell_category = t.c and b.cell_segment = t.s group by 1, 2, 3, 4) x""", HIST_SQL))
 def ag_37(spark, d):
     return Q.top_decile_share_by_bin(_q(spark, d))

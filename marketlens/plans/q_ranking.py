@@ -85,7 +85,14 @@ def srt_04(spark, d):
     return head.unionByName(tail)
 
 
-@register("set_01")
+def _hash_sql(key: str = "asin", seed: int = 42) -> str:
+    return f"cast('0x' || substr(md5({key} || ':{seed}'), 1, 8) as bigint)"
+
+
+SPLIT_SQL = f"case when {_hash_sql()} % 100 < 70 then 'train' when {_hash_sql()} % 100 < 85 then 'val' else 'test' end"
+
+
+@register("set_01", O.with_base(f"select asin, {SPLIT_SQL} as split from listing where {SPLIT_SQL} <> 'test'"))
 def set_01(spark, d):
     split = R.hash_split(listing_table(spark, d), "asin")
     train = split.where("split = 'train'")
@@ -123,18 +130,20 @@ def set_04(spark, d):
         .orderBy("crawl_category").limit(10)
 
 
-@register("sp_01")
+@register("sp_01", O.with_base(f"select {SPLIT_SQL} as split, count(*) as listings from listing group by 1"))
 def sp_01(spark, d):
     return R.hash_split(listing_table(spark, d), "asin").groupBy("split") \
         .agg(F.count(F.lit(1)).alias("listings"))
 
 
-@register("sp_02")
+@register("sp_02", O.with_base(f"select asin, title from products order by {_hash_sql()}, asin limit 1200"))
 def sp_02(spark, d):
     return R.hash_sample(products(spark, d), "asin", 1200).select("asin", "title")
 
 
-@register("sp_03")
+@register("sp_03", O.with_base(f"""
+select asin, price_cents, sales_volume_num from listing where sales_volume_num > 0 and price_cents <= 20000
+order by {_hash_sql()}, asin limit 500"""))
 def sp_03(spark, d):
     pts = listing_table(spark, d).where((F.col("sales_volume_num") > 0) & (F.col("price_cents") <= 20000))
     return R.hash_sample(pts, "asin", 500).select("asin", "price_cents", "sales_volume_num")
