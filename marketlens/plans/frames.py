@@ -9,7 +9,6 @@ computed once and inlined as literals.
 
 from __future__ import annotations
 
-import os
 import threading
 import uuid
 
@@ -46,16 +45,17 @@ _SNAPSHOTS: dict[tuple, str] = {}
 _SNAPSHOT_LOCK = threading.Lock()
 
 
-def _input_stamp(sf_dir: str) -> tuple:
+def _input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, length and time of every input file, from the file system that holds them."""
+    conf = spark._jsc.hadoopConfiguration()
     out = []
     for t in ("lineitem", "part"):
-        p = os.path.join(sf_dir, f"{t}.parquet")
-        try:
-            st = os.stat(p)
-            out.append((t, st.st_size, int(st.st_mtime)))
-        except OSError:          # remote file systems: the path alone is the key
-            out.append((t, None, None))
-    return tuple(out)
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        files = path.getFileSystem(conf).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
 
 
 def listing_table(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
@@ -70,7 +70,7 @@ def listing_table(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """
     if not materialize:
         return build_listing_table(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), _input_stamp(sf_dir))
+    key = (spark.sparkContext.applicationId, _input_stamp(spark, sf_dir))
     with _SNAPSHOT_LOCK:
         path = _SNAPSHOTS.get(key)
         if path is None:

@@ -17,6 +17,7 @@ REVIEW_DDL = "struct<title:string,rating:double>"
 CRAWL_SQL = """
 search as (
   select asin, row_k1, row_k2, row_k3, title, price_cents, '/dp/' || asin as link,
+         original_price_cents, rating_x10, reviews, delivery_info, sales_volume, is_amazon_choice, is_prime, has_variations,
          case when row_k3 % 9 = 0 then '' else '/img/' || asin || '.jpg' end as image_url
   from raw_listings
 ),
@@ -26,22 +27,33 @@ details as (
     case when reviews % 10 = 0 then null else price_cents end as price_cents,
     case when reviews % 4 = 0 then null else price_cents end as current_price_cents,
     case when reviews % 5 = 0 then '' else '/dp/' || asin end as link,
-    cast(null as varchar) as image_url
+    cast(null as varchar) as image_url,
+    case when reviews % 6 <> 0 then original_price_cents end as original_price_cents,
+    case when reviews % 8 <> 0 then rating_x10 end as rating_x10,
+    case when reviews % 9 <> 0 then reviews + 1 end as reviews,
+    case when reviews % 3 <> 0 then upper(delivery_info) end as delivery_info,
+    case when reviews % 2 <> 0 then upper(sales_volume) end as sales_volume,
+    case when reviews % 4 <> 0 then 'true' end as is_amazon_choice,
+    case when reviews % 4 <> 1 then 'false' end as is_prime,
+    has_variations
   from products where rating_x10 is not null
 ),
 det_rev as (
   select asin, count(*) as n, min_by('review ' || row_k1 || '-' || row_k2, rn) as first_title from (
     select *, row_number() over (partition by asin order by row_k1, row_k2, row_k3) as rn
-    from raw_listings where row_k3 % 3 = 0) x where rn <= 5 group by asin
+    from raw_listings where row_k3 % 3 = 0) x group by asin
 ),
 end_rev as (
   select asin, count(*) as n, min_by('review ' || row_k1 || '-' || row_k2, rn) as first_title from (
     select *, row_number() over (partition by asin order by row_k1, row_k2, row_k3) as rn
-    from raw_listings where row_k3 % 2 = 0) x where rn <= 5 group by asin
+    from raw_listings where row_k3 % 2 = 0) x group by asin
 ),
 enriched as (
   select s.*, d.asin is not null as has_details, d.title as d_title, d.price_cents as d_price_cents,
          d.current_price_cents as d_current_price_cents, d.link as d_link, d.image_url as d_image_url,
+         d.original_price_cents as d_original_price_cents, d.rating_x10 as d_rating_x10, d.reviews as d_reviews,
+         d.delivery_info as d_delivery_info, d.sales_volume as d_sales_volume, d.is_amazon_choice as d_is_amazon_choice,
+         d.is_prime as d_is_prime, d.has_variations as d_has_variations,
          dr.n as d_n, dr.first_title as d_first, er.n as e_n, er.first_title as e_first
   from search s left join details d using (asin)
   left join det_rev dr on dr.asin = d.asin
@@ -70,15 +82,18 @@ select asin, row_k1, row_k2, row_k3, has_details, coalesce(d_n, 0) as detail_rev
 def j_02(spark, d):
     e = _enriched(spark, d)
     return e.select("asin", *crawl.ROW_KEY, F.col("_has_details").alias("has_details"),
-                    F.coalesce(F.size("d_top_reviews"), F.lit(0)).alias("detail_reviews"),
-                    F.coalesce(F.size("e_reviews_list"), F.lit(0)).alias("endpoint_reviews"))
+                    F.coalesce("d_top_reviews_n", F.lit(0)).alias("detail_reviews"),
+                    F.coalesce("e_reviews_list_n", F.lit(0)).alias("endpoint_reviews"))
 
 
-MERGE_FIELDS = ["title", "price_cents", "link", "image_url"]
+MERGE_FIELDS = ["title", "price_cents", "link", "image_url", "original_price_cents", "rating_x10", "reviews", "delivery_info",
+                "sales_volume", "is_amazon_choice", "is_prime", "has_variations"]
+_OTHERS = MERGE_FIELDS[4:]
 
 
 @register("j_03", O.with_base("""
 select asin, row_k1, row_k2, row_k3,
+  """ + "".join(f"case when has_details then d_{c} else {c} end as {c}, " for c in _OTHERS) + """
   case when has_details then d_title else title end as title,
   case when has_details then d_price_cents else price_cents end as price_cents,
   case when has_details then d_link else link end as link,
@@ -90,10 +105,11 @@ def j_03(spark, d):
 
 
 @register("j_04", O.with_base("""
-select asin, row_k1, row_k2, row_k3, title, link, image_url,
+select asin, row_k1, row_k2, row_k3, title, link, image_url, """ + ", ".join(_OTHERS) + """,
   coalesce(price_cents, current_price_cents) as price_cents,
   coalesce(current_price_cents, price_cents) as current_price_cents from (
   select asin, row_k1, row_k2, row_k3,
+    """ + "".join(f"coalesce(case when has_details then d_{c} else {c} end, {c}) as {c}, " for c in _OTHERS) + """
     coalesce(nullif(case when has_details then d_title else title end, ''), title) as title,
     coalesce(nullif(case when has_details then d_link else link end, ''), link) as link,
     coalesce(nullif(case when has_details then d_image_url else image_url end, ''), image_url) as image_url,
@@ -107,8 +123,7 @@ def j_04(spark, d):
         .withColumn("current_price_cents", F.lit(None).cast("bigint"))
     m = J.merge_details(e, [*MERGE_FIELDS, "current_price_cents"])
     b = J.backfill_from_search(m, {c: f"s_{c}" for c in MERGE_FIELDS})
-    return b.select("asin", *crawl.ROW_KEY, "title", "link", "image_url", "price_cents",
-                    "current_price_cents")
+    return b.select("asin", *crawl.ROW_KEY, *MERGE_FIELDS, "current_price_cents")
 
 
 @register("j_05", O.with_base("""
