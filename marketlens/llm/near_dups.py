@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import written
+from .common import checkpointed, written
 from .components import components
 
 SHINGLE = 5
@@ -154,7 +154,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs whose union sketch does not rule them out; ``exact`` if the sketches are whole sets."""
     pairs = written(pairs)
     met = classes.join(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id", "left_semi")
-    met = written(met.select("id", "n", "print", "sketch"))
+    met = checkpointed(met.select("id", "n", "print", "sketch"))
     side = lambda x: met.select(*[F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in met.columns])
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, BOTTOM)
     whole = (F.col("n_a") <= BOTTOM) & (F.col("n_b") <= BOTTOM)
@@ -167,7 +167,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) among the pairs: those whose full sets reach the threshold."""
-    near = written(near)
+    near = checkpointed(near)
     open_ = near.where(~F.col("exact"))
     wanted = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
     sets = full_sets(docs.join(wanted, "doc_id", "left_semi"))
@@ -259,17 +259,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     their own id. Rows that repeat an id count as one document. Texts of fewer than five words
     are one shingle. Other columns are ignored, and an empty table gives an empty result.
     """
-    rows = written(prints(docs))
+    rows = checkpointed(prints(docs))
     named = rows.where("n_shingles > 0 and doc_id is not null")
     first = named.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("doc_id"))
-    classes = written(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
+    classes = checkpointed(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
                            .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch", "keys"))
     member = named.select("doc_id", "n_shingles", "print").join(
         classes.select(F.col("n").alias("n_shingles"), "print", "id"), ["n_shingles", "print"])
     own = member.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
 
     posted = classes.select("id", "n", F.explode("keys").alias("key"))
-    met = written(_with_length(posted))
+    met = checkpointed(_with_length(posted))
     short = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST))
     # a long list meets the bins that follow it, in the order of the document's keys
     hot = met.where(F.col("len") > SHORT_LIST).select(F.col("id").alias("_id"), F.col("key").alias("hot"))
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chained = chained.withColumn("next", F.collect_list("key").over(follow.rowsBetween(1, REFINE)))
     finer = (chained.join(hot, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("hot")))
              .select("id", "n", F.explode("next").alias("other"), "hot").select("id", "n", F.xxhash64("hot", "other").alias("key")))
-    finer = written(_with_length(finer))
+    finer = checkpointed(_with_length(finer))
     long_ = finer.where(F.col("len") > SHORT_LIST)
     pairs = short.union(_pairs_of_short(finer.where(F.col("len") <= SHORT_LIST))).union(_stars(long_)).distinct()
     links = written(_confirmed(docs, _estimated(pairs, classes)))
