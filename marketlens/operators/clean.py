@@ -286,7 +286,7 @@ def preprocess(df: DataFrame) -> DataFrame:
     """CLN-20: the served preprocessor as one DataFrame -> DataFrame step:
     placeholders -> synonyms -> numeric columns present and coerced ->
     original price falls back to price -> flags as 0/1 (default 0) ->
-    category present -> sales default 0."""
+    category present -> sales 0 if no row has any."""
     out = replace_placeholders(df)
     out = apply_synonyms(out)
     out = out.withColumns({c: F.lit(None).cast("double") for c in PREPROCESS_NUMERIC
@@ -296,7 +296,8 @@ def preprocess(df: DataFrame) -> DataFrame:
     out = int_flags(out, BOOL_FLAGS)
     if "crawl_category" not in out.columns:
         out = out.withColumn("crawl_category", F.lit(None).cast("string"))
-    return out.withColumn("sales_volume_num", F.coalesce(F.col("sales_volume_num"), F.lit(0)))
+    known = out.agg(F.count("sales_volume_num").alias("n")).select("n").scalar()
+    return out.withColumn("sales_volume_num", F.when(known == 0, F.lit(0.0)).otherwise(F.col("sales_volume_num")))
 
 
 def dashboard_table(raw: DataFrame, deduplicated: bool = False) -> DataFrame:

@@ -9,11 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.sources.fixtures import category_mapping
+
 # The special-flag filter choices of the market tab.
 SPECIAL_FLAGS = {"choice": "is_amazon_choice", "climate": "is_climate_friendly",
                  "variations": "has_variations"}
 
 
+def shown_as(display: str, raw: str = "crawl_category", unknown: str = "unknown") -> Column:
+    """FLT-01 on the stored key: rows whose category is shown as ``display`` (FE-09, raw fallback).
+
+    The dictionary is inverted, so the predicate is a list of keys and reaches the scan.
+    """
+    names = category_mapping()
+    keys = [k for k, v in names.items() if v == display] + ([display] if display not in names else [])
+    kept = F.col(raw).isin(*keys)
+    return kept | F.col(raw).isNull() if names.get(unknown, unknown) == display else kept
+
+
 def apply_filters(df: DataFrame, category: str | None = None, special: str | None = None,
                   prime_only: bool = False, segment: int | None = None,
                   discount_range: tuple[float, float] | None = None,

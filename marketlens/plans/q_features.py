@@ -285,8 +285,8 @@ def fe_29(spark, d):
 
 @register("flt_01", O.with_base("select asin, category from market where category = 'Department 21'"))
 def flt_01(spark, d):
-    return FL.apply_filters(market_frame(listing_table(spark, d)),
-                            category="Department 21").select("asin", "category")
+    rows = listing_table(spark, d).where(FL.shown_as("Department 21"))
+    return market_frame(rows).select("asin", "category")
 
 
 @register("flt_02", O.with_base("select asin from market where is_climate_friendly"))

@@ -47,7 +47,7 @@ select asin, coalesce(reviews, 0) as reviews, coalesce(number_of_offers, 0) as n
        else coalesce(try_cast(lower(trim(is_prime)) as int), 0) end as is_prime,
   case when lower(trim(is_amazon_choice)) in ('true', '1', 'yes', 'y') then 1
        else coalesce(try_cast(lower(trim(is_amazon_choice)) as int), 0) end as is_amazon_choice,
-  coalesce(original_price_cents, price_cents) as original_price_cents
+  coalesce(original_price_cents, price_cents) as original_price_cents, cast(0 as double) as sales_volume_num
 from (select asin, reviews as review_count, number_of_offers as offer_count, crawl_category as category,
              {O.ph('is_prime')} as is_prime, {O.ph('is_amazon_choice')} as is_amazon_choice,
              original_price_cents, price_cents, reviews, number_of_offers, crawl_category
@@ -60,7 +60,7 @@ def cln_20(spark, d):
                      .withColumnRenamed("crawl_category", "category"))
     return out.select("asin", F.coalesce("reviews", F.lit(0)).alias("reviews"),
                       F.coalesce("number_of_offers", F.lit(0)).alias("number_of_offers"),
-                      "crawl_category", "is_prime", "is_amazon_choice", "original_price_cents")
+                      "crawl_category", "is_prime", "is_amazon_choice", "original_price_cents", "sales_volume_num")
 
 
 @register("ml_01", O.with_base("""
