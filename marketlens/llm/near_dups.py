@@ -32,7 +32,7 @@ LEAST_ESTIMATE = 0.55
 #: Longest list of which all pairs are taken; longer ones are refined.
 SHORT_LIST = 24
 #: Further bins that refine a long list.
-REFINE = 4
+REFINE = 2
 #: Members of a long list compared at once.
 BLOCK = 512
 
@@ -185,11 +185,13 @@ def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     now = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     rows = written(now.join(open_, "key"))
-    of = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists")).join(classes.select("id", "sketch"), "id")
+    # for an estimate the upper halves of the values do, and hashes of the lists' keys
+    short = classes.select("id", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
+    of = rows.groupBy("id").agg(F.sort_array(F.collect_set(F.hash("key"))).alias("lists")).join(short, "id")
     rows = rows.withColumn("n_blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
+            .select("key", F.hash("key").alias("list"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
             .join(of, "id"))
     return rows.groupBy("key", "i", "j").applyInPandas(_compare, "key long, i int, j int, a long, b long")
 
@@ -237,10 +239,10 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     if rows["i"].iloc[0] != rows["j"].iloc[0]:
         pick &= block[:, None] != block[None, :]
     a, b = np.nonzero(pick)
-    sketch, lists = rows["sketch"].to_numpy(), rows["lists"].to_numpy()
+    sketch, lists, own = rows["sketch"].to_numpy(), rows["lists"].to_numpy(), rows["list"].iloc[0]
     kept = np.zeros(len(a), bool)
     for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        if np.intersect1d(lists[x], lists[y], assume_unique=True)[0] == key:
+        if np.intersect1d(lists[x], lists[y], assume_unique=True)[0] == own:
             both = np.intersect1d(sketch[x], sketch[y], assume_unique=True)
             union = np.union1d(sketch[x], sketch[y])[:BOTTOM]
             kept[k] = np.searchsorted(both, union[-1], side="right") >= LEAST_ESTIMATE * len(union)
