@@ -253,9 +253,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Sets that are equal (128 bits and size) are one class, represented by its smallest id. Classes
-    meet in inverted lists. Of short lists all pairs are taken. Long lists are refined by a second
-    bin; those that stay long hold either many copies of one text, which links to a centre join,
-    or what still lies apart after that, which is compared block by block on the sketches.
+    meet in inverted lists. Of short lists all pairs are taken. Long lists hold many copies of one
+    text, which links to a centre and the pairs of refined lists join first. Refining only saves
+    work: whatever members of a long list still lie apart after that, whether or not a further bin
+    agrees, are compared block by block on the sketches.
 
     Rows without words, and rows with a null id, link with nothing and are kept; their component is
     their own id. Rows that repeat an id count as one document. Texts of fewer than five words
@@ -274,7 +275,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = checkpointed(_with_length(posted))
     short = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST))
     # a long list meets the bins that follow it, in the order of the document's keys
-    hot = met.where(F.col("len") > SHORT_LIST).select(F.col("id").alias("_id"), F.col("key").alias("hot"))
+    hot_lists = met.where(F.col("len") > SHORT_LIST)
+    hot = hot_lists.select(F.col("id").alias("_id"), F.col("key").alias("hot"))
     follow = Window.partitionBy("id").orderBy("pos")
     chained = classes.join(hot.select(F.col("_id").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("pos", "key"))
     chained = chained.withColumn("next", F.collect_list("key").over(follow.rowsBetween(1, REFINE)))
@@ -282,10 +284,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
              .select("id", "n", F.explode("next").alias("other"), "hot").select("id", "n", F.xxhash64("hot", "other").alias("key")))
     finer = checkpointed(_with_length(finer))
     long_ = finer.where(F.col("len") > SHORT_LIST)
-    pairs = short.union(_pairs_of_short(finer.where(F.col("len") <= SHORT_LIST))).union(_stars(long_)).distinct()
+    pairs = short.union(_pairs_of_short(finer.where(F.col("len") <= SHORT_LIST))).union(_stars(long_)).union(_stars(hot_lists)).distinct()
     links = written(_confirmed(docs, _estimated(pairs, classes)))
     found = components(links)
-    rest = written(_confirmed_in_blocks(docs, _blocks(long_, classes, found), classes))
+    rest = written(_confirmed_in_blocks(docs, _blocks(hot_lists, classes, found), classes))
     whole = components(links.union(rest).union(own))
     return (rows.join(whole, F.col("doc_id") == F.col("id"), "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))

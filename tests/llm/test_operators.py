@@ -417,6 +417,37 @@ def test_near_dups_hot_groups(spark):
     assert got == plain.near_duplicates(rows)
 
 
+def bins_of(texts):
+    """The bins of the shingle hashes of each text."""
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    h, at = near_dups.shingle_sets(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    return [(h[a:b] % np.uint64(near_dups.BINS)).tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_near_dups_in_long_lists_only(spark):
+    """Groups of over 24 texts that link through one alone, at exactly 0.75."""
+    rng = random.Random(23)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = []
+    # short: three shingles in one bin, so the only key of the shared text has no further one
+    bases = [" ".join(word() for _ in range(7)) for _ in range(20_000)]
+    short = [b for b, bins in zip(bases, bins_of(bases), strict=True) if len(set(bins)) == 1 and bins[0] < 32][:2]
+    assert len(short) == 2
+    for base in short:
+        variants = [f"{base} {word()}" for _ in range(80)]
+        rows += [base, *[v for v, bins in zip(variants, bins_of(variants), strict=True) if bins.count(bins[0]) == 3][:40]]
+    # long: 300 shingles inside 400, and 60 such texts that share 0.6 with each other
+    for _ in range(2):
+        base = [word() for _ in range(304)]
+        rows += [" ".join(base), *[" ".join(base + [word() for _ in range(100)]) for _ in range(60)]]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    expected = plain.near_duplicates(rows)
+    assert len({c for _, c in expected.values()}) == 4
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == expected
+
+
 def test_near_dups_odd_rows(odd, none):
     got = near_dups.near_duplicates(odd).collect()
     assert len(got) == odd.count()
