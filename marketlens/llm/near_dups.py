@@ -24,9 +24,6 @@ from .components import components
 SHINGLE = 5
 PERCENT = 75
 BOTTOM, BINS = 96, 48
-#: Bins that have lists. Sets at the threshold match in a bin with odds of 0.29 or more, so 32 bins
-#: miss a pair once in 50,000 at worst, and far less often above the threshold.
-KEYED = 32
 #: Least estimate of a pair that goes on to its full sets: 4.5 standard errors below the threshold.
 LEAST_ESTIMATE = 0.55
 #: Longest list of which all pairs are taken; longer ones are refined.
@@ -66,11 +63,10 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def list_keys(sketch: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each of the first KEYED bins of each row that holds a retained value, and offsets."""
+    """One key for each bin of each row that holds a retained value, and offsets."""
     rows = len(bounds) - 1
     cell = np.repeat(np.arange(rows) * BINS, np.diff(bounds)) + (sketch % np.uint64(BINS)).astype(np.int64)
     order = np.argsort(cell, kind="stable")
-    order = order[cell[order] % BINS < KEYED]
     cell, values = cell[order], ts.mix(sketch[order])
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(1, int)
     cell = cell[edge[:-1]]

@@ -448,6 +448,25 @@ def test_near_dups_in_long_lists_only(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == expected
 
 
+def test_near_dups_every_bin_has_lists(spark):
+    """Texts of 7 and 8 words whose shared shingles lie in the last bins alone."""
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    bases = [" ".join(word() for _ in range(7)) for _ in range(3000)]
+    rows = []
+    for base, bins in zip(bases, bins_of(bases), strict=True):
+        if min(bins) >= 32:
+            longer = f"{base} {word()}"
+            if [bins_of([longer])[0].count(b) for b in bins] == [bins.count(b) for b in bins]:
+                rows += [base, longer]
+    assert len(rows) > 50
+    rows = list(enumerate(rows))
+    expected = plain.near_duplicates(rows)
+    assert len({c for _, c in expected.values()}) == len(rows) // 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == expected
+
+
 def test_near_dups_odd_rows(odd, none):
     got = near_dups.near_duplicates(odd).collect()
     assert len(got) == odd.count()
