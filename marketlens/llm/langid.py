@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 from . import textscan as ts
 from .common import checkpointed, hash_share, shipped
 
-#: Most symbols of labelled text that an automaton is built from, for each language.
+#: Most letters and spaces of labelled text that an automaton is built from, for each language.
 TRAIN_SYMBOLS = 30_000
-#: Distinct letters with a symbol of their own; the others share one.
-ALPHABET = 62
+#: Letters with a symbol of their own, the most frequent ones; the other letters of the labelled text
+#: are written as numbers to the base DIGITS, so that each differs from all others in any script.
+ALPHABET, DIGITS = 62, 32
 #: Symbols parsed in one go: a phrase ends at such a border, for every language alike.
 SEGMENT = 512
 UNKNOWN = "und"
+#: Letters in no labelled text.
 OTHER_LETTER = 1
 
 
@@ -34,14 +36,26 @@ def letters(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def symbol_table(alphabet: str) -> np.ndarray:
-    """Symbol of each code point: 0 for what is no letter, 2 and up for the alphabet's."""
-    known = {c: i + 2 for i, c in enumerate(alphabet)}
-    out = np.zeros(0x110000, np.uint8)
+def letter_codes(alphabet: str) -> tuple[dict[str, tuple[int, ...]], int]:
+    """Symbols of each letter of the alphabet, frequent letters first, and how many symbols there are."""
+    own, rare = alphabet[:ALPHABET], alphabet[ALPHABET:]
+    first, places = 2 + len(own), 1
+    while DIGITS**places < len(rare):
+        places += 1
+    codes = {c: (i + 2,) for i, c in enumerate(own)}
+    codes |= {c: tuple(first + i // DIGITS**k % DIGITS for k in reversed(range(places))) for i, c in enumerate(rare)}
+    return codes, first + (DIGITS if rare else 0)
+
+
+def symbol_table(codes: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Symbols of each code point, a row for each place: first 0 for what is no letter, 2 and up for
+    the alphabet's; further places 0 where the letter has fewer symbols."""
+    out = np.zeros((max(map(len, codes.values()), default=1), 0x110000), np.uint8)
     for cp in range(0x110000):
         c = chr(cp)
         if c.isalpha():
-            out[cp] = known.get(c.lower()[:1], OTHER_LETTER)
+            code = codes.get(c.lower()[:1], (OTHER_LETTER,))
+            out[: len(code), cp] = code
     return out
 
 
@@ -89,8 +103,8 @@ class Model:
 
     def __init__(self, samples: dict[str, list[int]], alphabet: str):
         self.langs = sorted(samples)
-        self.symbols = symbol_table(alphabet)
-        self.width = len(alphabet) + 2
+        codes, self.width = letter_codes(alphabet)
+        self.symbols = symbol_table(codes)
         tables, roots, base = [], [], 0
         for lang in self.langs:
             t = automaton(samples[lang], self.width)
@@ -108,13 +122,19 @@ class Model:
         """Symbols of all rows, runs of non-letters kept as one 0, and the rows' offsets."""
         cps = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         bounds = ts.char_prefix(data)[offs]
-        sym = self.symbols[cps]
+        sym = self.symbols[0, cps]
         keep = sym != 0
         keep[1:] |= sym[:-1] != 0
         firsts = bounds[:-1][bounds[:-1] < len(sym)]
         keep[firsts] = sym[firsts] != 0  # a row does not begin with a space
         at = np.concatenate([[0], np.cumsum(keep)])
-        return sym[keep], at[bounds]
+        sym, bounds = sym[keep], at[bounds]
+        if len(self.symbols) > 1:
+            places = np.concatenate([sym[None], self.symbols[1:, cps[keep]]]).T
+            held = places != 0
+            held[:, 0] = True
+            sym, bounds = places[held], np.concatenate([[0], np.cumsum(held.sum(axis=1))])[bounds]
+        return sym, bounds
 
     def phrases(self, sym: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Phrases that each language needs for each row: an array of languages by rows."""
@@ -167,8 +187,10 @@ def fit(docs: DataFrame, usable: Column, max_symbols: int = TRAIN_SYMBOLS) -> Mo
     """Automata from the labelled rows of ``docs`` that are ``usable``.
 
     For each language rows are taken at a rate that yields about twice ``max_symbols`` characters,
-    in the order of a hash of the id, until ``max_symbols`` symbols are there. The bound is the
-    only limit; scoring reads every text whole. Languages with no letter in their rows are left out.
+    in the order of a hash of the id, until ``max_symbols`` letters and spaces are there, at most a
+    sixteenth of them from one text, a stretch that begins anywhere in it. All their letters are told
+    apart, however many; scoring reads every text whole. Languages with no letter in their rows are
+    left out.
     """
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
@@ -185,17 +207,19 @@ def fit(docs: DataFrame, usable: Column, max_symbols: int = TRAIN_SYMBOLS) -> Mo
     for s in samples.values():
         for c in s.replace(" ", ""):
             seen[c] = seen.get(c, 0) + 1
-    alphabet = "".join(sorted(sorted(seen, key=lambda c: (-seen[c], c))[:ALPHABET]))
-    code = {c: i + 2 for i, c in enumerate(alphabet)} | {" ": 0}
-    return Model({k: [code.get(c, OTHER_LETTER) for c in v] for k, v in samples.items()}, alphabet)
+    alphabet = "".join(sorted(seen, key=lambda c: (-seen[c], c)))
+    codes = letter_codes(alphabet)[0] | {" ": (0,)}
+    return Model({k: [x for c in v for x in codes[c]] for k, v in samples.items()}, alphabet)
 
 
 def _sampler(max_symbols: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out, size = [], 0
         share = max_symbols // 16  # of one text
-        for text in rows.sort_values(["h", "text"])["text"]:
-            out.append(letters(text)[: min(share, max_symbols - size)])
+        for h, text in rows.sort_values(["h", "text"])[["h", "text"]].itertuples(index=False):
+            text, room = letters(text), min(share, max_symbols - size)
+            at = int(h * 65536 % 1 * (max(0, len(text) - room) + 1))  # by the low digits, as the order takes the high ones
+            out.append(text[at : at + room])
             size += len(out[-1]) + 1
             if size >= max_symbols:
                 break

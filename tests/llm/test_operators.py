@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -528,6 +529,30 @@ def test_language_id_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
 
 
+def test_language_id_of_many_scripts(spark):
+    """Two languages in each of four scripts, told apart by their letters; one script has 600."""
+    rng = random.Random(31)
+    scripts = [range(0x61, 0x7B), range(0x430, 0x450), range(0x628, 0x64B), range(0x4E00, 0x4E00 + 600)]
+    rows, n = [], 0
+    for k, script in enumerate(scripts):
+        for j in range(2):
+            lexicon = ["".join(chr(rng.choice(script)) for _ in range(3)) for _ in range(300)]
+            for _ in range(60):
+                rows.append((n, " ".join(rng.choices(lexicon, k=60)), f"{k}{j}"))
+                n += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.col("doc_id") % 3 > 0)
+    assert len(model.symbols) == 2
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs.where("doc_id % 3 = 0"), model).collect()}
+    assert len(got) == 160 and [got[i] for i, _, _ in rows if i in got] == [lang for i, _, lang in rows if i in got]
+
+
+def test_language_id_trains_on_all_parts_of_a_text():
+    rows = [("x", "ab " * 1000 + "cd " * 1000, (i * 7919 % 1000) / 1000 + i / 2**30) for i in range(40)]
+    out = langid._sampler(30_000)(pd.DataFrame(rows, columns=["lang", "text", "h"]))["sample"][0]
+    assert out.count("c") > 1000 and out.count("a") > 1000 and len(out) <= 30_001
+
+
 def test_language_id_odd_rows(odd, none):
     model = langid.fit(odd, F.lit(True))
     got = langid.identify(odd, model).collect()
