@@ -10,6 +10,7 @@ libraries is not a goal; the operators around the models are exact.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -153,44 +154,32 @@ def linear_model() -> LinearRegression:
     return LinearRegression(featuresCol="features", labelCol=LABEL, regParam=0.0)
 
 
-def rf_grid(rf: RandomForestRegressor, size: str = "reference"):
-    """ML-11 grid: 2 x 3 x 2 x 2 x 2 = 48 points at reference size."""
+def rf_grid(rf: RandomForestRegressor):
+    """ML-11 grid: 2 x 3 x 2 x 2 x 2 = 48 points."""
     g = ParamGridBuilder()
-    if size == "reference":
-        g = (g.addGrid(rf.numTrees, [200, 300]).addGrid(rf.maxDepth, [5, 10, 15])
-             .addGrid(rf.minInstancesPerNode, [2, 4]).addGrid(rf.minInfoGain, [0.0, 1e-4])
-             .addGrid(rf.featureSubsetStrategy, ["sqrt", "0.5"]))
-    else:
-        g = g.addGrid(rf.numTrees, [20]).addGrid(rf.maxDepth, [5, 8])
-    return g.build()
+    return (g.addGrid(rf.numTrees, [200, 300]).addGrid(rf.maxDepth, [5, 10, 15])
+            .addGrid(rf.minInstancesPerNode, [2, 4]).addGrid(rf.minInfoGain, [0.0, 1e-4])
+            .addGrid(rf.featureSubsetStrategy, ["sqrt", "0.5"])).build()
 
 
-def gbt_grid(gb: GBTRegressor, size: str = "reference"):
-    """ML-12 grid: 2 x 3 x 3 x 2 x 2 = 72 points at reference size."""
+def gbt_grid(gb: GBTRegressor):
+    """ML-12 grid: 2 x 3 x 3 x 2 x 2 = 72 points."""
     g = ParamGridBuilder()
-    if size == "reference":
-        g = (g.addGrid(gb.maxIter, [200, 500]).addGrid(gb.stepSize, [0.01, 0.05, 0.1])
-             .addGrid(gb.maxDepth, [3, 4, 5]).addGrid(gb.subsamplingRate, [0.8, 1.0])
-             .addGrid(gb.featureSubsetStrategy, ["sqrt", "0.5"]))
-    else:
-        g = g.addGrid(gb.maxIter, [20]).addGrid(gb.maxDepth, [3, 4])
-    return g.build()
+    return (g.addGrid(gb.maxIter, [200, 500]).addGrid(gb.stepSize, [0.01, 0.05, 0.1])
+            .addGrid(gb.maxDepth, [3, 4, 5]).addGrid(gb.subsamplingRate, [0.8, 1.0])
+            .addGrid(gb.featureSubsetStrategy, ["sqrt", "0.5"])).build()
 
 
-def regularised_gbt_grid(gb: GBTRegressor, size: str = "reference"):
+def regularised_gbt_grid(gb: GBTRegressor):
     """ML-13 (re-aimed): the regularised boosting grid as a second GBT grid,
     2 x 2 x 2 x 2 x 3 x 3 = 144 points (penalties mapped to minInfoGain and
     minInstancesPerNode; MLlib GBT has no L1/L2 leaf penalties)."""
     g = ParamGridBuilder()
-    if size == "reference":
-        g = (g.addGrid(gb.maxIter, [1000, 1500]).addGrid(gb.stepSize, [0.01])
-             .addGrid(gb.maxDepth, [3, 4]).addGrid(gb.subsamplingRate, [0.7, 0.8])
-             .addGrid(gb.featureSubsetStrategy, ["0.7", "0.8"])
-             .addGrid(gb.minInfoGain, [0.0, 1e-4, 1e-3])
-             .addGrid(gb.minInstancesPerNode, [1, 2, 5]))
-    else:
-        g = g.addGrid(gb.maxIter, [30]).addGrid(gb.stepSize, [0.05]).addGrid(gb.maxDepth, [3])
-    return g.build()
+    return (g.addGrid(gb.maxIter, [1000, 1500]).addGrid(gb.stepSize, [0.01])
+            .addGrid(gb.maxDepth, [3, 4]).addGrid(gb.subsamplingRate, [0.7, 0.8])
+            .addGrid(gb.featureSubsetStrategy, ["0.7", "0.8"])
+            .addGrid(gb.minInfoGain, [0.0, 1e-4, 1e-3])
+            .addGrid(gb.minInstancesPerNode, [1, 2, 5])).build()
 
 
 def tuned(estimator, grid, folds: int = 3, seed: int = 42, parallelism: int = 4) -> CrossValidator:
@@ -204,14 +193,14 @@ def with_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", F.pmod(stable_hash("asin", seed + 1), F.lit(k)).cast("int"))
 
 
-def model_zoo(size: str = "reference") -> dict:
+def model_zoo() -> dict:
     rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=42)
     gb = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=42)
     xg = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=42)
     return {"linear": linear_model(),
-            "random_forest": tuned(rf, rf_grid(rf, size)),
-            "gradient_boosting": tuned(gb, gbt_grid(gb, size)),
-            "regularised_boosting": tuned(xg, regularised_gbt_grid(xg, size))}
+            "random_forest": tuned(rf, rf_grid(rf)),
+            "gradient_boosting": tuned(gb, gbt_grid(gb)),
+            "regularised_boosting": tuned(xg, regularised_gbt_grid(xg))}
 
 
 def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
@@ -225,22 +214,35 @@ def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction")
                     n.alias("rows"))
 
 
-def fit_and_evaluate(table: DataFrame, size: str = "reference", names=None) -> tuple[dict, DataFrame]:
-    """ML-07/10..13/15: features fitted on train, models on train+val (with CV
-    inside), metrics on test; comparison table sorted by R^2."""
-    train = table.where("split = 'train'")
-    fm = fit_features(train)
+def fit_models(table: DataFrame, names=None) -> tuple[dict, dict, PipelineModel]:
+    """ML-07/10..13: features fitted on train, models on train+val (with CV inside).
+    Returns the models, estimators with each model's chosen parameters, and the features."""
+    fm = fit_features(table.where("split = 'train'"))
     tv = with_folds(fm.transform(prepare_features(table.where("split in ('train', 'val')"))), 3)
-    test = fm.transform(prepare_features(table.where("split = 'test'")))
-    models, rows = {}, None
-    for name, est in model_zoo(size).items():
+    models, chosen = {}, {}
+    for name, est in model_zoo().items():
         if names and name not in names:
             continue
         m = est.fit(tv)
-        m = getattr(m, "bestModel", m)
-        models[name] = m
-        r = metrics(m.transform(test)).withColumn("model", F.lit(name))
-        rows = r if rows is None else rows.unionByName(r)
+        if hasattr(m, "bestModel"):
+            best = min(range(len(m.avgMetrics)), key=m.avgMetrics.__getitem__)
+            models[name], chosen[name] = m.bestModel, est.getEstimator().copy(est.getEstimatorParamMaps()[best])
+        else:
+            models[name], chosen[name] = m, est
+    return models, chosen, fm
+
+
+def each_model(frames: dict) -> DataFrame:
+    """One frame per model, stacked, with the model's name as a column."""
+    named = [df.withColumn("model", F.lit(name)) for name, df in frames.items()]
+    return functools.reduce(DataFrame.unionByName, named)
+
+
+def fit_and_evaluate(table: DataFrame, names=None) -> tuple[dict, DataFrame]:
+    """ML-15: models of ``fit_models`` with metrics on test; comparison table sorted by R^2."""
+    models, _, fm = fit_models(table, names)
+    test = fm.transform(prepare_features(table.where("split = 'test'")))
+    rows = each_model({name: metrics(m.transform(test)) for name, m in models.items()})
     return models, rows.orderBy(F.col("r2").desc(), "model")
 
 
