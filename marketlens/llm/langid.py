@@ -165,11 +165,14 @@ class Model:
             out[k] = np.bincount(row, count, rows)
         return out
 
+    def letters_in(self, sym: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Symbols of letters in each row."""
+        return np.diff(np.concatenate([[0], np.cumsum(sym != 0)])[bounds])
+
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray]:
         sym, bounds = self.symbolise(data, offs)
         rows = len(offs) - 1
-        letters_in = np.concatenate([[0], np.cumsum(sym != 0)])[bounds]
-        found = np.diff(letters_in) > 0
+        found = self.letters_in(sym, bounds) > 0
         if not self.langs or not len(sym):
             return [UNKNOWN] * rows, np.zeros(rows)
         bits = self.phrases(sym, bounds) * self.bits[:, None]
@@ -250,7 +253,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` in which a language is found, all columns unchanged."""
+    """The rows of ``docs`` in which a language is found, all columns unchanged.
+
+    If the model has learnt no language, a text with a letter passes: nothing tells against it.
+    """
     shared = shipped(docs.sparkSession, model)
     at = docs.columns.index("text")
 
@@ -258,7 +264,11 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         learnt = shared()
         for b in batches:
             if b.num_rows:
-                names = [n for _, _, data, offs in ts.text_slices(b.column(at)) for n in learnt.predict(data, offs)[0]]
-                yield b.filter(pa.array([n != UNKNOWN for n in names]))
+                slices = ts.text_slices(b.column(at))
+                if learnt.langs:
+                    kept = [n != UNKNOWN for _, _, data, offs in slices for n in learnt.predict(data, offs)[0]]
+                else:
+                    kept = [n > 0 for _, _, data, offs in slices for n in learnt.letters_in(*learnt.symbolise(data, offs)).tolist()]
+                yield b.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -564,3 +564,11 @@ def test_language_id_odd_rows(odd, none):
     assert {r.lang_pred for r in langid.identify(odd, langid.fit(none, F.lit(True))).collect()} == {"und"}
     kept = langid.keep_identified(odd, model)
     assert kept.columns == odd.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
+
+
+def test_language_filter_without_any_label(spark):
+    texts = ["a plain text", "漢字", "12 34 !!", "", None, "é"]
+    docs = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True))
+    assert model.langs == []
+    assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [0, 1, 5]
