@@ -228,6 +228,13 @@ def test_license_scan(spark):
 
 # --- 6 packing
 
+def test_license_training_wraps_every_notice(spark):
+    drawn = spark.range(4000).select(F.col("id").cast("string").alias("text"), F.xxhash64("id").alias("h"))
+    count = sum(map(len, licenses.NOTICES.values()))
+    got = {r.number for r in licenses._around(drawn, 8 * count).select("number").distinct().collect()}
+    assert set(range(count)) <= got
+
+
 def check_packed(rows, texts, end=packing.END):
     from tokenizers import Tokenizer
 
