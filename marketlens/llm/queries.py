@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import class_lm, langid, licenses, mixing, near_dups, packing, quality_model, quality_rules, token_counts, vector_dups
+from . import alignment, class_lm, langid, licenses, mixing, near_dups, packing, quality_model, quality_rules, token_counts, vector_dups
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,8 @@ ORACLES: dict[str, str] = {}
 TOKENIZER = "word_bpe_49k.json"
 #: Piece file of the token counts.
 PIECES = "piece_bpe_32k.model"
+#: The two vocabulary files of the alignment.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -121,3 +123,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = token_counts.Vocabulary.of(token_counts.zipf_scores(tokenizer_path(PIECES)))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summed(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
