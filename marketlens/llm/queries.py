@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, class_lm, langid, licenses, mixing, near_dups, packing, quality_model, quality_rules, token_counts, vector_dups
+from . import alignment, class_lm, langid, licenses, mixing, near_dups, packing, prefix_trie, quality_model, quality_rules, token_counts, vector_dups
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,45 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_token_alignment")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.summed(table(spark, sf_dir, "documents"), *map(tokenizer_path, ALIGNED))
+
+
+TRIE_SQL = r"""
+with turns as (
+  select conv_id as c, {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t,
+         row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as pos
+  from conversations where conv_id is not null),
+stored as (
+  select c, list(t order by pos) as ts from turns group by c),
+heads as (
+  select c, ts, c - c % 20 as base,
+         xor(list_reduce(list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::bigint),
+             lambda crc, x: list_reduce(range(8), lambda v, k: case when v & 1 = 1 then xor(v >> 1, 3988292384::bigint) else v >> 1 end, xor(crc, x)),
+             4294967295::bigint), 4294967295::bigint) % 4 as h
+  from stored),
+built as (
+  select a.c, list_concat(coalesce(b.ts, [])[:a.h], a.ts[a.h + 1:]) as ts
+  from heads a left join stored b on b.c = a.base),
+members as (
+  select c, d, ts[:d] as node, len(ts) = d as ends from (select c, ts, unnest(range(len(ts) + 1)) as d from built)),
+nodes as (
+  select node, d, min(c) as conv_id, count(*) as n_convs,
+         sha256(coalesce(string_agg(case when ends then c::varchar end, ',' order by c), '')) as ends_sha256,
+         case when d = 0 then 0 else (count(*) - 1) * len(regexp_extract_all(node[d].text, '[^\x20\x09-\x0D]+')) end as saves
+  from members group by node, d),
+children as (
+  select node[:d - 1] as node, d - 1 as d, count(*) as n_children from nodes where d > 0 group by 1, 2),
+below as (
+  select n.node[:k] as node, k as d, sum(n.saves) as saved_tokens, count(*) filter (where ch.node is null) as n_leaves
+  from (select node, d, saves, unnest(range(d + 1)) as k from nodes) n left join children ch on ch.node = n.node and ch.d = n.d
+  group by 1, 2)
+select n.conv_id, n.d::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, coalesce(ch.n_children, 0)::bigint as n_children,
+       b.n_leaves::bigint as n_leaves, b.saved_tokens::bigint as saved_tokens, n.ends_sha256
+from nodes n join below b on b.node = n.node and b.d = n.d left join children ch on ch.node = n.node and ch.d = n.d
+left join nodes p on p.d = n.d - 1 and p.node = n.node[:n.d - 1]
+"""
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
