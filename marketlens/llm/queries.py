@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, class_lm, langid, licenses, mixing, near_dups, packing, prefix_trie, quality_model, quality_rules, token_counts, vector_dups
+from . import alignment, class_lm, langid, licenses, mixing, near_dups, packing, prefix_trie, quality_model, quality_rules, token_counts, vantage, vector_dups
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,8 @@ left join nodes p on p.d = n.d - 1 and p.node = n.node[:n.d - 1]
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op11_vantage_neighbours")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
