@@ -158,12 +158,18 @@ def classes(embeddings: DataFrame, k: int) -> DataFrame:
     return one.join(ids, same).select("print", F.size("embedding").alias("dim"), "embedding", "ids")
 
 
+def _of_dim(numbers: dict[int, int]) -> Column:
+    """The number of a row's vector length, null if there is none."""
+    pairs = [F.lit(v).cast("int") for item in numbers.items() for v in item]
+    return F.create_map(*pairs)[F.col("dim")] if pairs else F.lit(None).cast("int")
+
+
 def index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """dim, shard, tree (pickled ``Tree`` and the ids of its rows): every distinct vector is in one
     shard, dealt by its print, so that any split of the input gives the same shards."""
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shards = F.create_map(*[F.lit(v) for dim, n in sizes.items() for v in (dim, -(-n // shard_rows))]) if sizes else F.lit(None).cast("map<int,int>")
-    dealt = distinct.withColumn("shard", F.pmod(F.col("print"), shards[F.col("dim")]).cast("int"))
+    shards = _of_dim({dim: -(-n // shard_rows) for dim, n in sizes.items()})
+    dealt = distinct.withColumn("shard", F.pmod(F.col("print"), shards).cast("int"))
 
     def build(key, t):
         t = t.sort_by("print")
@@ -180,8 +186,8 @@ def index(distinct: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
 def blocks(queries: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """dim, block, ids, prints and vectors (bytes) of the queries (vec_id, print, embedding), block by block."""
     sizes = {r["dim"]: r["n"] for r in queries.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = F.create_map(*[F.lit(v) for dim, n in sizes.items() for v in (dim, -(-n // block_rows))]) if sizes else F.lit(None).cast("map<int,int>")
-    dealt = queries.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id", "print"), counts[F.col("dim")]).cast("int"))
+    counts = _of_dim({dim: -(-n // block_rows) for dim, n in sizes.items()})
+    dealt = queries.withColumn("dim", F.size("embedding")).withColumn("block", F.pmod(F.xxhash64("vec_id", "print"), counts).cast("int"))
 
     def pack(key, t):
         x = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -196,13 +202,20 @@ def search(trees: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
     """query_id, print, rank, vec_id, score: the k nearest found of each query (vec_id, print, embedding).
 
     Blocks of queries meet every shard of their length; a copy of a shard serves BLOCKS_TOGETHER
-    blocks. Each shard gives at most k results a query, and a query's results are ranked with a
+    blocks, which travel to it. Each shard gives at most k results a query, and a query's results are ranked with a
     limit before the shuffle."""
+    spark = trees.sparkSession
     packed = written(blocks(queries, block_rows))
-    together = F.expr(f"int(block div {BLOCKS_TOGETHER})").alias("together")
-    groups = packed.select("dim", together).distinct().select(F.col("dim").alias("_dim"), "together")
-    copies = trees.join(groups, F.col("_dim") == F.col("dim")).drop("_dim")
-    pairs = copies.join(packed.select("dim", together, "ids", "prints", "vectors"), ["dim", "together"]).select("tree", "ids", "prints", "vectors")
+    per = lambda t, c: {r["dim"]: r["n"] for r in t.groupBy("dim").agg((F.max(c) + 1).alias("n")).collect()}
+    shards, groups = per(trees, "shard"), {dim: -(-n // BLOCKS_TOGETHER) for dim, n in per(packed, "block").items()}
+    key = ["dim", "shard", "together"]
+    # a task for every few pairs of a shard and a group of blocks, however little data they are
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(n * groups.get(dim, 0) for dim, n in shards.items()) // 4)
+    every = lambda counts: F.explode(F.sequence(F.lit(0), _of_dim(counts) - 1))
+    copies = trees.where(_of_dim(groups).isNotNull()).withColumn("together", every(groups)).repartition(tasks, *key)
+    asked = (packed.where(_of_dim(shards).isNotNull()).withColumn("together", F.expr(f"int(block div {BLOCKS_TOGETHER})")).withColumn("shard", every(shards))
+             .repartition(tasks, *key))
+    pairs = copies.join(asked, key).select("tree", "ids", "prints", "vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
