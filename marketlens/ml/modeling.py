@@ -1,25 +1,19 @@
-"""Model table, feature pipeline, training, evaluation and scoring (CLN-22, ML-04..ML-22).
-
-Everything is Spark ML: a ``Pipeline`` of our estimators, ``StringIndexer`` +
-``OneHotEncoder`` and ``VectorAssembler``; regressors are MLlib's
-(``LinearRegression``, ``RandomForestRegressor``, ``GBTRegressor``), tuned by
-``CrossValidator`` with a deterministic hash fold column. Metrics are plain
-aggregates over the prediction frame. Parity of model numbers with other
-libraries is not a goal; the operators around the models are exact.
+"""Model table, feature pipeline, evaluation and scoring (CLN-22, ML-04..ML-22).
+
+Features are Spark ML: a ``Pipeline`` of our estimators, ``StringIndexer`` +
+``OneHotEncoder`` and ``VectorAssembler``. The linear model is solved from
+sums (``gram``), forests and boosted trees are grown on binned rows
+(``trees``), and ``store`` keeps what is fitted. Metrics are plain aggregates
+over the prediction frame. Parity of model numbers with other libraries is
+not a goal; the operators around the models are exact.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
-import math
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,7 +22,7 @@ from marketlens.ml.estimators import PopulationScaler, QuantileClipper, impute_c
 from marketlens.ml.scoring import back_transform
 from marketlens.functions.bins import potential_badge
 from marketlens.operators import clean as C
-from marketlens.operators.ranking import hash_split, stable_hash
+from marketlens.operators.ranking import hash_split
 
 # The model's feature groups.
 SKEWED = ["price", "original_price", "reviews", "number_of_offers", "delivery_fee", "discount",
@@ -146,63 +140,9 @@ def ensure_pipeline(path: str, sample: DataFrame) -> PipelineModel:
 
 
 # ---------------------------------------------------------------------------
-# Models
+# Evaluation (the models are in trees, gram and store)
 # ---------------------------------------------------------------------------
 
-def linear_model() -> LinearRegression:
-    """ML-10: ordinary least squares."""
-    return LinearRegression(featuresCol="features", labelCol=LABEL, regParam=0.0)
-
-
-def rf_grid(rf: RandomForestRegressor):
-    """ML-11 grid: 2 x 3 x 2 x 2 x 2 = 48 points."""
-    g = ParamGridBuilder()
-    return (g.addGrid(rf.numTrees, [200, 300]).addGrid(rf.maxDepth, [5, 10, 15])
-            .addGrid(rf.minInstancesPerNode, [2, 4]).addGrid(rf.minInfoGain, [0.0, 1e-4])
-            .addGrid(rf.featureSubsetStrategy, ["sqrt", "0.5"])).build()
-
-
-def gbt_grid(gb: GBTRegressor):
-    """ML-12 grid: 2 x 3 x 3 x 2 x 2 = 72 points."""
-    g = ParamGridBuilder()
-    return (g.addGrid(gb.maxIter, [200, 500]).addGrid(gb.stepSize, [0.01, 0.05, 0.1])
-            .addGrid(gb.maxDepth, [3, 4, 5]).addGrid(gb.subsamplingRate, [0.8, 1.0])
-            .addGrid(gb.featureSubsetStrategy, ["sqrt", "0.5"])).build()
-
-
-def regularised_gbt_grid(gb: GBTRegressor):
-    """ML-13 (re-aimed): the regularised boosting grid as a second GBT grid,
-    2 x 2 x 2 x 2 x 3 x 3 = 144 points (penalties mapped to minInfoGain and
-    minInstancesPerNode; MLlib GBT has no L1/L2 leaf penalties)."""
-    g = ParamGridBuilder()
-    return (g.addGrid(gb.maxIter, [1000, 1500]).addGrid(gb.stepSize, [0.01])
-            .addGrid(gb.maxDepth, [3, 4]).addGrid(gb.subsamplingRate, [0.7, 0.8])
-            .addGrid(gb.featureSubsetStrategy, ["0.7", "0.8"])
-            .addGrid(gb.minInfoGain, [0.0, 1e-4, 1e-3])
-            .addGrid(gb.minInstancesPerNode, [1, 2, 5])).build()
-
-
-def tuned(estimator, grid, folds: int = 3, seed: int = 42, parallelism: int = 4) -> CrossValidator:
-    """Grid search with k folds on a deterministic hash fold column, MSE scoring."""
-    ev = RegressionEvaluator(labelCol=LABEL, predictionCol="prediction", metricName="mse")
-    return CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev,
-                          numFolds=folds, foldCol="fold", parallelism=parallelism, seed=seed)
-
-
-def with_folds(df: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    return df.withColumn("fold", F.pmod(stable_hash("asin", seed + 1), F.lit(k)).cast("int"))
-
-
-def model_zoo() -> dict:
-    rf = RandomForestRegressor(featuresCol="features", labelCol=LABEL, seed=42)
-    gb = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=42)
-    xg = GBTRegressor(featuresCol="features", labelCol=LABEL, seed=42)
-    return {"linear": linear_model(),
-            "random_forest": tuned(rf, rf_grid(rf)),
-            "gradient_boosting": tuned(gb, gbt_grid(gb)),
-            "regularised_boosting": tuned(xg, regularised_gbt_grid(xg))}
-
-
 def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction") -> DataFrame:
     """ML-14: RMSE, MAE, R^2 as one aggregate (R^2 from the label's own mean)."""
     y, p = F.col(label), F.col(prediction)
@@ -214,77 +154,19 @@ def metrics(pred: DataFrame, label: str = LABEL, prediction: str = "prediction")
                     n.alias("rows"))
 
 
-def fit_models(table: DataFrame, names=None) -> tuple[dict, dict, PipelineModel]:
-    """ML-07/10..13: features fitted on train, models on train+val (with CV inside).
-    Returns the models, estimators with each model's chosen parameters, and the features."""
-    fm = fit_features(table.where("split = 'train'"))
-    tv = with_folds(fm.transform(prepare_features(table.where("split in ('train', 'val')"))), 3)
-    models, chosen = {}, {}
-    for name, est in model_zoo().items():
-        if names and name not in names:
-            continue
-        m = est.fit(tv)
-        if hasattr(m, "bestModel"):
-            best = min(range(len(m.avgMetrics)), key=m.avgMetrics.__getitem__)
-            models[name], chosen[name] = m.bestModel, est.getEstimator().copy(est.getEstimatorParamMaps()[best])
-        else:
-            models[name], chosen[name] = m, est
-    return models, chosen, fm
-
-
 def each_model(frames: dict) -> DataFrame:
     """One frame per model, stacked, with the model's name as a column."""
     named = [df.withColumn("model", F.lit(name)) for name, df in frames.items()]
     return functools.reduce(DataFrame.unionByName, named)
 
 
-def fit_and_evaluate(table: DataFrame, names=None) -> tuple[dict, DataFrame]:
-    """ML-15: models of ``fit_models`` with metrics on test; comparison table sorted by R^2."""
-    models, _, fm = fit_models(table, names)
-    test = fm.transform(prepare_features(table.where("split = 'test'")))
-    rows = each_model({name: metrics(m.transform(test)) for name, m in models.items()})
-    return models, rows.orderBy(F.col("r2").desc(), "model")
-
-
 def importances(model, names: list[str], spark: SparkSession, k: int = 10) -> DataFrame:
-    """ML-16: top-k |coefficient| (linear) or feature importance (trees)."""
-    if hasattr(model, "coefficients"):
-        vals = [abs(float(v)) for v in model.coefficients.toArray()]
-    else:
-        vals = [float(v) for v in model.featureImportances.toArray()]
-    df = spark.createDataFrame(list(zip(names, vals)), "feature string, importance double")
+    """ML-16: top-k |coefficient| (linear) or shares of gain (trees)."""
+    values = [float(v) for v in model.importances()]
+    df = spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), "feature").limit(k)
 
 
-def cross_validated_r2(estimator, data: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
-    """ML-18: k-fold R^2 per fold (hash folds), then mean and population std."""
-    data = with_folds(data, k, seed)
-    scores = None
-    for f in range(k):
-        m = estimator.fit(data.where(F.col("fold") != f))
-        r = metrics(m.transform(data.where(F.col("fold") == f))).select(
-            F.lit(f).alias("fold"), "r2")
-        scores = r if scores is None else scores.unionByName(r)
-    return scores.agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"),
-                      F.count(F.lit(1)).alias("folds"))
-
-
-def learning_curve(estimator, data: DataFrame, sizes=(0.1, 0.325, 0.55, 0.775, 1.0),
-                   k: int = 3, seed: int = 42) -> DataFrame:
-    """ML-17: CV MSE for nested hash-prefix subsets of the training data."""
-    data = with_folds(data, k, seed).withColumn(
-        "_u", F.pmod(stable_hash("asin", seed + 7), F.lit(10_000)) / 10_000.0)
-    out = None
-    for s, f in itertools.product(sizes, range(k)):
-        tr = data.where((F.col("fold") != f) & (F.col("_u") < s))
-        m = estimator.fit(tr)
-        r = metrics(m.transform(data.where(F.col("fold") == f))).select(
-            F.lit(s).alias("train_fraction"), F.lit(f).alias("fold"),
-            (F.col("rmse") * F.col("rmse")).alias("mse"))
-        out = r if out is None else out.unionByName(r)
-    return out.groupBy("train_fraction").agg(F.avg("mse").alias("cv_mse"))
-
-
 def residuals(pred: DataFrame) -> DataFrame:
     """ML-19: residual per row (label - prediction)."""
     return pred.withColumn("residual", F.col(LABEL) - F.col("prediction"))
@@ -302,15 +184,3 @@ def score(features_model: PipelineModel, model, rows: DataFrame) -> DataFrame:
     units = back_transform("prediction")
     return p.withColumn("predicted_units", units) \
         .withColumn("potential", potential_badge(F.col("predicted_units")))
-
-
-def model_catalog(spark: SparkSession, comparison: DataFrame, base_path: str) -> DataFrame:
-    """ML-22: saved models with their test metrics; default = best R^2."""
-    best = comparison.orderBy(F.col("r2").desc(), "model").select("model").limit(1).scalar()
-    return comparison.select(
-        "model", F.concat(F.lit(base_path.rstrip("/") + "/"), F.col("model")).alias("path"),
-        "r2", "rmse", "mae", (F.col("model") == best).alias("is_default"))
-
-
-def is_finite(x: float) -> bool:
-    return x is not None and not math.isnan(x) and not math.isinf(x)

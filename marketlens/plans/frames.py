@@ -45,7 +45,7 @@ _SNAPSHOTS: dict[tuple, str] = {}
 _SNAPSHOT_LOCK = threading.Lock()
 
 
-def _input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
+def input_stamp(spark: SparkSession, sf_dir: str) -> tuple:
     """Path, length and time of every input file, from the file system that holds them."""
     conf = spark._jsc.hadoopConfiguration()
     out = []
@@ -70,7 +70,7 @@ def listing_table(spark: SparkSession, sf_dir: str, materialize: bool = True) ->
     """
     if not materialize:
         return build_listing_table(spark, sf_dir)
-    key = (spark.sparkContext.applicationId, _input_stamp(spark, sf_dir))
+    key = (spark.sparkContext.applicationId, input_stamp(spark, sf_dir))
     with _SNAPSHOT_LOCK:
         path = _SNAPSHOTS.get(key)
         if path is None:

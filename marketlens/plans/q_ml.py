@@ -3,11 +3,12 @@
 Estimator questions with exact arithmetic have oracles; model training is
 checked by rows (and by tests on thresholds), as parity with other model
 libraries is not a goal. Training questions search the whole reference grids
-(48/72/144 points).
+(48/72/144 points) once for each input and share what the store holds.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.ml.functions import vector_to_array
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 
 from marketlens.ml import modeling as MD
 from marketlens.ml.estimators import QuantileClipper, impute_constants
+from marketlens.ml.store import NAMES, Store, load_model
 from marketlens.operators import clean as C
 from marketlens.plans import oracle as O
 from marketlens.plans.catalog import register
-from marketlens.plans.frames import products
+from marketlens.plans.frames import input_stamp, products
 from marketlens.session import ensure_checkpoint_dir
 
 MODEL_SQL = f"""
@@ -137,10 +139,10 @@ def ml_07(spark, d):
 
 @register("ml_08")
 def ml_08(spark, d):
-    t, fm = _features(spark, d)
+    t = MD.prepare_features(_table(spark, d))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/features-{uuid.uuid4().hex}"
-    MD.save_pipeline(fm, path)
-    loaded = MD.load_pipeline(path)
+    MD.ensure_pipeline(path, t.where("split = 'train'"))  # builds and saves
+    loaded = MD.ensure_pipeline(path, t.limit(0))  # loads
     return loaded.transform(t).select("asin", vector_to_array("features").alias("features"))
 
 
@@ -150,93 +152,101 @@ def ml_09(spark, d):
     return MD.feature_name_frame(spark, fm.transform(t))
 
 
-def _fit(spark, d, names):
-    return MD.fit_and_evaluate(_table(spark, d), names=names)
+def _store(spark, d):
+    return Store(spark, lambda: _table(spark, d), [input_stamp(spark, d), "first listing of each product"])
+
+
+def _searched(spark, d, name):
+    """Every point of a model's grid, best first, the chosen one with its metrics on test."""
+    store = _store(spark, d)
+    points = store.points(name)
+    rows = [(k + 1, json.dumps(p["settings"], sort_keys=True), p["mse"], p["folds"]) for k, p in enumerate(points)]
+    grid = spark.createDataFrame(rows, "rank int, settings string, cv_mse double, folds int")
+    best = store.comparison([name]).withColumn("_rank", F.lit(1))
+    return grid.join(F.broadcast(best), F.col("rank") == F.col("_rank"), "left").drop("_rank").withColumn("model", F.lit(name))
 
 
 @register("ml_10")
 def ml_10(spark, d):
-    return _fit(spark, d, ["linear"])[1]
+    return _store(spark, d).comparison(["linear"])
 
 
 @register("ml_11")
 def ml_11(spark, d):
-    return _fit(spark, d, ["random_forest"])[1]
+    return _searched(spark, d, "random_forest")
 
 
 @register("ml_12")
 def ml_12(spark, d):
-    return _fit(spark, d, ["gradient_boosting"])[1]
+    return _searched(spark, d, "gradient_boosting")
 
 
 @register("ml_13")
 def ml_13(spark, d):
-    return _fit(spark, d, ["regularised_boosting"])[1]
+    return _searched(spark, d, "regularised_boosting")
 
 
 @register("ml_14")
 def ml_14(spark, d):
-    t, fm = _features(spark, d)
-    tv = fm.transform(t.where("split in ('train', 'val')"))
-    m = MD.linear_model().fit(tv)
-    return MD.metrics(m.transform(fm.transform(t.where("split = 'test'"))))
+    return MD.metrics(_store(spark, d).predicted("linear", "test"))
 
 
 @register("ml_15")
 def ml_15(spark, d):
-    return _fit(spark, d, None)[1]
-
-
-def _all_models(spark, d):
-    """Models, estimators with their chosen parameters, and the features of each split."""
-    table = _table(spark, d)
-    models, chosen, fm = MD.fit_models(table)
-    return models, chosen, lambda splits: fm.transform(MD.prepare_features(table.where(F.col("split").isin(splits))))
+    return _store(spark, d).comparison().orderBy(F.col("r2").desc(), "model")
 
 
 @register("ml_16")
 def ml_16(spark, d):
-    models, _, rows = _all_models(spark, d)
-    names = MD.feature_names(rows(["train", "val"]))
-    return MD.each_model({k: MD.importances(m, names, spark, 10) for k, m in models.items()})
+    store = _store(spark, d)
+    names = store.features()["names"]
+    return MD.each_model({k: MD.importances(store.model(k), names, spark, 10) for k in NAMES})
 
 
 @register("ml_17")
 def ml_17(spark, d):
-    _, chosen, rows = _all_models(spark, d)
-    # as in the reference, the linear model's curve is of train alone, in five folds
-    return MD.each_model({k: MD.learning_curve(est, rows(["train"]), k=5) if k == "linear" else MD.learning_curve(est, rows(["train", "val"]))
-                          for k, est in chosen.items()})
+    store = _store(spark, d)
+    rows = [(k, *r) for k in NAMES for r in store.scores(k)["curve"]]
+    df = spark.createDataFrame(rows, "model string, train_fraction double, rows long, train_mse double, cv_mse double")
+    return df.groupBy("model", "train_fraction").agg(F.avg("rows").alias("train_rows"), F.avg("train_mse").alias("train_mse"),
+                                                     F.avg("cv_mse").alias("cv_mse"), F.count(F.lit(1)).alias("folds"))
 
 
 @register("ml_18")
 def ml_18(spark, d):
-    _, chosen, rows = _all_models(spark, d)
-    return MD.each_model({k: MD.cross_validated_r2(est, rows(["train", "val"])) for k, est in chosen.items()})
+    store = _store(spark, d)
+    df = spark.createDataFrame([(k, float(r2)) for k in NAMES for r2 in store.scores(k)["stability"]], "model string, r2 double")
+    return df.groupBy("model").agg(F.avg("r2").alias("cv_r2_mean"), F.stddev_pop("r2").alias("cv_r2_std"), F.count(F.lit(1)).alias("folds"))
 
 
 @register("ml_19")
 def ml_19(spark, d):
     from marketlens.operators.aggregates.profile import histogram
-    models, _, rows = _all_models(spark, d)
-    return MD.each_model({k: histogram(MD.residuals(m.transform(rows(["test"]))), "residual", 40, eager_bounds=True) for k, m in models.items()})
+    store, out = _store(spark, d), {}
+    for k in NAMES:
+        r = MD.residuals(store.predicted(k, "test"))
+        mean = r.agg(F.avg("residual").alias("residual_mean"))
+        out[k] = histogram(r, "residual", 40, eager_bounds=True).crossJoin(F.broadcast(mean))
+    return MD.each_model(out)
 
 
 @register("ml_20")
 def ml_20(spark, d):
-    models, _, rows = _all_models(spark, d)
-    return MD.each_model({k: MD.axis_limits(m.transform(rows(["test"]))) for k, m in models.items()})
+    """Pairs of actual and predicted of every test listing, with the axis limits of their chart."""
+    store, out = _store(spark, d), {}
+    for k in NAMES:
+        p = store.predicted(k, "test")
+        out[k] = p.select("asin", F.col(MD.LABEL).alias("actual"), "prediction").crossJoin(F.broadcast(MD.axis_limits(p)))
+    return MD.each_model(out)
 
 
 @register("ml_21")
 def ml_21(spark, d):
-    t, fm = _features(spark, d)
-    m = MD.linear_model().fit(fm.transform(t.where("split in ('train', 'val')")))
-    return MD.score(fm, m, _table(spark, d)).select("asin", "prediction", "predicted_units", "potential")
+    store = _store(spark, d)
+    model = load_model(spark, store.catalog().where("is_default").first()["path"])
+    return MD.score(store.pipeline(), model, store.table()).select("asin", "prediction", "predicted_units", "potential")
 
 
 @register("ml_22")
 def ml_22(spark, d):
-    _, comparison = _fit(spark, d, None)
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models"
-    return MD.model_catalog(spark, comparison, base)
+    return _store(spark, d).catalog()

@@ -55,3 +55,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="marketlens-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def model_dir(spark: SparkSession) -> str:
+    """The folder of saved models: in the shared checkpoint folder that the cluster names, and for a
+    local session without one, in a folder of the user's that outlives the session."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/marketlens-models"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), f"marketlens-models-{os.getuid()}")
