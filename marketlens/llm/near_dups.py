@@ -1,9 +1,10 @@
 """MinHash near-duplicates by bottom-k sketches of one hash function (operator 9).
 
 A document's set holds the hashes of its five-word shingles; its sketch is the smallest BOTTOM of
-them. The retained values, dealt into BINS bins by their low digits, are the keys of inverted
-lists: two documents meet in a list if a bin of both holds the same values. Similar documents meet
-in many lists; documents that share a passage or a line only in few. Pairs that meet are estimated
+them. Inverted lists of retained values generate overlaps: in one common order of values, rarest
+first, two sketches that share at least ``need`` values share one among the first size - need + 1 of
+either, so a document is listed under its rarest values alone. Values of passages, lines and
+templates that many documents hold come last and seldom have a list. Pairs that meet are estimated
 on the sketch of their union and confirmed on full sets.
 """
 
@@ -14,22 +15,22 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import checkpointed, written
+from .common import checkpointed, shipped, written
 from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-BOTTOM, BINS = 96, 48
+BOTTOM = 96
+#: Counters of the common order: a value's place depends on the documents that share its counter.
+COUNTERS = 1 << 18
 #: Least estimate of a pair that goes on to its full sets: 4.5 standard errors below the threshold.
 LEAST_ESTIMATE = 0.55
 #: Longest list of which all pairs are taken; longer ones are refined.
 SHORT_LIST = 24
-#: Further bins that refine a long list.
-REFINE = 2
 #: Members of a long list compared at once.
 BLOCK = 512
 
@@ -62,16 +63,22 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def list_keys(sketch: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One key for each bin of each row that holds a retained value, and offsets."""
-    rows = len(bounds) - 1
-    cell = np.repeat(np.arange(rows) * BINS, np.diff(bounds)) + (sketch % np.uint64(BINS)).astype(np.int64)
-    order = np.argsort(cell, kind="stable")
-    cell, values = cell[order], ts.mix(sketch[order])
-    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]])) if len(cell) else np.zeros(1, int)
-    cell = cell[edge[:-1]]
-    keys = ts.mix(_sums(values, edge) ^ ts.mix((cell % BINS + 1).astype(np.uint64)))
-    return keys, np.searchsorted(cell, np.arange(rows + 1) * BINS)
+def needed(size: np.ndarray) -> np.ndarray:
+    """Retained values that a sketch of ``size`` must share with a partner's: three quarters of it where
+    all partners are whole sets too (they hold at most 4 / 3 as many shingles), else what the least
+    estimate asks of a union's sketch, which is less from there on."""
+    least = int(np.ceil(LEAST_ESTIMATE * BOTTOM))
+    return np.minimum(-(-PERCENT * size // 100), least)
+
+
+def rarest(sketch: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values under which each row is listed, end to end, and offsets."""
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((sketch, counts[sketch % np.uint64(COUNTERS)], row))
+    listed = np.where(size > 0, size - needed(size) + 1, 0)
+    place = np.arange(len(sketch)) - bounds[row]
+    return sketch[order][place < listed[row]], np.concatenate([[0], np.cumsum(listed)])
 
 
 def _ragged(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -103,15 +110,15 @@ def prints(docs: DataFrame) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, print, sketch and keys of every row."""
+    """doc_id, print and sketch of every row."""
 
     def columns(h: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
         kept = np.minimum(np.diff(bounds), BOTTOM)
         at = np.concatenate([[0], np.cumsum(kept)])
         sketch = h[np.arange(at[-1]) + np.repeat(bounds[:-1] - at[:-1], kept)]
-        return {"print": _print(h, bounds), "sketch": _ragged(sketch, at), "keys": _ragged(*list_keys(sketch, at))}
+        return {"print": _print(h, bounds), "sketch": _ragged(sketch, at)}
 
-    return _read(docs, "print binary, sketch array<long>, keys array<long>", columns)
+    return _read(docs, "print binary, sketch array<long>", columns)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -119,6 +126,42 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return _read(docs, "print binary, shingles array<long>", lambda h, bounds: {"print": _print(h, bounds), "shingles": _ragged(h, bounds)})
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offs = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), (offs - offs[0]).astype(np.int64)
+
+
+def value_counts(classes: DataFrame) -> np.ndarray:
+    """How many retained values of all documents fall on each of COUNTERS counters: a table of a
+    fixed size, summed in each task first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            total += np.bincount((_flat(b.column(0))[0] % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
+
+    found = classes.select("sketch").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(COUNTERS, np.int64)
+    out[found["counter"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """id, n, key: the lists of each class."""
+    shared = shipped(classes.sparkSession, value_counts(classes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared()
+        for b in batches:
+            keys, bounds = rarest(*_flat(b.column(2)), counts)
+            row = pa.array(np.repeat(np.arange(len(b)), np.diff(bounds)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(keys.view(np.int64))], ["id", "n", "key"])
+
+    return classes.select("id", "n", "sketch").mapInArrow(run, "id long, n long, key long")
+
+
 def _near(n_a: str, n_b: str):
     """The smaller set is large enough for the threshold."""
     return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
@@ -176,18 +219,24 @@ def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
 
 def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of members of long lists that lie in different components, estimated on their sketches
-    in blocks of BLOCK by BLOCK members. Lists whose members are all linked by now are left out; a
-    pair comes from the least of the lists that it shares alone."""
+    in blocks of BLOCK by BLOCK members. Lists whose members are all linked by now are left out, and
+    of the others' largest component only the pairs with members outside it are compared. A pair
+    comes from the least of the lists that it shares alone."""
     now = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rows = written(now.join(open_, "key"))
-    # for an estimate the upper halves of the values do, and hashes of the lists' keys
+    sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    open_ = (sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("len"))
+             .where("len > n_main").select("key", "main", F.ceil((F.col("len") - F.col("n_main")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("n_main") / BLOCK).cast("int").alias("inner")))
+    rows = written(now.drop("len").join(open_, "key"))
+    # for an estimate the upper halves of the values do
     short = classes.select("id", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
-    of = rows.groupBy("id").agg(F.sort_array(F.collect_set(F.hash("key"))).alias("lists")).join(short, "id")
-    rows = rows.withColumn("n_blocks", F.ceil(F.col("len") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-            .select("key", F.hash("key").alias("list"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
+    of = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists")).join(short, "id")
+    # blocks from 0 hold the members outside the largest component, blocks from ``outer`` its own
+    inside = F.col("component") == F.col("main")
+    place = F.xxhash64("id")
+    rows = rows.withColumn("block", F.when(inside, F.col("outer") + F.pmod(place, F.col("inner"))).otherwise(F.pmod(place, F.col("outer"))).cast("int"))
+    others = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
             .join(of, "id"))
     return rows.groupBy("key", "i", "j").applyInPandas(_compare, "key long, i int, j int, a long, b long")
 
@@ -235,7 +284,7 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     if rows["i"].iloc[0] != rows["j"].iloc[0]:
         pick &= block[:, None] != block[None, :]
     a, b = np.nonzero(pick)
-    sketch, lists, own = rows["sketch"].to_numpy(), rows["lists"].to_numpy(), rows["list"].iloc[0]
+    sketch, lists, own = rows["sketch"].to_numpy(), rows["lists"].to_numpy(), rows["key"].iloc[0]
     kept = np.zeros(len(a), bool)
     for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         if np.intersect1d(lists[x], lists[y], assume_unique=True)[0] == own:
@@ -249,10 +298,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``.
 
     Sets that are equal (128 bits and size) are one class, represented by its smallest id. Classes
-    meet in inverted lists. Of short lists all pairs are taken. Long lists hold many copies of one
-    text, which links to a centre and the pairs of refined lists join first. Refining only saves
-    work: whatever members of a long list still lie apart after that, whether or not a further bin
-    agrees, are compared block by block on the sketches.
+    meet in the lists of their rarest retained values. Of short lists all pairs are taken. Members of
+    long lists, which hold many copies of one text, link to a centre first; whatever of a long list
+    still lies apart after that is compared block by block on the sketches.
 
     Rows without words, and rows with a null id, link with nothing and are kept; their component is
     their own id. Rows that repeat an id count as one document. Texts of fewer than five words
@@ -262,25 +310,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = rows.where("n_shingles > 0 and doc_id is not null")
     first = named.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("doc_id"))
     classes = checkpointed(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-                           .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch", "keys"))
+                           .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch"))
     member = named.select("doc_id", "n_shingles", "print").join(
         classes.select(F.col("n").alias("n_shingles"), "print", "id"), ["n_shingles", "print"])
     own = member.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
 
-    posted = classes.select("id", "n", F.explode("keys").alias("key"))
-    met = checkpointed(_with_length(posted))
-    short = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST))
-    # a long list meets the bins that follow it, in the order of the document's keys
+    met = written(_with_length(postings(classes)))
     hot_lists = met.where(F.col("len") > SHORT_LIST)
-    hot = hot_lists.select(F.col("id").alias("_id"), F.col("key").alias("hot"))
-    follow = Window.partitionBy("id").orderBy("pos")
-    chained = classes.join(hot.select(F.col("_id").alias("id")).distinct(), "id", "left_semi").select("id", "n", F.posexplode("keys").alias("pos", "key"))
-    chained = chained.withColumn("next", F.collect_list("key").over(follow.rowsBetween(1, REFINE)))
-    finer = (chained.join(hot, (F.col("id") == F.col("_id")) & (F.col("key") == F.col("hot")))
-             .select("id", "n", F.explode("next").alias("other"), "hot").select("id", "n", F.xxhash64("hot", "other").alias("key")))
-    finer = checkpointed(_with_length(finer))
-    long_ = finer.where(F.col("len") > SHORT_LIST)
-    pairs = short.union(_pairs_of_short(finer.where(F.col("len") <= SHORT_LIST))).union(_stars(long_)).union(_stars(hot_lists)).distinct()
+    pairs = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST)).union(_stars(hot_lists)).distinct()
     links = written(_confirmed(docs, _estimated(pairs, classes)))
     found = components(links)
     rest = written(_confirmed_in_blocks(docs, _blocks(hot_lists, classes, found), classes))
@@ -291,6 +328,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the smallest id of their group, all columns unchanged."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    """The rows of ``docs`` that are the smallest id of their group, all columns unchanged.
+
+    Rows without words and rows with a null id are kept. Of rows that repeat an id and its text one
+    is kept; rows of one id with other texts are one document and are kept or go together. An empty
+    table gives an empty result."""
+    found = checkpointed(near_duplicates(docs).select("doc_id", "kept").where("doc_id is not null"))
+    of = lambda ids: ids.select(F.col("doc_id").alias("_kept_id"))
+    same = docs["doc_id"].cast("long") == F.col("_kept_id")
+    left = docs.join(of(found.where(~F.col("kept")).select("doc_id").distinct()), same, "left_anti")
+    repeated = found.groupBy("doc_id").count().where("count > 1")
+    return left.join(of(repeated), same, "left_anti").unionByName(left.join(of(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -344,15 +344,25 @@ def plain_vectors(rows):
     return {i: (links[i], groups.find(i)) for i, _, _ in rows}
 
 
-def test_vector_dups_full_recall(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("label in (3, 4)")
-    t = df.toPandas()
-    x = np.array(t.embedding.tolist(), float)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    near = (x @ x.T >= 0.93) & (t.label.to_numpy()[:, None] == t.label.to_numpy()[None, :])
-    expected = dict(zip(t.vec_id.tolist(), (near.sum(axis=1) - 1).tolist(), strict=True))
-    got = {r.vec_id: r.n_links for r in vector_dups.near_duplicates(df).collect()}
-    assert sum(expected.values()) > 100 and got == expected
+def test_vector_dups_recall_of_planted_neighbours(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((8000, 32))
+    for k in range(0, 4000, 2):  # pairs and chains around the threshold
+        away = rng.standard_normal(32)
+        unit = x[k] / np.linalg.norm(x[k])
+        away -= (away @ unit) * unit
+        cos = rng.uniform(0.9, 0.98)
+        x[k + 1] = (cos * unit + np.sqrt(1 - cos**2) * away / np.linalg.norm(away)) * rng.uniform(0.5, 3)
+    label = np.arange(8000) // 4 % 3
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None, :])
+    groups = plain.Groups()
+    for i, j in zip(*np.nonzero(near), strict=True):
+        groups.join(int(i), int(j))
+    expected = {i: (int(near[i].sum()) - 1, groups.find(i)) for i in range(8000)}
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(8000), "embedding": list(x), "label": label}), "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dups.near_duplicates(df.repartition(5)).collect()}
+    assert sum(n for n, _ in expected.values()) > 1500 and got == {i: (n, c, i == c) for i, (n, c) in expected.items()}
 
 
 def test_vector_dups_odd_rows(spark):
@@ -425,25 +435,14 @@ def test_near_dups_hot_groups(spark):
     assert got == plain.near_duplicates(rows)
 
 
-def bins_of(texts):
-    """The bins of the shingle hashes of each text."""
-    data = np.frombuffer("".join(texts).encode(), np.uint8)
-    h, at = near_dups.shingle_sets(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
-    return [(h[a:b] % np.uint64(near_dups.BINS)).tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 def test_near_dups_in_long_lists_only(spark):
     """Groups of over 24 texts that link through one alone, at exactly 0.75."""
     rng = random.Random(23)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows = []
-    # short: three shingles in one bin, so the only key of the shared text has no further one
-    bases = [" ".join(word() for _ in range(7)) for _ in range(20_000)]
-    short = [b for b, bins in zip(bases, bins_of(bases), strict=True) if len(set(bins)) == 1 and bins[0] < 32][:2]
-    assert len(short) == 2
-    for base in short:
-        variants = [f"{base} {word()}" for _ in range(80)]
-        rows += [base, *[v for v, bins in zip(variants, bins_of(variants), strict=True) if bins.count(bins[0]) == 3][:40]]
+    for _ in range(2):  # short: three shingles inside four
+        base = " ".join(word() for _ in range(7))
+        rows += [base, *[f"{base} {word()}" for _ in range(40)]]
     # long: 300 shingles inside 400, and 60 such texts that share 0.6 with each other
     for _ in range(2):
         base = [word() for _ in range(304)]
@@ -456,23 +455,28 @@ def test_near_dups_in_long_lists_only(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == expected
 
 
-def test_near_dups_every_bin_has_lists(spark):
-    """Texts of 7 and 8 words whose shared shingles lie in the last bins alone."""
-    rng = random.Random(29)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    bases = [" ".join(word() for _ in range(7)) for _ in range(3000)]
-    rows = []
-    for base, bins in zip(bases, bins_of(bases), strict=True):
-        if min(bins) >= 32:
-            longer = f"{base} {word()}"
-            if [bins_of([longer])[0].count(b) for b in bins] == [bins.count(b) for b in bins]:
-                rows += [base, longer]
-    assert len(rows) > 50
-    rows = list(enumerate(rows))
-    expected = plain.near_duplicates(rows)
-    assert len({c for _, c in expected.values()}) == len(rows) // 2
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.near_duplicates(df).collect()} == expected
+def test_near_dups_loses_no_short_pair(spark):
+    """100,000 pairs of texts of 7 and 8 words, at exactly 0.75."""
+    rng = np.random.default_rng(29)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (100_000, 8, 6)).reshape(-1, 6)]).reshape(-1, 8)
+    rows = [(2 * i + k, " ".join(w[: 7 + k])) for i, w in enumerate(words.tolist()) for k in (0, 1)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text"])).repartition(4)
+    got = near_dups.near_duplicates(df)
+    assert got.where("component_id <> doc_id - doc_id % 2 or n_shingles <> 3 + doc_id % 2").count() == 0 and got.count() == len(rows)
+
+
+def test_near_dups_lists_guarantee_a_meeting():
+    """Any two sketches that share enough have a list in common, whatever the counts."""
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 3, 4, 7, 40, 70, 71, 95, 96):
+        need = int(near_dups.needed(np.array([n]))[0])
+        assert need <= n and (n > 70 or need == math.ceil(0.75 * n))
+        for _ in range(50):
+            pool = rng.permutation(5000)[: 2 * n - need].astype(np.uint64)
+            sets = [np.sort(pool[:n]), np.sort(pool[n - need :])]
+            counts = rng.integers(0, 9, near_dups.COUNTERS)
+            keys, at = near_dups.rarest(np.concatenate(sets), np.array([0, n, 2 * n]), counts)
+            assert np.intersect1d(keys[: at[1]], keys[at[1] :]).size
 
 
 def test_near_dups_odd_rows(odd, none):
@@ -484,7 +488,10 @@ def test_near_dups_odd_rows(odd, none):
     assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
     assert near_dups.near_duplicates(none).collect() == []
     left = near_dups.one_of_each(odd)
-    assert left.columns == odd.columns and left.count() == sum(r.kept for r in got)
+    assert left.columns == odd.columns
+    # a row that repeats an id and its text goes, one with a null id stays
+    ids = collections.Counter(r.doc_id for r in left.collect())
+    assert ids == {i: 1 for i in {r.doc_id for r in got if r.kept and r.doc_id is not None}} | {None: sum(r.doc_id is None for r in got)}
 
 
 def test_components_against_union_find(spark):
