@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
@@ -29,6 +29,8 @@ BOTTOM = 96
 COUNTERS = 1 << 18
 #: Least estimate of a pair that goes on to its full sets: 4.5 standard errors below the threshold.
 LEAST_ESTIMATE = 0.55
+#: Bits of the map of wanted ids, which each task holds.
+WANTED_BITS = 1 << 25
 #: Longest list of which all pairs are taken; longer ones are refined.
 SHORT_LIST = 24
 #: Members of a long list compared at once.
@@ -92,16 +94,35 @@ def _print(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return out.cast(pa.binary())
 
 
-def _read(docs: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]]) -> DataFrame:
-    """doc_id and the given columns of the sets of every row."""
+def _read(docs: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], wanted: Callable[[], np.ndarray] | None = None) -> DataFrame:
+    """doc_id and the given columns of the sets of every row, or of those whose bit is in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = wanted() if wanted else None
         for b in batches:
+            if wanted:
+                bit = b.column(2).to_numpy()
+                b = b.filter(pa.array((held[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for lo, hi, data, offs in ts.text_slices(b.column(1)):
                 got = columns(*shingle_sets(data, offs))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *got.values()], ["doc_id", *got])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {schema}")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id, F.col("text").cast("string"), *([_bit(doc_id)] if wanted else [])).mapInArrow(run, f"doc_id long, {schema}")
+
+
+def _bit(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(WANTED_BITS))
+
+
+def _map_of(ids: DataFrame) -> Callable[[], np.ndarray]:
+    """A bit map of a fixed size that holds the ids (doc_id) and, by chance, a few others, so that
+    texts need no shuffle to find those that are wanted."""
+    bit = ids.select(_bit(F.col("doc_id")).alias("bit"))
+    words = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits")).toPandas()
+    out = np.zeros(WANTED_BITS // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return shipped(ids.sparkSession, out)
 
 
 def prints(docs: DataFrame) -> DataFrame:
@@ -121,9 +142,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _read(docs, "print binary, sketch array<long>", columns)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, print and the whole set of every row."""
-    return _read(docs, "print binary, shingles array<long>", lambda h, bounds: {"print": _print(h, bounds), "shingles": _ragged(h, bounds)})
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, print and the whole set of the rows with one of the ids (doc_id)."""
+    columns = lambda h, bounds: {"print": _print(h, bounds), "shingles": _ragged(h, bounds)}
+    ids = written(ids)
+    return _read(docs, "print binary, shingles array<long>", columns, _map_of(ids)).join(ids, "doc_id", "left_semi")
 
 
 def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +198,11 @@ def _pairs_of_short(lists: DataFrame) -> DataFrame:
     return two.where(_near("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _stars(lists: DataFrame) -> DataFrame:
-    """Each member of a list with one member, the first by a hash of the id: the lists of a group
+def _stars(lists: DataFrame, members: DataFrame) -> DataFrame:
+    """Each of ``members`` of a list with one member of it, the first by a hash of the id: the lists of a group
     of copies mostly share their centre, so a member meets few centres."""
     centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("c"))
-    return (lists.join(centre, "key").where((F.col("id") != F.col("c.id")) & _near("n", "c.n"))
+    return (members.join(centre, "key").where((F.col("id") != F.col("c.id")) & _near("n", "c.n"))
             .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
 
 
@@ -208,8 +231,7 @@ def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
     """Links (a, b) among the pairs: those whose full sets reach the threshold."""
     near = checkpointed(near)
     open_ = near.where(~F.col("exact"))
-    wanted = open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct()
-    sets = full_sets(docs.join(wanted, "doc_id", "left_semi"))
+    sets = full_sets(docs, open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct())
     side = lambda x: sets.groupBy(F.col("doc_id").alias(x), F.col("print").alias(f"print_{x}")).agg(F.first("shingles").alias(f"set_{x}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     full = (open_.join(side("a"), ["a", "print_a"]).join(side("b"), ["b", "print_b"])
@@ -217,6 +239,13 @@ def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
     return near.where("exact").select("a", "b").union(full.select("a", "b"))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ids are in different components."""
+    side = lambda x: found.select(F.col("id").alias(x), F.col("component").alias(f"_{x}"))
+    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return joined.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(pairs.columns)
+
+
 def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs of members of long lists that lie in different components, estimated on their sketches
     in blocks of BLOCK by BLOCK members. Lists whose members are all linked by now are left out, and
@@ -238,14 +267,14 @@ def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
             .join(of, "id"))
-    return rows.groupBy("key", "i", "j").applyInPandas(_compare, "key long, i int, j int, a long, b long")
+    return rows.groupBy("key", "i", "j").applyInPandas(_compare, "key long, i int, j int, a long, b long, component_a long, component_b long, estimate double")
 
 
 def _confirmed_in_blocks(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links among the pairs (key, i, j, a, b), each block with the full sets of its documents once."""
-    pairs, block = written(pairs), ["key", "i", "j"]
+    """Links among the written pairs (key, i, j, a, b), each block with the full sets of its documents once."""
+    block = ["key", "i", "j"]
     used = pairs.select(*block, F.col("a").alias("id")).union(pairs.select(*block, "b")).distinct()
-    sets = full_sets(docs.join(used.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    sets = full_sets(docs, used.select(F.col("id").alias("doc_id")).distinct())
     sets = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("print")), ["doc_id", "print"], "left_semi")
     sets = sets.groupBy(F.col("doc_id").alias("id")).agg(F.first("shingles").alias("shingles"))
     held = used.join(sets, "id").select(*[F.col(c).alias(f"_{c}") for c in block], "id", "shingles")
@@ -285,13 +314,16 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
         pick &= block[:, None] != block[None, :]
     a, b = np.nonzero(pick)
     sketch, lists, own = rows["sketch"].to_numpy(), rows["lists"].to_numpy(), rows["key"].iloc[0]
-    kept = np.zeros(len(a), bool)
+    estimate = np.zeros(len(a))
     for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         if np.intersect1d(lists[x], lists[y], assume_unique=True)[0] == own:
             both = np.intersect1d(sketch[x], sketch[y], assume_unique=True)
             union = np.union1d(sketch[x], sketch[y])[:BOTTOM]
-            kept[k] = np.searchsorted(both, union[-1], side="right") >= LEAST_ESTIMATE * len(union)
-    return pd.DataFrame({"key": key, "i": rows["i"].iloc[0], "j": rows["j"].iloc[0], "a": ids[a[kept]], "b": ids[b[kept]]})
+            estimate[k] = np.searchsorted(both, union[-1], side="right") / len(union)
+    kept = estimate >= LEAST_ESTIMATE
+    a, b = a[kept], b[kept]
+    return pd.DataFrame({"key": key, "i": rows["i"].iloc[0], "j": rows["j"].iloc[0], "a": ids[a], "b": ids[b],
+                         "component_a": np.minimum(group[a], group[b]), "component_b": np.maximum(group[a], group[b]), "estimate": estimate[kept]})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -317,11 +349,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     met = written(_with_length(postings(classes)))
     hot_lists = met.where(F.col("len") > SHORT_LIST)
-    pairs = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST)).union(_stars(hot_lists)).distinct()
-    links = written(_confirmed(docs, _estimated(pairs, classes)))
+    # what is linked already needs no pair, so the work goes from few likely pairs to all the rest:
+    # each member of long lists with the centre of its longest, all pairs and centres, whole blocks
+    longest = hot_lists.groupBy("id", "n").agg(F.max_by("key", F.struct("len", "key")).alias("key"))
+    links = written(_confirmed(docs, _estimated(_stars(hot_lists, longest), classes)))
+    pairs = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST)).union(_stars(hot_lists, hot_lists)).distinct()
+    links = written(links.union(_confirmed(docs, _estimated(_apart(pairs, components(links)), classes))))
     found = components(links)
-    rest = written(_confirmed_in_blocks(docs, _blocks(hot_lists, classes, found), classes))
-    whole = components(links.union(rest).union(own))
+    pairs = written(_blocks(hot_lists, classes, found))
+    likely = pairs.groupBy("component_a", "component_b").agg(F.max_by(F.struct("key", "i", "j", "a", "b"), F.struct("estimate", "a", "b")).alias("x"))
+    links = written(links.union(_confirmed_in_blocks(docs, written(likely.select("x.*")), classes)))
+    rest = written(_apart(pairs.select("key", "i", "j", "a", "b"), components(links)))
+    whole = components(links.union(_confirmed_in_blocks(docs, rest, classes)).union(own))
     return (rows.join(whole, F.col("doc_id") == F.col("id"), "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
