@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,6 +73,15 @@ def with_rank(df: DataFrame, keys: list[str], order: list[str], rows: int, name:
             .withColumn(name, F.col("_ahead") + F.col("_place") - 1).drop("_bucket", "_place", "_ahead"))
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system: workers outlive tasks, and what the
+    allocators of Arrow and C keep would add up over the stages of a job."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shipped(spark: SparkSession, thing: object) -> Callable[[], object]:
     """Broadcast an object of a bounded size; in a task the result gives the object.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import checkpointed, hash_share, shipped
+from .common import checkpointed, give_back, hash_share, shipped
 
 #: Most letters and spaces of labelled text that an automaton is built from, for each language.
 TRAIN_SYMBOLS = 30_000
@@ -247,6 +247,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for lo, hi, data, offs in ts.text_slices(b.column(1)):
                 names, score = learnt.predict(data, offs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        del learnt
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -270,5 +272,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     kept = [n > 0 for _, _, data, offs in slices for n in learnt.letters_in(*learnt.symbolise(data, offs)).tolist()]
                 yield b.filter(pa.array(kept, pa.bool_()))
+        del learnt
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)

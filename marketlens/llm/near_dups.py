@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import checkpointed, shipped, written
+from .common import checkpointed, give_back, shipped, written
 from .components import components
 
 SHINGLE = 5
@@ -106,6 +106,7 @@ def _read(docs: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarra
             for lo, hi, data, offs in ts.text_slices(b.column(1)):
                 got = columns(*shingle_sets(data, offs))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *got.values()], ["doc_id", *got])
+        give_back()
 
     doc_id = F.col("doc_id").cast("long")
     return docs.select(doc_id, F.col("text").cast("string"), *([_bit(doc_id)] if wanted else [])).mapInArrow(run, f"doc_id long, {schema}")

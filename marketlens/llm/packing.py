@@ -8,11 +8,9 @@ their sequence from their length and their rank among pieces of that length.
 
 from __future__ import annotations
 
-import sys
 import zlib
 from collections.abc import Iterator
 from itertools import repeat
-from types import ModuleType
 from unicodedata import is_normalized
 
 import numpy as np
@@ -21,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import checkpointed, with_rank
+from .common import checkpointed, give_back, with_rank
 
 #: Ids of one sequence, and the id that ends a document.
 SIZE, END = 2048, 1
@@ -141,21 +139,13 @@ class WordIds:
         return out, bounds
 
 
-def _encoder(path: str) -> WordIds:
-    """The worker process's own encoder: it outlives tasks, so a vocabulary is loaded once."""
-    store = vars(sys.modules.setdefault("marketlens_worker", ModuleType("marketlens_worker")))
-    if path not in store:
-        store[path] = WordIds(path)
-    return store[path]
-
-
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece, and ids if asked for."""
     doc_type = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer)
+        encode = WordIds(tokenizer)
         for b in batches:
             for lo, _, data, offs in ts.text_slices(b.column(1), SLICE_BYTES):
                 ids, bounds = encode(data, offs)
@@ -173,6 +163,8 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, with_ids: bool = F
                     cols.append(pa.ListArray.from_arrays(pa.array(np.append(first, len(ids)).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
+        del encode  # a vocabulary and its cache are not kept between tasks
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, schema)
 

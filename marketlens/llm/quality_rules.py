@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .common import give_back
 
 #: n-gram lengths and the share of word characters allowed inside repeated ones.
 MAX_COVERED = {3: 0.60, 5: 0.50, 8: 0.40, 10: 0.35}
@@ -113,18 +114,21 @@ def score(docs: DataFrame) -> DataFrame:
             if b.num_rows:
                 got = _measured(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, got.values())], ["doc_id", *got])
+        give_back()
 
     ids = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {ids}, {SCHEMA}")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that pass, all columns unchanged."""
+    """The rows of ``docs`` that pass, all columns unchanged; repeated rows pass or fail alike, and a
+    null or empty text fails. An empty table gives an empty result."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield b.filter(pa.array(_measured(b.column(at))["kept"]))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
