@@ -131,6 +131,41 @@ class PopulationScalerModel(Model, _ScaleParams, DefaultParamsReadable, DefaultP
                                self.getOrDefault(self.stds))})
 
 
+class _SparseParams(Params):
+    threshold = Param(Params._dummy(), "threshold", "percent of missing values from which a column goes", typeConverter=TypeConverters.toFloat)
+    protected = Param(Params._dummy(), "protected", "columns that stay whatever they miss", typeConverter=TypeConverters.toListString)
+
+
+class SparseColumnDropper(Estimator, _SparseParams, DefaultParamsReadable, DefaultParamsWritable):
+    """CLN-12: learn which columns miss at least ``threshold`` percent of their values (one aggregate
+    over all columns), and drop them; the model drops the same columns from any later table."""
+
+    @keyword_only
+    def __init__(self, *, threshold=85.0, protected=None):
+        super().__init__()
+        self._setDefault(threshold=85.0, protected=[])
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _fit(self, df: DataFrame) -> "SparseColumnDropperModel":
+        cols = [c for c in df.columns if c not in self.getOrDefault(self.protected)]
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+        sparse = [c for i, c in enumerate(cols) if row["n"] and row[f"m{i}"] * 100.0 / row["n"] >= self.getOrDefault(self.threshold)]
+        return self._copyValues(SparseColumnDropperModel(dropped=sparse))
+
+
+class SparseColumnDropperModel(Model, _SparseParams, DefaultParamsReadable, DefaultParamsWritable):
+    dropped = Param(Params._dummy(), "dropped", "columns to drop", typeConverter=TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, *, dropped=None, threshold=85.0, protected=None):
+        super().__init__()
+        self._setDefault(threshold=85.0, protected=[], dropped=[])
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return df.drop(*self.getOrDefault(self.dropped))
+
+
 def impute_constants(df: DataFrame, numeric_cols, category_cols, category_value: str = "missing"):
     """ML-05: 0.0 for numeric columns, a constant label for categories (absent -> added)."""
     out = {}

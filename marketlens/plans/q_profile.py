@@ -104,7 +104,13 @@ def ag_44(spark, d):
     return PR.histogram(listing_table(spark, d), "price_cents", 40)
 
 
-@register("ag_45")
+@register("ag_45", O.with_base("""
+with st as (select count(*) as n, stddev_samp(v) * power(count(*), -0.2) as bw, min(v) as lo, max(v) as hi
+            from (select sales_volume_num::double as v from listing where sales_volume_num is not null)),
+     w as (select sales_volume_num::double as v, count(*) as w from listing where sales_volume_num is not null group by 1),
+     g as (select i::int as i, lo - 3 * bw + ((hi + bw * 3) - (lo - 3 * bw)) / 199 * i as x, bw, n from st, range(200) r(i))
+select i, x, sum(w * exp(-0.5 * ((x - v) / bw) * ((x - v) / bw)) / (bw * sqrt(2 * pi()))) / any_value(n) as density
+from g, w group by i, x"""))
 def ag_45(spark, d):
     return PR.density_curve(listing_table(spark, d), "sales_volume_num")
 

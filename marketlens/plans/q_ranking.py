@@ -149,6 +149,6 @@ def sp_03(spark, d):
     return R.hash_sample(pts, "asin", 500).select("asin", "price_cents", "sales_volume_num")
 
 
-@register("sp_04")
+@register("sp_04", O.with_base(f"select * from listing order by {_hash_sql()}, asin limit 10"))
 def sp_04(spark, d):
     return R.hash_sample(listing_table(spark, d), "asin", 10)

@@ -3,6 +3,8 @@ under the shared checkpoint directory, read back, return the re-read frame."""
 
 from __future__ import annotations
 
+import functools
+
 import time
 
 from pyspark.sql import functions as F
@@ -126,13 +128,19 @@ def src_09(spark, d):
         "asin string, price_cents bigint, country string, ingest_ts string").parquet(path)
 
 
-@register("src_10")
+_SPLIT = "cast('0x' || substr(md5(asin || ':42'), 1, 8) as bigint) % 100"
+
+
+@register("src_10", O.with_base(f"""
+select asin, case when {_SPLIT} < 70 then 'train' when {_SPLIT} < 85 then 'val' else 'test' end as split,
+       price_cents, reviews, ln(1 + sales_volume_num) as target_log from listing"""))
 def src_10(spark, d):
+    """Stored splits read back one by one, features apart from the target, by product."""
     path = IO.scratch_path(spark, "splits")
-    df = hash_split(listing_table(spark, d).select("asin", "price_cents", "sales_volume_num"), "asin")
-    IO.write_parquet(df, path, ["split"])
-    back = spark.read.parquet(path)
-    return back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    df = listing_table(spark, d).select("asin", "price_cents", "reviews", F.log1p("sales_volume_num").alias("target_log"))
+    IO.write_parquet(hash_split(df, "asin"), path, ["split"])
+    parts = [IO.read_split(spark, path, name, "target_log") for name in ("train", "val", "test")]
+    return functools.reduce(lambda a, b: a.unionByName(b), [x.join(y, ["asin", "split"]) for x, y in parts])
 
 
 @register("src_11", O.with_base("""

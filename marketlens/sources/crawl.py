@@ -32,6 +32,10 @@ def search_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select(
         "asin", *ROW_KEY, "title", "price_cents", "original_price_cents", "rating_x10", "reviews",
         "sales_volume", "delivery_info", "is_amazon_choice", "is_prime", "has_variations",
+        "number_of_offers", "is_climate_friendly",
+        F.when(F.col("row_k3") % 13 != 0, F.lit("USD")).alias("currency"),
+        F.when(F.col("row_k1") % 11 == 0, "True").otherwise("False").alias("is_best_seller"),
+        (F.col("price_cents") - F.col("row_k2")).cast("bigint").alias("lowest_offer_price_cents"),
         F.concat(F.lit("/dp/"), F.col("asin")).alias("link"),
         F.when(F.col("row_k3") % 9 == 0, F.lit("")).otherwise(
             F.concat(F.lit("/img/"), F.col("asin"), F.lit(".jpg"))).alias("image_url"),
@@ -74,7 +78,12 @@ def details(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("reviews") % 2 != 0, F.upper("sales_volume")).alias("sales_volume"),
         F.when(F.col("reviews") % 4 != 0, F.lit("true")).alias("is_amazon_choice"),
         F.when(F.col("reviews") % 4 != 1, F.lit("false")).alias("is_prime"),
-        "has_variations",
+        F.when(F.col("reviews") % 7 != 3, F.col("has_variations")).alias("has_variations"),
+        F.when(F.col("reviews") % 5 != 0, F.lit("EUR")).alias("currency"),
+        F.when(F.col("reviews") % 6 != 1, F.lit("true")).alias("is_best_seller"),
+        F.when(F.col("reviews") % 7 != 2, F.col("number_of_offers") + 1).alias("number_of_offers"),
+        F.when(F.col("reviews") % 9 != 4, F.col("price_cents") - 1).alias("lowest_offer_price_cents"),
+        F.when(F.col("reviews") % 4 != 3, F.lit("1")).alias("is_climate_friendly"),
     ).join(rev, "asin", "left")
 
 

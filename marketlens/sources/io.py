@@ -124,3 +124,10 @@ def cached(df: DataFrame) -> DataFrame:
 def export_records(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """SRC-12: pruned projection, one JSON record per row (no collect)."""
     return df.select(F.to_json(F.struct(*cols)).alias("record"))
+
+
+def read_split(spark: SparkSession, path: str, name: str, target: str, key: str = "asin") -> tuple[DataFrame, DataFrame]:
+    """SRC-10: one stored split as features and target (both with the key and the split's name);
+    only its partition is read."""
+    rows = spark.read.parquet(path).where(F.col("split") == name)
+    return rows.drop(target), rows.select(key, "split", target)

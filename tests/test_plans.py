@@ -34,10 +34,20 @@ def test_first_row_per_product_limits_before_shuffle(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_ranks_number_rows_per_range_partition(spark):
+def test_ranks_need_no_exchange_after_the_range_sort(spark):
     for key in ["w_03", "ag_08"]:
-        plan = _optimized(E.queries()[key](spark, SF))
-        assert "windowspecdefinition(_pid" in plan, key
+        df = E.queries()[key](spark, SF)
+        assert "windowspecdefinition(_pid" not in _optimized(df), key
+        # only the counts, one row for each partition, are exchanged by it
+        for below in re.findall(r"hashpartitioning\(_pid.*\n(.*)", _plan(df)):
+            assert "partial_count" in below, key
+
+
+def test_cells_never_expand_listings(spark):
+    for key in ["ag_30", "ag_31", "ag_32", "ag_34", "ag_35", "ag_36", "ag_37", "j_07"]:
+        for above in re.findall(r"Generate explode.*\n((?:.*\n)*)", _optimized(E.queries()[key](spark, SF)))[:1]:
+            # what is expanded to cells has been counted before
+            assert re.search(r"Aggregate \[category", above), key
 
 
 def test_filters_reach_the_scan(spark):
