@@ -248,18 +248,16 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of members of long lists that lie in different components, estimated on their sketches
-    in blocks of BLOCK by BLOCK members. Lists whose members are all linked by now are left out, and
-    of the others' largest component only the pairs with members outside it are compared. A pair
-    comes from the least of the lists that it shares alone."""
+    """Members of long lists, in blocks of BLOCK by BLOCK (key, i, j), that have a candidate in another
+    component by their sketches. Lists whose members are all linked by now are left out, and of the
+    others' largest component only the pairs with members outside it are compared. A pair is looked
+    at in the least of the lists that it shares alone."""
     now = lists.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     open_ = (sizes.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.max("size").alias("n_main"), F.sum("size").alias("len"))
              .where("len > n_main").select("key", "main", F.ceil((F.col("len") - F.col("n_main")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("n_main") / BLOCK).cast("int").alias("inner")))
     rows = written(now.drop("len").join(open_, "key"))
-    # for an estimate the upper halves of the values do
-    short = classes.select("id", F.transform("sketch", lambda x: F.shiftright(x, 32).cast("int")).alias("sketch"))
-    of = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists")).join(short, "id")
+    of = rows.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("lists")).join(classes.select("id", "sketch"), "id")
     # blocks from 0 hold the members outside the largest component, blocks from ``outer`` its own
     inside = F.col("component") == F.col("main")
     place = F.xxhash64("id")
@@ -268,39 +266,32 @@ def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     rows = (rows.withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "component", "n")
             .join(of, "id"))
-    return rows.groupBy("key", "i", "j").applyInPandas(_compare, "key long, i int, j int, a long, b long, component_a long, component_b long, estimate double")
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes if c != "sketch")
+    return rows.groupBy("key", "i", "j").applyInPandas(_used, schema)
 
 
-def _confirmed_in_blocks(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links among the written pairs (key, i, j, a, b), each block with the full sets of its documents once."""
-    block = ["key", "i", "j"]
-    used = pairs.select(*block, F.col("a").alias("id")).union(pairs.select(*block, "b")).distinct()
+def _linked_in_blocks(docs: DataFrame, used: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) among the members ``used`` of each block, which get their full sets.
+
+    A block gives links only, one fewer than the members it joins at most: how many pairs it has to
+    look at never becomes rows."""
     sets = full_sets(docs, used.select(F.col("id").alias("doc_id")).distinct())
     sets = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("print")), ["doc_id", "print"], "left_semi")
-    sets = sets.groupBy(F.col("doc_id").alias("id")).agg(F.first("shingles").alias("shingles"))
-    held = used.join(sets, "id").select(*[F.col(c).alias(f"_{c}") for c in block], "id", "shingles")
-    return pairs.groupBy(*block).cogroup(held.groupBy(*[f"_{c}" for c in block])).applyInPandas(_reach, "a long, b long")
-
-
-def _reach(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-    of = dict(zip(sets["id"].tolist(), sets["shingles"], strict=True))
+    sets = sets.groupBy(F.col("doc_id").alias("_id")).agg(F.first("shingles").alias("shingles"))
+    return used.join(sets, F.col("id") == F.col("_id")).drop("_id").groupBy("key", "i", "j").applyInPandas(_link, "a long, b long")
 
-    def linked(a: int, b: int) -> bool:
-        both = len(np.intersect1d(of[a], of[b], assume_unique=True))
-        return 100 * both >= PERCENT * (len(of[a]) + len(of[b]) - both)
 
-    return pairs.loc[[linked(a, b) for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)], ["a", "b"]]
+def _candidates(rows: pd.DataFrame, sketch: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the pairs of one block whose union sketch does not rule them out, and estimates.
 
-
-def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block whose union sketch does not rule them out."""
-    size = rows["sketch"].str.len().to_numpy()
-    value = np.concatenate(rows["sketch"].to_numpy())
+    Pairs of one component, and pairs that share a lesser list than this one, are left out."""
+    size = np.array([len(x) for x in sketch])
+    value = np.concatenate(sketch)
     row = np.repeat(np.arange(len(rows)), size)
     _, code, count = np.unique(value, return_inverse=True, return_counts=True)
     column = np.cumsum(count > 1) - 1
     shared = count[code] > 1
-    n, block, key = rows["n"].to_numpy(), rows["block"].to_numpy(), rows["key"].iloc[0]
+    n, block, own = rows["n"].to_numpy(), rows["block"].to_numpy(), rows["key"].iloc[0]
     group, ids = rows["component"].to_numpy(), rows["id"].to_numpy()
     overlap = np.zeros((len(rows), len(rows)), np.float32)
     for lo in range(0, int(column[-1]) + 1, 4096):
@@ -314,17 +305,43 @@ def _compare(rows: pd.DataFrame) -> pd.DataFrame:
     if rows["i"].iloc[0] != rows["j"].iloc[0]:
         pick &= block[:, None] != block[None, :]
     a, b = np.nonzero(pick)
-    sketch, lists, own = rows["sketch"].to_numpy(), rows["lists"].to_numpy(), rows["key"].iloc[0]
-    estimate = np.zeros(len(a))
+    lists, estimate = rows["lists"].to_numpy(), np.zeros(len(a))
     for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
         if np.intersect1d(lists[x], lists[y], assume_unique=True)[0] == own:
             both = np.intersect1d(sketch[x], sketch[y], assume_unique=True)
             union = np.union1d(sketch[x], sketch[y])[:BOTTOM]
             estimate[k] = np.searchsorted(both, union[-1], side="right") / len(union)
     kept = estimate >= LEAST_ESTIMATE
-    a, b = a[kept], b[kept]
-    return pd.DataFrame({"key": key, "i": rows["i"].iloc[0], "j": rows["j"].iloc[0], "a": ids[a], "b": ids[b],
-                         "component_a": np.minimum(group[a], group[b]), "component_b": np.maximum(group[a], group[b]), "estimate": estimate[kept]})
+    return a[kept], b[kept], estimate[kept]
+
+
+def _used(rows: pd.DataFrame) -> pd.DataFrame:
+    """The members of one block that have a candidate in it."""
+    a, b, _ = _candidates(rows, list(rows["sketch"]))
+    return rows.iloc[np.unique(np.concatenate([a, b]))].drop(columns="sketch")
+
+
+def _link(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links of one block, likely pairs first; a pair that is joined by then is not looked at."""
+    sets = list(rows["shingles"])
+    a, b, estimate = _candidates(rows, [x[:BOTTOM] for x in sets])
+    ids, root, out = rows["id"].to_numpy(), {}, []
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    group = rows["component"].to_numpy().tolist()
+    for k in np.argsort(-estimate, kind="stable").tolist():
+        x, y = int(a[k]), int(b[k])
+        p, q = find(group[x]), find(group[y])
+        if p != q:
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
+                root[p] = q
+                out.append((ids[x], ids[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -357,11 +374,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST)).union(_stars(hot_lists, hot_lists)).distinct()
     links = written(links.union(_confirmed(docs, _estimated(_apart(pairs, components(links)), classes))))
     found = components(links)
-    pairs = written(_blocks(hot_lists, classes, found))
-    likely = pairs.groupBy("component_a", "component_b").agg(F.max_by(F.struct("key", "i", "j", "a", "b"), F.struct("estimate", "a", "b")).alias("x"))
-    links = written(links.union(_confirmed_in_blocks(docs, written(likely.select("x.*")), classes)))
-    rest = written(_apart(pairs.select("key", "i", "j", "a", "b"), components(links)))
-    whole = components(links.union(_confirmed_in_blocks(docs, rest, classes)).union(own))
+    rest = written(_linked_in_blocks(docs, written(_blocks(hot_lists, classes, found)), classes))
+    whole = components(links.union(rest).union(own))
     return (rows.join(whole, F.col("doc_id") == F.col("id"), "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
