@@ -52,7 +52,7 @@ def test_global_rank_no_single_partition(spark):
     assert got == expect
     # only the per-partition counts (one row per partition) meet in one place
     plan = ranked._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(_pid" not in plan and "BroadcastHashJoin" in plan
+    assert "windowspecdefinition(_pid" not in plan and "BroadcastHashJoin" in plan
 
 
 def test_spearman_monotone_and_small(spark):
