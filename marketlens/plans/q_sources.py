@@ -5,8 +5,6 @@ from __future__ import annotations
 
 import functools
 
-import time
-
 from pyspark.sql import functions as F
 
 from marketlens.operators.aggregates import market as M
@@ -30,29 +28,27 @@ def src_01(spark, d):
     return IO.read_csv(spark, path, CSV_SCHEMA)
 
 
-def _snapshots(spark, d):
+def _newest(spark, d):
+    """Three snapshots with times of their own; the newest of the preferred names is read alone."""
     base = IO.scratch_path(spark, "snapshots")
     lst = listing_table(spark, d).select(*CSV_COLS)
-    IO.write_csv(lst.where("rating < 4"), f"{base}/amazon_products_viz_20260320_080000")
-    time.sleep(1.1)      # distinct modification times
-    IO.write_csv(lst, f"{base}/amazon_products_viz_20260324_231228")
-    time.sleep(1.1)
-    IO.write_csv(lst.where("rating >= 4"), f"{base}/amazon_products_modeling_20260325_000000")
-    # Spark writes a snapshot as a folder of part files: the snapshot's name
-    # is the folder holding the part file
-    files = IO.with_file_metadata(IO.read_csv(spark, f"{base}/*", CSV_SCHEMA)) \
-        .withColumn("file_name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-    return IO.newest_snapshot(files)
+    for name, rows, seconds in (("amazon_products_viz_20260320_080000", lst.where("rating < 4"), 1773993600),
+                                ("amazon_products_viz_20260324_231228", lst, 1774393948),
+                                ("amazon_products_modeling_20260325_000000", lst.where("rating >= 4"), 1774396800)):
+        IO.write_csv(rows, f"{base}/{name}")
+        IO.set_time(spark, f"{base}/{name}", seconds)
+    path, name, seconds = IO.newest_snapshot(spark, base)
+    return IO.with_snapshot(IO.read_csv(spark, path, CSV_SCHEMA), name, seconds)
 
 
 @register("src_02", O.with_base("select " + ", ".join(CSV_COLS) + " from listing"))
 def src_02(spark, d):
-    return _snapshots(spark, d).select(*CSV_COLS)
+    return _newest(spark, d).select(*CSV_COLS)
 
 
-@register("src_03", O.with_base("select asin, date '2026-03-24' as snapshot_date from listing"))
+@register("src_03", O.with_base("select asin, date '2026-03-24' as snapshot_date, '24/03/2026 23:12' as file_time from listing"))
 def src_03(spark, d):
-    return _snapshots(spark, d).select("asin", IO.snapshot_date("file_name").alias("snapshot_date"))
+    return _newest(spark, d).select("asin", "snapshot_date", "file_time")
 
 
 @register("src_04", O.with_base("""

@@ -82,22 +82,40 @@ PREFERRED_FRAGMENT = "amazon_products_viz"
 EXCLUDED_FRAGMENTS = ["modeling", "train", "test", "val", "pipeline"]
 
 
-def newest_snapshot(files: DataFrame, preferred: str = PREFERRED_FRAGMENT,
-                    excluded: Sequence[str] = EXCLUDED_FRAGMENTS) -> DataFrame:
-    """SRC-02: keep the rows of the newest snapshot file.
+def newest_snapshot(spark: SparkSession, folder: str, preferred: str = PREFERRED_FRAGMENT,
+                    excluded: Sequence[str] = EXCLUDED_FRAGMENTS) -> tuple[str, str, int]:
+    """SRC-02: path, name and time (seconds since 1970) of the newest snapshot (a file or a folder of
+    part files) in a folder, from the file system's listing: no snapshot is read to choose one.
 
     Preference: names containing ``preferred`` and none of ``excluded``;
-    else any name without the excluded words; else any file. Chosen by the
-    newest modification time (ties by name), as a scalar subquery.
+    else any name without the excluded words; else any. Chosen by the
+    newest modification time (ties by name).
     """
-    name = F.lower(F.col("file_name"))
-    clean = ~F.array_contains(F.array(*[name.contains(x) for x in excluded]), True)
-    tier = F.when(name.contains(preferred) & clean, 2).when(clean, 1).otherwise(0)
-    ranked = files.withColumn("_tier", tier)
-    best = (ranked.select("file_name", "file_time", "_tier").distinct()
-            .orderBy(F.col("_tier").desc(), F.col("file_time").desc(), F.col("file_name").desc())
-            .select("file_name").limit(1).scalar())
-    return ranked.where(F.col("file_name") == best).drop("_tier")
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    ranked = []
+    for f in found:
+        name = f.getPath().getName()
+        clean = not any(x in name.lower() for x in excluded)
+        tier = 2 if clean and preferred in name.lower() else 1 if clean else 0
+        ranked.append((tier, f.getModificationTime() // 1000, name, f.getPath().toString()))
+    if not ranked:
+        raise FileNotFoundError(f"no snapshot in {folder}")
+    _, seconds, name, path = max(ranked)
+    return path, name, seconds
+
+
+def set_time(spark: SparkSession, path: str, seconds: int) -> None:
+    """Stamp a snapshot with a modification time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).setTimes(at, seconds * 1000, -1)
+
+
+def with_snapshot(df: DataFrame, name: str, seconds: int) -> DataFrame:
+    """SRC-03: the snapshot's date (first 8 digits of its name) and its file time as text (UTC)."""
+    named = df.withColumn("_name", F.lit(name))
+    text = F.date_format(F.timestamp_seconds(F.lit(seconds)), "dd/MM/yyyy HH:mm")
+    return named.withColumns({"snapshot_date": snapshot_date("_name"), "file_time": text}).drop("_name")
 
 
 def snapshot_date(file_name) -> "F.Column":

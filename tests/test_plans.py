@@ -55,3 +55,8 @@ def test_filters_reach_the_scan(spark):
     plan = _plan(df)
     pushed = re.search(r"PushedFilters: \[([^\]]*)", plan)
     assert pushed and "crawl_category" in pushed[1]
+
+
+def test_only_the_newest_snapshot_is_read(spark):
+    df = E.queries()["src_02"](spark, SF)
+    assert {f.split("/")[-2] for f in df.inputFiles()} == {"amazon_products_viz_20260324_231228"}
