@@ -2,14 +2,19 @@
 
 Exchange clustering puts words into classes so that the class bigrams of the corpus are as likely
 as possible. A text's probability is the product, over its tokens, of the transition between
-classes and the emission of the word from its class. All counts cover all training text; what
-reaches the driver is bounded: the LEXICON most frequent words, and the bigrams of UNITS.
-
-A *unit* is what the clustering moves: a frequent word, or all other words with a frequent ending.
+classes and the emission of the word from its class. All counts cover all training text, every word
+has a class of its own finding, and the number of classes grows with the vocabulary.
+
+The classes are seeded by exchange over *units* (a frequent word, or all others with an ending). Then
+sweeps over the corpus count the classes beside every word of the lexicon, the LEXICON most frequent
+words that tasks hold, and move the words, half of them at a time, to their best class. Words beyond
+the lexicon are a table: each gets the class that its predecessors favour. As a predecessor such a
+word stands for the class of its ending, which a task knows without the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +29,15 @@ from .common import checkpointed, shipped
 
 #: Frequent words that tasks hold; the counts of other words come by a join.
 LEXICON = 250_000
-#: Words and endings with a unit of their own, and classes besides the one of the text's end.
-UNIT_WORDS, UNIT_ENDINGS, CLASSES = 1000, 250, 63
+#: Words and endings with a unit of their own in the seed of the classes.
+UNIT_WORDS, UNIT_ENDINGS = 1000, 250
+#: Classes for each unit of the cube root of the vocabulary, and the least number of classes.
+CLASS_RATE, LEAST_CLASSES = 2.0, 15
 ENDING = 2
-SWEEPS = 6
+#: Sweeps over the units, and over the words of the lexicon (each moves half of them).
+SWEEPS, WORD_SWEEPS = 6, 4
+#: Sums that a task holds before it sends them, and cells compared at once.
+HELD, CELLS = 1 << 20, 1 << 21
 #: Weight of the class frequencies in the transition probabilities.
 SMOOTHING = 10.0
 SLICE_BYTES = 4 << 20
@@ -106,7 +116,12 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
+def class_number(words: int) -> int:
+    """Classes besides the one of the text's end; the table of class bigrams grows with words ** (2 / 3)."""
+    return max(LEAST_CLASSES, math.ceil(CLASS_RATE * words ** (1 / 3)))
+
+
+def exchange(pairs: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     """Class of each unit. The last unit, the end, keeps class 0 for itself.
 
     Units start dealt out by frequency. In each sweep every unit, the most frequent first, moves to
@@ -157,9 +172,149 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def log_likelihood(table: np.ndarray) -> float:
+    """What exchange raises, but for the words' own counts: log likelihood of class bigrams."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, rare: bool) -> DataFrame:
+    """word, place, cell, n: class counts beside words, over all rows of ``texts``.
+
+    A row without word and with place -1 is a class bigram, first * k + second. Without ``rare`` there
+    are the classes before (cell below k) and after (from k) each word of the lexicon, by its place;
+    with it, the classes before each word outside the lexicon, whose own bigrams are then left out.
+    """
+    shared = shipped(texts.sparkSession, (units, class_of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, of = shared()
+        own, total = len(u.lexicon), np.zeros(k * k, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
+
+        def sums(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys // (2 * k)), pa.array(keys % (2 * k)), pa.array(n)], names)
+
+        for b in batches:
+            for _, _, data, offs in ts.text_slices(b.column(0), SLICE_BYTES):
+                words, at, row = _coded(data, offs)
+                s = u.stream(u.lookup(words)[1], at, row, len(offs) - 1)
+                c = of[s]
+                if rare:
+                    token = u.stream(np.arange(len(words)), at, row, len(offs) - 1)  # places in ``words``; meaningless at ends
+                    far = (s >= own) & (s < u.n - 1)
+                    total += np.bincount((c[:-1] * k + c[1:])[~far[1:]], minlength=k * k)
+                    far = np.flatnonzero(far)
+                    keys, n = np.unique(token[far] * k + c[far - 1], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(keys // k)), pa.array(np.full(len(keys), -1)), pa.array(keys % k), pa.array(n)], names)
+                    continue
+                total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
+                near = np.flatnonzero(s < own)
+                held.append(np.unique(np.concatenate([s[near] * 2 * k + c[near - 1], s[near] * 2 * k + k + c[near + 1]]), return_counts=True))
+                if sum(len(h[0]) for h in held) > HELD:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD // 2:
+                        yield sums(*held.pop())
+        if held:
+            yield sums(*merged())
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.string()), pa.array(np.full(len(cells), -1)), pa.array(cells), pa.array(total[cells])], names)
+
+    names = ["word", "place", "cell", "n"]
+    return checkpointed(texts.mapInArrow(run, "word string, place long, cell long, n long").groupBy("word", "place", "cell").agg(F.sum("n").alias("n")))
+
+
+def _dense(cells: DataFrame, k: int) -> np.ndarray:
+    """The k * k table of cell, n."""
+    got = cells.select("cell", "n").toArrow()
+    out = np.zeros(k * k)
+    out[got["cell"].to_numpy()] = got["n"].to_numpy()
+    return out.reshape(k, k)
+
+
+def best_classes(table: np.ndarray, starts: np.ndarray, cell: np.ndarray, n: np.ndarray, old: np.ndarray | None) -> np.ndarray:
+    """The class in which the class bigrams are likeliest, for words with the class counts cell, n.
+
+    Word i has the counts from starts[i] to starts[i + 1]. ``old`` holds the classes under which the
+    table counts the words now; None: the table does not count them. Each word is judged as if it
+    moved alone; bigrams of a word with itself count with the class that it had.
+    """
+    k, out = len(table), np.zeros(len(starts) - 1, np.int64)
+    rows, cols, turned = table.sum(axis=1), table.sum(axis=0), np.ascontiguousarray(table.T)
+    lo = 0
+    while lo < len(out):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CELLS // k, side="right")) - 1)
+        part = slice(starts[lo], starts[hi])
+        of = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+        c, after, times = cell[part] % k, cell[part] >= k, n[part].astype(float)
+        base = np.where(after[:, None], turned[c], table[c])
+        before_n, after_n = np.bincount(of, times * ~after, hi - lo), np.bincount(of, times * after, hi - lo)
+        r, q = np.tile(rows, (hi - lo, 1)), np.tile(cols, (hi - lo, 1))
+        if old is not None:
+            was, every = old[lo:hi], np.arange(hi - lo)
+            base[np.arange(len(c)), was[of]] -= times
+            r[every, was] -= after_n
+            q[every, was] -= before_n
+        base, r, q = np.maximum(base, 0), np.maximum(r, 0), np.maximum(q, 0)
+        gain = np.add.reduceat(_xlogx(base + times[:, None]) - _xlogx(base), starts[lo:hi] - starts[lo], axis=0)
+        gain -= _xlogx(r + after_n[:, None]) - _xlogx(r) + _xlogx(q + before_n[:, None]) - _xlogx(q)
+        gain[:, 0] = -np.inf
+        new = gain.argmax(axis=1)
+        if old is not None:
+            new = np.where(gain.max(axis=1) > gain[every, was] + 1e-9, new, was)
+        out[lo:hi], lo = new, hi
+    return out
+
+
+def _chosen(cells: DataFrame, key: str, table: np.ndarray, class_of: np.ndarray | None) -> DataFrame:
+    """key, n, class of each word of ``cells``; a word has at most two counts for each class."""
+    shared = shipped(cells.sparkSession, (table, class_of))
+    kind = dict(cells.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t, of = shared()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            found = b.column(1)
+            flat, starts = found.flatten(), np.append(0, np.cumsum(pc.list_value_length(found).to_numpy()))
+            cell, n = flat.field("cell").to_numpy(), flat.field("n").to_numpy()
+            new = best_classes(t, starts, cell, n, None if of is None else of[b.column(0).to_numpy()])
+            before = np.add.reduceat(n * (cell < len(t)), starts[:-1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before), pa.array(new.astype(np.int32))], [key, "n", "class"])
+
+    lists = cells.groupBy(key).agg(F.collect_list(F.struct("cell", "n")).alias("found"))
+    return lists.mapInArrow(run, f"{key} {kind}, n long, class int")
+
+
+def sweep_words(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, sweeps: int = WORD_SWEEPS) -> np.ndarray:
+    """Classes of the units, those of the lexicon's words after ``sweeps`` moves of every second word.
+
+    Stops, with the classes before it, at a sweep after which the class bigrams are less likely.
+    """
+    best, kept = -math.inf, class_of
+    for turn in range(sweeps + 1):
+        cells = neighbours(texts, units, class_of, k, rare=False)
+        table = _dense(cells.where("place < 0"), k)
+        now = log_likelihood(table)
+        if now <= best + 1e-9 * abs(now):
+            return kept
+        best, kept = now, class_of
+        if turn == sweeps:
+            break
+        moving = cells.where((F.col("place") >= 0) & (F.col("place") % 2 == turn % 2))
+        moved = _chosen(moving, "place", table, class_of).select("place", "class").toArrow()
+        class_of = class_of.copy()
+        class_of[moved["place"].to_numpy()] = moved["class"].to_numpy()
+    return kept
+
+
 @dataclass
 class Model:
-    """What scoring needs in a task; all sizes are bounded by the constants above."""
+    """What scoring needs in a task: the lexicon is bounded, the steps grow with words ** (2 / 3)."""
 
     units: Units
     class_of: np.ndarray
@@ -167,28 +322,32 @@ class Model:
     spread: np.ndarray
     texts: int
 
-    def measure(self, data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], pa.Array, np.ndarray, np.ndarray]:
-        """Sums of each row, then word, row and times of the words outside the lexicon."""
-        rows = len(offs) - 1
+    def measure(self, data: np.ndarray, offs: np.ndarray) -> tuple[dict[str, np.ndarray], pa.Array, dict[str, np.ndarray]]:
+        """Sums of each row, then the words outside the lexicon: word; row, class before, class by ending, times."""
+        rows, k = len(offs) - 1, len(self.spread)
         words, at, row = _coded(data, offs)
         lex, unit = self.units.lookup(words)
         classes = self.class_of[self.units.stream(unit, at, row, rows)]
-        steps = self.steps[classes[:-1], classes[1:]] - self.spread[classes[1:]]
         token_row = np.insert(row, np.searchsorted(row, np.arange(rows), side="right"), np.arange(rows))
         known = lex[at] >= 0
+        inside = self.units.stream(lex, at, row, rows)[1:] >= 0  # ends count as inside
+        steps = (self.steps[classes[:-1], classes[1:]] - self.spread[classes[1:]])[inside]
         logs = np.log10(np.append(self.units.counts, 0) + 0.5)[lex[at[known]]]
         n = np.bincount(row, minlength=rows)
         sums = {"n_tokens": n + 1, "n_known": np.bincount(row[known], minlength=rows) + (self.texts > 0),
-                "logs": np.bincount(row[known], logs, rows) + np.log10(self.texts + 0.5), "steps": np.bincount(token_row, steps, rows)}
-        pair, times = np.unique(row[~known] * len(words) + at[~known], return_counts=True) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        return sums, words.take(pa.array(pair % max(1, len(words)))), pair // max(1, len(words)), times
+                "logs": np.bincount(row[known], logs, rows) + np.log10(self.texts + 0.5), "steps": np.bincount(token_row[inside], steps, rows)}
+        before = classes[np.arange(len(at)) + row]
+        size = max(1, len(words))
+        pair, times = np.unique((row[~known] * size + at[~known]) * k + before[~known], return_counts=True)
+        word = pair // k % size
+        own = self.class_of[unit[word]] if len(words) else word
+        return sums, words.take(pa.array(word)), {"row": pair // k // size, "before": pair % k, "own": own, "times": times}
 
 
 @dataclass
 class Fitted:
     model: Model
-    vocabulary: DataFrame
-    least: int
+    rare: DataFrame
     tokens: int
     words: int
 
@@ -222,24 +381,53 @@ def fit(docs: DataFrame, usable: Column) -> Fitted:
     rest = pc.utf8_slice_codeunits(lexicon.slice(own), -ENDING).to_pylist()
     unit_of = np.array([*range(own), *(endings.get(e, n - 2) for e in rest)], np.int64)
     units = Units(lexicon, counts, unit_of, endings, n)
-    pairs = bigrams(texts, units)
-    class_of = exchange(pairs)
-
     n_tokens, n_words = sum(r["tokens"] for r in steps), sum(r["words"] for r in steps)
-    tokens_of, words_of = np.zeros(n), np.zeros(n)
-    tokens_of[:own], words_of[:own] = counts[:own], 1
-    for i, r in enumerate(ends):
-        tokens_of[own + i], words_of[own + i] = r["n"], r["words"]
-    tokens_of[n - 2], words_of[n - 2] = n_tokens - tokens_of.sum(), n_words - words_of.sum()
-    tokens_of[n - 1], words_of[n - 1] = n_texts, n_texts > 0
-    k = CLASSES + 1
-    in_class = np.bincount(class_of, tokens_of, k)
-    spread = np.log10(in_class + 0.5 * (np.bincount(class_of, words_of, k) + 1))
-    hot = np.eye(k)[class_of]
-    table = hot.T @ pairs @ hot
+    k = class_number(n_words) + 1
+    seed = exchange(bigrams(texts, units), k - 1)
+
+    # from here on every word of the lexicon is a unit
+    units, class_of = every_word(units, seed)
+    class_of = sweep_words(texts, units, class_of, k)
+    units, class_of = by_ending(units, class_of, own)
+    cells = neighbours(texts, units, class_of, k, rare=True)
+    table = _dense(cells.where("word is null"), k)
+    outside = cells.where("word is not null")
+    rare = checkpointed(_chosen(outside.select("word", "cell", "n"), "word", table, None))
+    table += _dense(outside.select("word", F.col("cell").alias("before"), F.col("n").alias("times")).join(rare.select("word", "class"), "word")
+                    .groupBy((F.col("before") * k + F.col("class")).alias("cell")).agg(F.sum("times").alias("n")), k)
+
+    in_class, words_of = np.zeros(k), np.zeros(k)
+    np.add.at(in_class, class_of[: len(lexicon)], counts)
+    np.add.at(words_of, class_of[: len(lexicon)], 1)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        in_class[r["class"]] += r["n"]
+        words_of[r["class"]] += r["words"]
+    in_class[0], words_of[0] = n_texts, n_texts > 0
+    spread = np.log10(in_class + 0.5 * (words_of + 1))
     share = (in_class + 1) / (in_class + 1).sum()
     steps_ = np.log10((table + SMOOTHING * share) / (table.sum(axis=1, keepdims=True) + SMOOTHING))
-    return Fitted(Model(units, class_of, steps_, spread, n_texts), vocabulary, least, n_tokens + n_texts, n_words + (n_texts > 0))
+    return Fitted(Model(units, class_of, steps_, spread, n_texts), rare, n_tokens + n_texts, n_words + (n_texts > 0))
+
+
+def every_word(units: Units, class_of: np.ndarray) -> tuple[Units, np.ndarray]:
+    """Units of their own for all words of the lexicon, then for the endings, the rest and the end."""
+    own, ends = len(units.lexicon), list(units.endings)
+    out = Units(units.lexicon, units.counts, np.arange(own), {e: own + i for i, e in enumerate(ends)}, own + len(ends) + 2)
+    last = [units.endings[e] for e in ends] + [units.n - 2, units.n - 1]
+    return out, class_of[np.concatenate([units.unit_of, np.array(last, np.int64)])]
+
+
+def by_ending(units: Units, class_of: np.ndarray, first: int) -> tuple[Units, np.ndarray]:
+    """The class of each ending is that of most of its words in the lexicon after the ``first``; of the
+    rest, that of most words of all; on a tie, the smaller class. Without such words all stays as it is."""
+    own = len(units.lexicon)
+    if own <= first:
+        return units, class_of
+    ends = pc.utf8_slice_codeunits(units.lexicon.slice(first), -ENDING).dictionary_encode()
+    names, k = ends.dictionary.to_pylist(), int(class_of.max()) + 1
+    votes = np.bincount(ends.indices.to_numpy().astype(np.int64) * k + class_of[first:own], minlength=len(names) * k).reshape(-1, k)
+    out = Units(units.lexicon, units.counts, units.unit_of, {e: own + i for i, e in enumerate(names)}, own + len(names) + 2)
+    return out, np.concatenate([class_of[:own], votes.argmax(axis=1), [votes.sum(axis=0).argmax(), class_of[-1]]])
 
 
 def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
@@ -252,31 +440,40 @@ def score(docs: DataFrame, fitted: Fitted) -> DataFrame:
     the scan, which a repeated task meets again; counts of rare words come by a join on the word.
     """
     shared = shipped(docs.sparkSession, fitted.model)
-    names = ["rid", "doc_id", "word", "times", "n_tokens", "n_known", "logs", "steps"]
+    names = ["rid", "doc_id", "word", "before", "own", "times", "n_tokens", "n_known", "logs", "steps"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared()
         for b in batches:
             for lo, hi, data, offs in ts.text_slices(b.column(2), SLICE_BYTES):
                 rid, ids = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
-                sums, words, row, times = model.measure(data, offs)
-                none = lambda n, kind: pa.nulls(n, kind)
+                sums, words, far = model.measure(data, offs)
+                none = lambda n, kind=pa.int64(): pa.nulls(n, kind)
                 # a text's own row carries a word that no text can hold and that differs from others
                 alone = pa.array([f" {r}" for r in rid.to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([rid, ids, alone, none(hi - lo, pa.int64()), *(pa.array(sums[k]) for k in names[4:])], names)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([rid.take(at), ids.take(at), words, pa.array(times),
-                                                  *(none(len(at), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names)
+                size = hi - lo
+                yield pa.RecordBatch.from_arrays([rid, ids, alone, none(size), none(size), none(size), *(pa.array(sums[c]) for c in names[6:])], names)
+                at, size = pa.array(far["row"]), len(words)
+                yield pa.RecordBatch.from_arrays([rid.take(at), ids.take(at), words, *(pa.array(far[c]) for c in names[3:6]),
+                                                  none(size), none(size), none(size, pa.float64()), none(size, pa.float64())], names)
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
+        for b in batches:
+            get = lambda c: b.column(b.schema.get_field_index(c))
+            here = lambda x: pc.fill_null(x, 0).to_numpy(zero_copy_only=False)
+            times, n, before = here(get("times")), here(get("n")), here(get("before"))
+            own = here(pc.coalesce(get("class").cast(pa.int64()), get("own")))
+            out = {"n_tokens": here(get("n_tokens")), "n_known": here(get("n_known")) + times * (n > 0),
+                   "logs": here(get("logs")) + times * np.log10(n + 0.5),
+                   "steps": here(get("steps")) + times * (model.steps[before, own] - model.spread[own])}
+            yield pa.RecordBatch.from_arrays([get("rid"), get("doc_id"), *map(pa.array, out.values())], ["rid", "doc_id", *out])
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("string").alias("text"))
     kind = dict(docs.dtypes)["doc_id"]
-    parts = rows.mapInArrow(run, f"rid long, doc_id {kind}, word string, times long, n_tokens long, n_known long, logs double, steps double")
-    rare = fitted.vocabulary.where(F.col("n") < fitted.least).select("word", "n")
-    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    sums = parts.join(rare, "word", "left").groupBy("rid").agg(
-        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + total(F.when(F.col("n").isNotNull(), F.col("times")))).alias("n_known"),
-        (F.sum("logs") + total(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5))).alias("_logs"), F.sum("steps").alias("_steps"))
+    parts = rows.mapInArrow(run, f"rid long, doc_id {kind}, word string, before long, own long, times long, n_tokens long, n_known long, logs double, steps double")
+    parts = parts.join(fitted.rare, "word", "left").mapInArrow(finish, f"rid long, doc_id {kind}, n_tokens long, n_known long, logs double, steps double")
+    sums = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "logs", "steps")))
     base = float(np.log10(fitted.tokens + 0.5 * (fitted.words + 1)))
     return sums.select("doc_id", "n_tokens", "n_known", F.lit(fitted.tokens).cast("long").alias("train_tokens"),
-                       (F.col("_logs") - F.col("n_tokens") * base).alias("base_score"), (F.col("_logs") + F.col("_steps")).alias("score"))
+                       (F.col("logs") - F.col("n_tokens") * base).alias("base_score"), (F.col("logs") + F.col("steps")).alias("score"))
