@@ -243,23 +243,41 @@ def best_classes(table: np.ndarray, starts: np.ndarray, cell: np.ndarray, n: np.
     moved alone; bigrams of a word with itself count with the class that it had.
     """
     k, out = len(table), np.zeros(len(starts) - 1, np.int64)
-    rows, cols, turned = table.sum(axis=1), table.sum(axis=0), np.ascontiguousarray(table.T)
+    rows, cols, both = table.sum(axis=1), table.sum(axis=0), np.concatenate([table, table.T])
     lo = 0
     while lo < len(out):
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CELLS // k, side="right")) - 1)
         part = slice(starts[lo], starts[hi])
         of = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
-        c, after, times = cell[part] % k, cell[part] >= k, n[part].astype(float)
-        base = np.where(after[:, None], turned[c], table[c])
-        before_n, after_n = np.bincount(of, times * ~after, hi - lo), np.bincount(of, times * after, hi - lo)
+        # equal counts of equal classes gain alike in every word: each such row is computed once
+        kinds, alike = np.unique(n[part] * 2 * k + cell[part], return_inverse=True)
+        base = both[kinds % (2 * k)]
+        gain = np.add.reduceat((_xlogx(base + (kinds // (2 * k))[:, None]) - _xlogx(base))[alike], starts[lo:hi] - starts[lo], axis=0)
+        times, every = n[part].astype(float), np.arange(hi - lo)
+        counts = np.zeros((hi - lo, 2 * k))
+        counts[of, cell[part]] = times
+        left, right = counts[:, :k], counts[:, k:]
+        before_n, after_n = left.sum(axis=1), right.sum(axis=1)
+        # the cell of a class with itself gets the words before and after at once
+        d = table.diagonal()
+        gain += _xlogx(d + left + right) - _xlogx(d + left) - _xlogx(d + right) + _xlogx(d)
         r, q = np.tile(rows, (hi - lo, 1)), np.tile(cols, (hi - lo, 1))
         if old is not None:
-            was, every = old[lo:hi], np.arange(hi - lo)
-            base[np.arange(len(c)), was[of]] -= times
+            was = old[lo:hi]
+            # cells of the old class without the word: those that the word leaves behind
+            for side, other, cells in ((left, right, table), (right, left, table.T)):
+                at = np.flatnonzero(side[every, was])
+                times_at, all_, rest = side[at, was[at]][:, None], cells[was[at]], np.maximum(cells[was[at]] - other[at], 0)
+                gain[at] += _xlogx(rest + times_at) - _xlogx(rest) - _xlogx(all_ + times_at) + _xlogx(all_)
+            # and those that it would come back to
+            away = cell[part] % k != was[of]
+            less = np.maximum(both[cell[part], was[of]] - times, 0)
+            own = left[every, was] + right[every, was]
+            own_less = np.maximum(d[was] - own, 0)
+            gain[every, was] = np.bincount(of, (_xlogx(less + times) - _xlogx(less)) * away, hi - lo) + _xlogx(own_less + own) - _xlogx(own_less)
             r[every, was] -= after_n
             q[every, was] -= before_n
-        base, r, q = np.maximum(base, 0), np.maximum(r, 0), np.maximum(q, 0)
-        gain = np.add.reduceat(_xlogx(base + times[:, None]) - _xlogx(base), starts[lo:hi] - starts[lo], axis=0)
+        r, q = np.maximum(r, 0), np.maximum(q, 0)
         gain -= _xlogx(r + after_n[:, None]) - _xlogx(r) + _xlogx(q + before_n[:, None]) - _xlogx(q)
         gain[:, 0] = -np.inf
         new = gain.argmax(axis=1)

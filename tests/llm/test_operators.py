@@ -201,6 +201,83 @@ def test_exchange_finds_planted_classes():
     assert len({(a, b) for a, b in zip(of[:40].tolist(), truth.tolist(), strict=True)}) == 4
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_best_class_is_the_likeliest(counted, monkeypatch):
+    """Against the likelihood of the whole table, for words that do not follow themselves."""
+    monkeypatch.setattr(class_lm, "CELLS", 30)
+    rng, k, words = np.random.default_rng(5), 5, 12
+    pairs = rng.poisson(1.5, (words + 1, words + 1)).astype(float)
+    np.fill_diagonal(pairs, 0)
+    of = np.append(rng.integers(1, k, words), 0)
+    hot = np.eye(k)[of]
+    table = hot.T @ pairs @ hot
+    before, after = (pairs.T @ hot)[:words], (pairs @ hot)[:words]
+    if not counted:  # judged on classes before them alone, like words outside the lexicon
+        after[:] = 0
+    found = [np.flatnonzero(np.concatenate([b, a])) for b, a in zip(before, after, strict=True)]
+    starts = np.append(0, np.cumsum([len(f) for f in found]))
+    n = np.concatenate([np.concatenate([b, a])[f] for f, b, a in zip(found, before, after, strict=True)]).astype(np.int64)
+    got = class_lm.best_classes(table, starts, np.concatenate(found), n, of[:words] if counted else None)
+    for w in range(words):
+        def moved(c, w=w):
+            t = table.copy()
+            if counted:
+                t[:, of[w]] -= before[w]
+                t[of[w]] -= after[w]
+            t[:, c] += before[w]
+            t[c] += after[w]
+            return class_lm.log_likelihood(t)
+        scores = [moved(c) for c in range(1, k)]
+        rows = table.sum(axis=1) + (0 if counted else before[w])  # rows of classes before do not depend on the choice
+        assert rows.min() >= 0 and scores[got[w] - 1] == pytest.approx(max(scores), abs=1e-9)
+
+
+def test_class_lm_counts_beside_words(spark):
+    """Counts of classes and classes of rare words against plain Python, with a lexicon that holds half of the words."""
+    texts = ["a b a c x", "b c y d", "a a b x", "d e f a y z", ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    units = class_lm.Units(pa.array(list("abcd")), np.array([6, 3, 2, 2]), np.arange(4), {"x": 4}, 7)  # places, ending x, rest, end
+    of, k = np.array([1, 2, 1, 2, 2, 1, 0]), 3
+    name = lambda w: "abcd".find(w) if w in "abcd" else 4 if w == "x" else 5
+    want, table, rare, inside = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+    stream = [(None, 6)]
+    for t in texts:
+        stream += [*((w, name(w)) for w in t.split()), (None, 6)]
+    # the end before a text is the end of the text before it
+    for (v, p), (w, q) in zip(stream, stream[1:], strict=False):
+        table[of[p] * k + of[q]] += 1
+        if p < 4:
+            want[p, k + of[q]] += 1
+        if q < 4:
+            want[q, of[p]] += 1
+        if q in (4, 5):
+            rare[w, of[p]] += 1
+        else:
+            inside[of[p] * k + of[q]] += 1
+    got = class_lm.neighbours(docs, units, of, k, rare=False).collect()
+    assert {(r.place, r.cell): r.n for r in got if r.place >= 0} == want
+    assert {r.cell: r.n for r in got if r.place < 0} == table
+    got = class_lm.neighbours(docs, units, of, k, rare=True).collect()
+    assert {(r.word, r.cell): r.n for r in got if r.word} == rare
+    assert {r.cell: r.n for r in got if r.word is None} == inside
+
+
+def test_class_lm_sweeps_raise_the_likelihood(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("text")
+    counts = class_lm.word_counts(docs).orderBy(F.desc("n"), "word").toArrow()
+    n = len(counts)
+    units = class_lm.Units(counts["word"].combine_chunks().cast(pa.string()), counts["n"].to_numpy(), np.arange(n), {}, n + 2)
+    first = np.append(1 + np.arange(n + 1) % 8, 0)
+    value = lambda of: class_lm.log_likelihood(class_lm._dense(class_lm.neighbours(docs, units, of, 9, rare=False).where("place < 0"), 9))
+    of = class_lm.sweep_words(docs, units, first, 9, sweeps=2)
+    assert value(of) > value(first) and of[-1] == 0 and (of[:-1] > 0).all()
+
+
+def test_classes_grow_with_the_vocabulary():
+    assert class_lm.class_number(0) == class_lm.LEAST_CLASSES
+    assert class_lm.class_number(8_000_000) == 4 * class_lm.class_number(125_000)
+
+
 def test_class_lm_odd_rows(odd, none):
     fitted = class_lm.fit(odd, F.lit(True))
     got = class_lm.score(odd, fitted).collect()
