@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import checkpointed, shipped
+from .common import checkpointed, shipped, written
 
 #: Frequent words that tasks hold; the counts of other words come by a join.
 LEXICON = 250_000
@@ -35,9 +35,11 @@ UNIT_WORDS, UNIT_ENDINGS = 1000, 250
 CLASS_RATE, LEAST_CLASSES = 2.0, 15
 ENDING = 2
 #: Sweeps over the units, and over the words of the lexicon (each moves half of them).
-SWEEPS, WORD_SWEEPS = 6, 4
+SWEEPS, WORD_SWEEPS = 6, 2
 #: Sums that a task holds before it sends them, and cells compared at once.
 HELD, CELLS = 1 << 20, 1 << 21
+#: Keys that the class bigrams are spread over.
+TABLE_PARTS = 64
 #: Weight of the class frequencies in the transition probabilities.
 SMOOTHING = 10.0
 SLICE_BYTES = 4 << 20
@@ -177,12 +179,14 @@ def log_likelihood(table: np.ndarray) -> float:
     return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
 
 
-def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, rare: bool) -> DataFrame:
-    """word, place, cell, n: class counts beside words, over all rows of ``texts``.
+def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, moving: tuple[int, int] | None) -> DataFrame:
+    """word, place, found: class counts beside words over all rows of ``texts``; found lists cell, n.
 
-    A row without word and with place -1 is a class bigram, first * k + second. Without ``rare`` there
-    are the classes before (cell below k) and after (from k) each word of the lexicon, by its place;
-    with it, the classes before each word outside the lexicon, whose own bigrams are then left out.
+    Rows with a place below 0 hold the class bigrams, first * k + second, in some parts. With
+    ``moving`` (i, m) there are the classes before (cell below k) and after (from k) each word of the
+    lexicon whose place leaves i when divided by m; without it, the classes before each word outside
+    the lexicon (place 0), whose own bigrams are then left out. A task sums up before it sends, and
+    counts go to the task of their word at once, so the rows are shuffled a single time.
     """
     shared = shipped(texts.sparkSession, (units, class_of))
 
@@ -203,16 +207,16 @@ def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, rar
                 words, at, row = _coded(data, offs)
                 s = u.stream(u.lookup(words)[1], at, row, len(offs) - 1)
                 c = of[s]
-                if rare:
+                if moving is None:
                     token = u.stream(np.arange(len(words)), at, row, len(offs) - 1)  # places in ``words``; meaningless at ends
                     far = (s >= own) & (s < u.n - 1)
                     total += np.bincount((c[:-1] * k + c[1:])[~far[1:]], minlength=k * k)
                     far = np.flatnonzero(far)
                     keys, n = np.unique(token[far] * k + c[far - 1], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(keys // k)), pa.array(np.full(len(keys), -1)), pa.array(keys % k), pa.array(n)], names)
+                    yield pa.RecordBatch.from_arrays([words.take(pa.array(keys // k)), pa.array(np.zeros(len(keys), np.int64)), pa.array(keys % k), pa.array(n)], names)
                     continue
                 total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
-                near = np.flatnonzero(s < own)
+                near = np.flatnonzero((s < own) & (s % moving[1] == moving[0]))
                 held.append(np.unique(np.concatenate([s[near] * 2 * k + c[near - 1], s[near] * 2 * k + k + c[near + 1]]), return_counts=True))
                 if sum(len(h[0]) for h in held) > HELD:
                     held = [merged()]
@@ -221,18 +225,22 @@ def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, rar
         if held:
             yield sums(*merged())
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.string()), pa.array(np.full(len(cells), -1)), pa.array(cells), pa.array(total[cells])], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.string()), pa.array(-1 - cells % TABLE_PARTS), pa.array(cells), pa.array(total[cells])], names)
 
     names = ["word", "place", "cell", "n"]
-    return checkpointed(texts.mapInArrow(run, "word string, place long, cell long, n long").groupBy("word", "place", "cell").agg(F.sum("n").alias("n")))
+    sent = texts.mapInArrow(run, "word string, place long, cell long, n long").repartition("word", "place")
+    sums = sent.groupBy("word", "place", "cell").agg(F.sum("n").alias("n"))
+    return written(sums.groupBy("word", "place").agg(F.collect_list(F.struct("cell", "n")).alias("found")))
 
 
 def _dense(cells: DataFrame, k: int) -> np.ndarray:
-    """The k * k table of cell, n."""
+    """The k * k table of cell, n; a cell may come in parts."""
     got = cells.select("cell", "n").toArrow()
-    out = np.zeros(k * k)
-    out[got["cell"].to_numpy()] = got["n"].to_numpy()
-    return out.reshape(k, k)
+    return np.bincount(got["cell"].to_numpy(), got["n"].to_numpy(), k * k).reshape(k, k)
+
+
+def _bigrams_of(found: DataFrame, k: int) -> np.ndarray:
+    return _dense(found.where("place < 0").select(F.inline("found")), k)
 
 
 def best_classes(table: np.ndarray, starts: np.ndarray, cell: np.ndarray, n: np.ndarray, old: np.ndarray | None) -> np.ndarray:
@@ -287,47 +295,44 @@ def best_classes(table: np.ndarray, starts: np.ndarray, cell: np.ndarray, n: np.
     return out
 
 
-def _chosen(cells: DataFrame, key: str, table: np.ndarray, class_of: np.ndarray | None) -> DataFrame:
-    """key, n, class of each word of ``cells``; a word has at most two counts for each class."""
-    shared = shipped(cells.sparkSession, (table, class_of))
-    kind = dict(cells.dtypes)[key]
+def _chosen(lists: DataFrame, table: np.ndarray, class_of: np.ndarray | None) -> DataFrame:
+    """word, place, n (the counts before it), class, found of each word; a word has at most two counts for each class."""
+    shared = shipped(lists.sparkSession, (table, class_of))
+    names = ["word", "place", "n", "class", "found"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, of = shared()
         for b in batches:
             if not b.num_rows:
                 continue
-            found = b.column(1)
+            word, place, found = b.columns
             flat, starts = found.flatten(), np.append(0, np.cumsum(pc.list_value_length(found).to_numpy()))
             cell, n = flat.field("cell").to_numpy(), flat.field("n").to_numpy()
-            new = best_classes(t, starts, cell, n, None if of is None else of[b.column(0).to_numpy()])
+            new = best_classes(t, starts, cell, n, None if of is None else of[place.to_numpy()])
             before = np.add.reduceat(n * (cell < len(t)), starts[:-1])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(before), pa.array(new.astype(np.int32))], [key, "n", "class"])
+            yield pa.RecordBatch.from_arrays([word, place, pa.array(before), pa.array(new.astype(np.int32)), found], names)
 
-    lists = cells.groupBy(key).agg(F.collect_list(F.struct("cell", "n")).alias("found"))
-    return lists.mapInArrow(run, f"{key} {kind}, n long, class int")
+    return lists.select("word", "place", "found").mapInArrow(run, "word string, place long, n long, class int, found array<struct<cell:long,n:long>>")
 
 
 def sweep_words(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, sweeps: int = WORD_SWEEPS) -> np.ndarray:
     """Classes of the units, those of the lexicon's words after ``sweeps`` moves of every second word.
 
-    Stops, with the classes before it, at a sweep after which the class bigrams are less likely.
+    A sweep's count shows whether the one before made the class bigrams likelier; if not, the
+    classes before that one are the result.
     """
     best, kept = -math.inf, class_of
-    for turn in range(sweeps + 1):
-        cells = neighbours(texts, units, class_of, k, rare=False)
-        table = _dense(cells.where("place < 0"), k)
+    for turn in range(sweeps):
+        found = neighbours(texts, units, class_of, k, (turn % 2, 2))
+        table = _bigrams_of(found, k)
         now = log_likelihood(table)
         if now <= best + 1e-9 * abs(now):
             return kept
         best, kept = now, class_of
-        if turn == sweeps:
-            break
-        moving = cells.where((F.col("place") >= 0) & (F.col("place") % 2 == turn % 2))
-        moved = _chosen(moving, "place", table, class_of).select("place", "class").toArrow()
+        moved = _chosen(found.where("place >= 0"), table, class_of).select("place", "class").toArrow()
         class_of = class_of.copy()
         class_of[moved["place"].to_numpy()] = moved["class"].to_numpy()
-    return kept
+    return class_of
 
 
 @dataclass
@@ -407,12 +412,11 @@ def fit(docs: DataFrame, usable: Column) -> Fitted:
     units, class_of = every_word(units, seed)
     class_of = sweep_words(texts, units, class_of, k)
     units, class_of = by_ending(units, class_of, own)
-    cells = neighbours(texts, units, class_of, k, rare=True)
-    table = _dense(cells.where("word is null"), k)
-    outside = cells.where("word is not null")
-    rare = checkpointed(_chosen(outside.select("word", "cell", "n"), "word", table, None))
-    table += _dense(outside.select("word", F.col("cell").alias("before"), F.col("n").alias("times")).join(rare.select("word", "class"), "word")
-                    .groupBy((F.col("before") * k + F.col("class")).alias("cell")).agg(F.sum("times").alias("n")), k)
+    found = neighbours(texts, units, class_of, k, None)
+    table = _bigrams_of(found, k)
+    rare = written(_chosen(found.where("place >= 0"), table, None))
+    table += _dense(rare.select("class", F.inline("found")).groupBy((F.col("cell") * k + F.col("class")).alias("cell")).agg(F.sum("n").alias("n")), k)
+    rare = rare.select("word", "n", "class")
 
     in_class, words_of = np.zeros(k), np.zeros(k)
     np.add.at(in_class, class_of[: len(lexicon)], counts)

@@ -254,12 +254,13 @@ def test_class_lm_counts_beside_words(spark):
             rare[w, of[p]] += 1
         else:
             inside[of[p] * k + of[q]] += 1
-    got = class_lm.neighbours(docs, units, of, k, rare=False).collect()
-    assert {(r.place, r.cell): r.n for r in got if r.place >= 0} == want
-    assert {r.cell: r.n for r in got if r.place < 0} == table
-    got = class_lm.neighbours(docs, units, of, k, rare=True).collect()
-    assert {(r.word, r.cell): r.n for r in got if r.word} == rare
-    assert {r.cell: r.n for r in got if r.word is None} == inside
+    for i in range(2):
+        got = class_lm.neighbours(docs, units, of, k, (i, 2)).collect()
+        assert {(r.place, f.cell): f.n for r in got if r.place >= 0 for f in r.found} == {c: n for c, n in want.items() if c[0] % 2 == i}
+        assert {f.cell: f.n for r in got if r.place < 0 for f in r.found} == table
+    got = class_lm.neighbours(docs, units, of, k, None).collect()
+    assert {(r.word, f.cell): f.n for r in got if r.word for f in r.found} == rare
+    assert {f.cell: f.n for r in got if r.place < 0 for f in r.found} == inside
 
 
 def test_class_lm_sweeps_raise_the_likelihood(spark):
@@ -268,7 +269,7 @@ def test_class_lm_sweeps_raise_the_likelihood(spark):
     n = len(counts)
     units = class_lm.Units(counts["word"].combine_chunks().cast(pa.string()), counts["n"].to_numpy(), np.arange(n), {}, n + 2)
     first = np.append(1 + np.arange(n + 1) % 8, 0)
-    value = lambda of: class_lm.log_likelihood(class_lm._dense(class_lm.neighbours(docs, units, of, 9, rare=False).where("place < 0"), 9))
+    value = lambda of: class_lm.log_likelihood(class_lm._bigrams_of(class_lm.neighbours(docs, units, of, 9, (0, 2)), 9))
     of = class_lm.sweep_words(docs, units, first, 9, sweeps=2)
     assert value(of) > value(first) and of[-1] == 0 and (of[:-1] > 0).all()
 
