@@ -96,3 +96,12 @@ def test_results_stable_under_repartition(spark):
     b = M.market_kpis(base.repartition(7)).collect()
     c = M.market_kpis(base.repartition(1)).collect()
     assert a == b == c
+
+
+def test_duplicate_counts_compare_whole_rows(spark):
+    from marketlens.operators.aggregates.profile import duplicate_counts
+    # a null leaves a hash as it is: (null, 1) and (1, null) share a print and are different rows
+    rows = [("a", None, 1), ("a", 1, None), ("a", None, 1), ("b", 2, 2), (None, None, None), (None, None, None), (None, 3, 3)]
+    df = spark.createDataFrame(rows, "k string, x int, y int")
+    assert duplicate_counts(df, "k").collect()[0].asDict() == {"rows": 7, "duplicate_rows": 2, "duplicate_keys": 4}
+    assert duplicate_counts(df.limit(0), "k").collect()[0].asDict() == {"rows": 0, "duplicate_rows": 0, "duplicate_keys": 0}
