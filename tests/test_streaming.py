@@ -35,3 +35,9 @@ def test_snapshot_stream(spark):
     assert sorted(r.asin for r in out.select("asin").collect()) == \
         sorted(r.asin for r in dashboard_table(raw).select("asin").collect())
     assert out.select(F.col("snapshot_date").cast("string")).distinct().collect()[0][0] == "2026-03-24"
+    # the same batch again, as after a failure between its write and its commit: no row twice
+    rows = out.count()
+    q = start_snapshot_ingest(spark, landing, RAW_SCHEMA, os.path.join(base, "table"),
+                              os.path.join(base, "ckpt-lost"), trigger_once=True)
+    q.awaitTermination(120)
+    assert spark.read.parquet(os.path.join(base, "table")).count() == rows > 0
