@@ -71,9 +71,8 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumns({c: one_row.select(c).scalar() for c in one_row.columns})
 
 
-def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str = "asin", sampled: Column | None = None) -> DataFrame:
-    """J-02: search items left-joined to details and to the review endpoint; only items for which
-    ``sampled`` holds are enriched, all if it is not given.
+def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str = "asin") -> DataFrame:
+    """J-02: every search item left-joined to details and to the review endpoint.
 
     ``details`` and ``reviews`` must be unique per key (pre-aggregated); both
     grow with the data, so the joins shuffle on the key (no broadcast), and
@@ -82,9 +81,6 @@ def enrich(search: DataFrame, details: DataFrame, reviews: DataFrame, key: str =
     d = details.select(key, *[F.col(c).alias(f"d_{c}") for c in details.columns if c != key],
                        F.lit(True).alias("_has_details"))
     r = reviews.select(key, *[F.col(c).alias(f"e_{c}") for c in reviews.columns if c != key])
-    if sampled is not None:
-        chosen = enrich(search.where(F.coalesce(sampled, F.lit(False))), details, reviews, key)
-        return chosen.unionByName(search.where(~F.coalesce(sampled, F.lit(False))).withColumn("_has_details", F.lit(False)), allowMissingColumns=True)
     return search.join(d, key, "left").join(r, key, "left") \
         .withColumn("_has_details", F.coalesce(F.col("_has_details"), F.lit(False)))
 

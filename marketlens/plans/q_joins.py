@@ -85,20 +85,13 @@ def j_01(spark, d):
                          default=F.col("crawl_category"), dim_rows=len(mapping))
 
 
-# Fixed value: search items of which details and reviews are fetched, one in eight by a hash of the product.
-SAMPLED_SQL = "cast('0x' || substr(md5(asin || ':42'), 1, 8) as bigint) % 8 = 0"
-
-
-@register("j_02", O.with_base(f"""
-select asin, row_k1, row_k2, row_k3, has_details and {SAMPLED_SQL} as has_details,
-       case when {SAMPLED_SQL} then coalesce(d_n, 0) else 0 end as detail_reviews,
-       case when {SAMPLED_SQL} then coalesce(e_n, 0) else 0 end as endpoint_reviews from enriched""", CRAWL_SQL))
+@register("j_02", O.with_base("""
+select asin, row_k1, row_k2, row_k3, has_details, coalesce(d_n, 0) as detail_reviews,
+       coalesce(e_n, 0) as endpoint_reviews from enriched""", CRAWL_SQL))
 def j_02(spark, d):
-    e = J.enrich(crawl.search_items(spark, d), crawl.details(spark, d), crawl.review_endpoint(spark, d),
-                 sampled=R.stable_hash("asin", 42) % 8 == 0)
-    return e.select("asin", *crawl.ROW_KEY, F.col("_has_details").alias("has_details"),
-                    F.coalesce("d_top_reviews_n", F.lit(0)).alias("detail_reviews"),
-                    F.coalesce("e_reviews_list_n", F.lit(0)).alias("endpoint_reviews"))
+    return _enriched(spark, d).select("asin", *crawl.ROW_KEY, F.col("_has_details").alias("has_details"),
+                                      F.coalesce("d_top_reviews_n", F.lit(0)).alias("detail_reviews"),
+                                      F.coalesce("e_reviews_list_n", F.lit(0)).alias("endpoint_reviews"))
 
 
 MERGE_FIELDS = ["title", "price_cents", "link", "image_url", "original_price_cents", "rating_x10", "reviews", "delivery_info",

@@ -105,3 +105,15 @@ def test_duplicate_counts_compare_whole_rows(spark):
     df = spark.createDataFrame(rows, "k string, x int, y int")
     assert duplicate_counts(df, "k").collect()[0].asDict() == {"rows": 7, "duplicate_rows": 2, "duplicate_keys": 4}
     assert duplicate_counts(df.limit(0), "k").collect()[0].asDict() == {"rows": 0, "duplicate_rows": 0, "duplicate_keys": 0}
+
+
+def test_every_search_item_is_enriched(spark, monkeypatch):
+    from marketlens.plans import q_joins
+    key = "asin string, row_k1 long, row_k2 long, row_k3 long"
+    items = spark.createDataFrame([(f"p{k % 40}", k, 1, 1) for k in range(60)], key)
+    details = spark.createDataFrame([(f"p{k}", 2) for k in range(0, 40, 2)], "asin string, top_reviews_n long")
+    reviews = spark.createDataFrame([(f"p{k}", 3) for k in range(0, 40, 4)], "asin string, reviews_list_n long")
+    for name, frame in (("search_items", items), ("details", details), ("review_endpoint", reviews)):
+        monkeypatch.setattr(q_joins.crawl, name, lambda *_, frame=frame: frame)
+    got = {(r.row_k1, r.has_details, r.detail_reviews, r.endpoint_reviews) for r in q_joins.j_02(spark, "").collect()}
+    assert got == {(k, k % 2 == 0, 2 * (k % 2 == 0), 3 * (k % 40 % 4 == 0)) for k in range(60)}
