@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
-from .common import shipped, written
+from .common import give_back, shipped, written
 
 #: Bytes of chunks of text whose ids a worker keeps, at most (and one slice more).
 CACHED_BYTES = 1 << 22
@@ -103,9 +103,9 @@ class Encoders:
 
     def __init__(self, a: str, b: str):
         self.sides = (Side(a), Side(b))
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.fine, self.held = np.zeros(0, bool), 0
         for s in self.sides:
@@ -123,7 +123,7 @@ class Encoders:
         """For each side ids, byte ends within the slice and rows of all tokens. A row that holds the
         added space alone, or whose tokens' bytes differ from it on a side, has none."""
         if self.held > CACHED_BYTES:
-            self._clear()
+            self.clear()
         cut = np.zeros(len(data), bool)
         cut[1:-1] = (data[1:-1] == 0x20) & _VISIBLE[data[:-2]] & _VISIBLE[data[2:]]
         cut[offs[1:-1]] = False
@@ -265,6 +265,9 @@ def _read(docs: DataFrame, a: str, b: str, schema: str, columns: Callable[..., d
                 pairs = overlaps(one, two, sizes)
                 got = columns(offs[:-1], one, two, pairs, *groups(pairs, one[1], two[1]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *got.values()], ["doc_id", *got])
+                del data, offs, one, two, pairs, got
+        encode.clear()  # the next stages run in the same worker
+        give_back()
 
     return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {doc_type}, {schema}")
 
@@ -332,6 +335,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
         for batch in batches:
             pair, docs = np.unique(_flat(batch)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(docs)], ["pair", "docs"])
+        give_back()
 
     counts = found.select("a", "b", "n").mapInArrow(run, "pair long, docs long").groupBy("pair").agg(F.sum("docs").alias("docs"))
     counts = counts.select("pair", F.expr(f"int(pair div {PAIR})").alias("a"), F.expr(f"int(pair % {PAIR})").alias("b"), "docs")
@@ -366,6 +370,8 @@ def summed(docs: DataFrame, a: str, b: str) -> DataFrame:
             rest = pa.StructArray.from_arrays([pa.array(pair[~known]), pa.array(n[~known])], ["pair", "n"])
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("rid")), pa.array(top.astype(np.int64)), pa.array(total.astype(np.int64)),
                                               pa.ListArray.from_arrays(bounds, rest)], ["rid", "n_best", "count_sum", "rest"])
+        del pairs, docs_, best
+        give_back()
 
     parts = written(found.select("rid", "a", "b", "n").mapInArrow(run, "rid long, n_best long, count_sum long, rest array<struct<pair: long, n: long>>"))
     other = parts.select("rid", F.explode("rest").alias("x")).select("rid", "x.pair", "x.n").join(counts.select("pair", "docs", "best"), "pair")

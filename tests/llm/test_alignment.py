@@ -111,3 +111,22 @@ def test_a_group_of_many_tokens_is_listed_in_parts(monkeypatch, libraries):
     monkeypatch.setattr(alignment, "LINKS_AT_ONCE", 5)
     two = alignment.links(side, side, np.zeros(300, np.int64), np.zeros(300, np.int64))
     assert all((x == y).all() for x, y in zip(one, two, strict=True)) and one[2].sum() == 300 * 300 and len(one[0]) == 49
+
+
+def test_workers_keep_no_chunks_after_a_task(spark):
+    docs = spark.createDataFrame([(k, f"word{k} and more words of {k} kinds") for k in range(400)], "doc_id long, text string").repartition(8)
+
+    def held(batches):
+        import sys
+
+        import pyarrow as pa
+
+        for _ in batches:
+            store = vars(sys.modules.get("marketlens_worker", type(sys)("none")))
+            some = [len(e.at) for k, e in store.items() if isinstance(k, tuple)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(some)]), pa.array([sum(some)])], ["workers", "chunks"])
+
+    found = alignment.linked(docs, A, B)
+    assert found.agg({"n_links": "sum"}).first()[0] > 0
+    got = spark.range(0, 64, 1, 16).mapInArrow(held, "workers long, chunks long").groupBy().sum("workers", "chunks").first()
+    assert got[0] > 0 and got[1] == 0
