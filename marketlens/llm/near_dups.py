@@ -73,12 +73,12 @@ def needed(size: np.ndarray) -> np.ndarray:
     return np.minimum(-(-PERCENT * size // 100), least)
 
 
-def rarest(sketch: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rarest(sketch: np.ndarray, bounds: np.ndarray, counts: np.ndarray, need: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The values under which each row is listed, end to end, and offsets."""
     size = np.diff(bounds)
     row = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((sketch, counts[sketch % np.uint64(COUNTERS)], row))
-    listed = np.where(size > 0, size - needed(size) + 1, 0)
+    listed = np.where(size > 0, size - (needed(size) if need is None else need) + 1, 0)
     place = np.arange(len(sketch)) - bounds[row]
     return sketch[order][place < listed[row]], np.concatenate([[0], np.cumsum(listed)])
 
@@ -94,17 +94,19 @@ def _print(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return out.cast(pa.binary())
 
 
-def _read(docs: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], wanted: Callable[[], np.ndarray] | None = None) -> DataFrame:
-    """doc_id and the given columns of the sets of every row, or of those whose bit is in ``wanted``."""
+def _read(docs: DataFrame, schema: str, columns: Callable[[np.ndarray, np.ndarray], dict[str, pa.Array]], wanted: Callable[[], np.ndarray] | None = None, mark: bool = False) -> DataFrame:
+    """doc_id and the given columns of the sets of every row, or of those whose bit is in ``wanted``;
+    with ``mark``, of every row and whether its bit is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = wanted() if wanted else None
         for b in batches:
             if wanted:
                 bit = b.column(2).to_numpy()
-                b = b.filter(pa.array((held[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1))
+                there = pa.array((held[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1)
+                b = b if mark else b.filter(there)
             for lo, hi, data, offs in ts.text_slices(b.column(1)):
-                got = columns(*shingle_sets(data, offs))
+                got = columns(*shingle_sets(data, offs)) | ({"marked": there.slice(lo, hi - lo)} if mark else {})
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *got.values()], ["doc_id", *got])
         give_back()
 
@@ -119,7 +121,7 @@ def _bit(doc_id: Column) -> Column:
 def _map_of(ids: DataFrame) -> Callable[[], np.ndarray]:
     """A bit map of a fixed size that holds the ids (doc_id) and, by chance, a few others, so that
     texts need no shuffle to find those that are wanted."""
-    bit = ids.select(_bit(F.col("doc_id")).alias("bit"))
+    bit = ids.where("doc_id is not null").select(_bit(F.col("doc_id")).alias("bit"))
     words = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(bit % 64))")).alias("bits")).toPandas()
     out = np.zeros(WANTED_BITS // 64, np.uint64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
@@ -131,16 +133,33 @@ def prints(docs: DataFrame) -> DataFrame:
     return _read(docs, "n_shingles long, print binary", lambda h, bounds: {"n_shingles": pa.array(np.diff(bounds)), "print": _print(h, bounds)})
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, print and sketch of every row."""
+def sketches(docs: DataFrame, held: Callable[[], np.ndarray]) -> DataFrame:
+    """doc_id, n_shingles, print, sketch of every row, and whether its bit is in the map ``held``."""
 
     def columns(h: np.ndarray, bounds: np.ndarray) -> dict[str, pa.Array]:
         kept = np.minimum(np.diff(bounds), BOTTOM)
         at = np.concatenate([[0], np.cumsum(kept)])
         sketch = h[np.arange(at[-1]) + np.repeat(bounds[:-1] - at[:-1], kept)]
-        return {"print": _print(h, bounds), "sketch": _ragged(sketch, at)}
+        return {"n_shingles": pa.array(np.diff(bounds)), "print": _print(h, bounds), "sketch": _ragged(sketch, at)}
 
-    return _read(docs, "print binary, sketch array<long>", columns)
+    return _read(docs, "n_shingles long, print binary, sketch array<long>, marked boolean", columns, held, mark=True)
+
+
+def representatives(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """id, n, print, sketch: the smallest id of each class of ``named`` (doc_id, n_shingles, print).
+
+    A row that is alone in its class needs no join. The ids of classes of more rows lie in a map of a
+    fixed size, and only rows whose bit is set are shuffled to find the one that stands for a class."""
+    first = named.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("_rows"))
+    first = written(first)
+    several = first.where("_rows > 1").select("n_shingles", "print")
+    held = _map_of(named.join(several, ["n_shingles", "print"], "left_semi").select("doc_id"))
+
+    rows = checkpointed(sketches(docs, held).where("n_shingles > 0 and doc_id is not null"))
+    shared = rows.where("marked").drop("marked").join(first.drop("_rows"), ["doc_id", "n_shingles", "print"], "left_semi")
+    shared = checkpointed(shared.dropDuplicates(["doc_id", "print"]))
+    return (rows.where("not marked").drop("marked").union(shared)
+            .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch"))
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -155,9 +174,9 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), (offs - offs[0]).astype(np.int64)
 
 
-def value_counts(classes: DataFrame) -> np.ndarray:
-    """How many retained values of all documents fall on each of COUNTERS counters: a table of a
-    fixed size, summed in each task first."""
+def value_counts(lists: DataFrame) -> np.ndarray:
+    """How many values of a column of lists fall on each of COUNTERS counters: a table of a fixed size,
+    summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
@@ -166,7 +185,7 @@ def value_counts(classes: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["counter", "n"])
 
-    found = classes.select("sketch").mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    found = lists.mapInArrow(run, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(COUNTERS, np.int64)
     out[found["counter"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     return out
@@ -174,7 +193,7 @@ def value_counts(classes: DataFrame) -> np.ndarray:
 
 def postings(classes: DataFrame) -> DataFrame:
     """id, n, key: the lists of each class."""
-    shared = shipped(classes.sparkSession, value_counts(classes))
+    shared = shipped(classes.sparkSession, value_counts(classes.select("sketch")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared()
@@ -186,6 +205,28 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", "sketch").mapInArrow(run, "id long, n long, key long")
 
 
+def full_postings(sets: DataFrame) -> DataFrame:
+    """id, n, key, most: the lists of each row of ``sets`` (doc_id, print, shingles) by its full set.
+
+    Two sets at the threshold share one of the first n - 3 n / 4 + 1 of either in the common order. Where
+    a value at place p is the first they share, they share n - p at most, so the other has at most
+    ``most`` shingles."""
+    shared = shipped(sets.sparkSession, value_counts(sets.select("shingles")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared()
+        for b in batches:
+            flat, bounds = _flat(b.column(1))
+            n = np.diff(bounds)
+            keys, at = rarest(flat, bounds, counts, -(-PERCENT * n // 100))
+            row = np.repeat(np.arange(len(b)), np.diff(at))
+            place = np.arange(len(keys)) - at[row]
+            most = (100 + PERCENT) * (n[row] - place) // PERCENT - n[row]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(n[row]), pa.array(keys.view(np.int64)), pa.array(most)], ["id", "n", "key", "most"])
+
+    return sets.select("doc_id", "shingles").mapInArrow(run, "id long, n long, key long, most long")
+
+
 def _near(n_a: str, n_b: str):
     """The smaller set is large enough for the threshold."""
     return 100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)
@@ -199,10 +240,10 @@ def _pairs_of_short(lists: DataFrame) -> DataFrame:
     return two.where(_near("x.n", "y.n")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def _stars(lists: DataFrame, members: DataFrame) -> DataFrame:
-    """Each of ``members`` of a list with one member of it, the first by a hash of the id: the lists of a group
-    of copies mostly share their centre, so a member meets few centres."""
-    centre = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "n")).alias("c"))
+def _stars(lists: DataFrame, members: DataFrame, *first: Column) -> DataFrame:
+    """Each of ``members`` of a list with one member of it, the least by ``first`` and a hash of the id: the
+    lists of a group of copies mostly share their centre, so a member meets few centres."""
+    centre = lists.groupBy("key").agg(F.min(F.struct(*first, F.xxhash64("id").alias("h"), "id", "n")).alias("c"))
     return (members.join(centre, "key").where((F.col("id") != F.col("c.id")) & _near("n", "c.n"))
             .select(F.least("id", "c.id").alias("a"), F.greatest("id", "c.id").alias("b")).distinct())
 
@@ -228,11 +269,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             .where(F.when(whole, sure).otherwise(est >= LEAST_ESTIMATE)).select("a", "b", "print_a", "print_b", "exact"))
 
 
-def _confirmed(docs: DataFrame, near: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs: those whose full sets reach the threshold."""
+def _confirmed(docs: DataFrame, near: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the pairs: those whose full sets, read unless given, reach the threshold."""
     near = checkpointed(near)
     open_ = near.where(~F.col("exact"))
-    sets = full_sets(docs, open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct())
+    if sets is None:
+        sets = full_sets(docs, open_.select(F.col("a").alias("doc_id")).union(open_.select("b")).distinct())
     side = lambda x: sets.groupBy(F.col("doc_id").alias(x), F.col("print").alias(f"print_{x}")).agg(F.first("shingles").alias(f"set_{x}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     full = (open_.join(side("a"), ["a", "print_a"]).join(side("b"), ["b", "print_b"])
@@ -247,6 +289,33 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select(pairs.columns)
 
 
+def _still_open(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """Ids (doc_id) of the lists whose members are not all linked by now."""
+    now = lists.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    ends = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return now.join(ends, "key", "left_semi").select(F.col("id").alias("doc_id")).distinct()
+
+
+def _links_by_full_sets(docs: DataFrame, open_ids: DataFrame, classes: DataFrame, links: DataFrame, found: DataFrame) -> DataFrame:
+    """All ``links`` and those among ``open_ids`` (doc_id), which meet again in the lists of their full sets.
+
+    A sketch allows for its error and lists nearly half of its values, a full set a quarter at most, and
+    there a member leaves the lists in which nobody's size can reach the threshold with it. Most members of
+    a group that lie too far from each other part here, so blocks compare only what is left."""
+    named = classes.select(F.col("id").alias("doc_id"), "print")
+    sets = written(full_sets(docs, open_ids).join(named, ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id", "print"]))
+    lists = written(full_postings(sets))
+    least = lists.groupBy("key").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
+    lists = lists.join(least, "key").where("most >= least").drop("least", "_rows")
+    lists = written(_with_length(lists))
+    long = lists.where(F.col("len") > SHORT_LIST)
+    stars = _stars(long, long, (-F.col("most")).alias("central"))
+    pairs = _apart(_pairs_of_short(lists.where(F.col("len") <= SHORT_LIST)).union(stars).distinct(), found)
+    links = written(links.union(_confirmed(docs, _estimated(pairs, classes), sets)))
+    used = written(_blocks(long.drop("most"), classes, components(links)))
+    return links.union(_linked_in_blocks(used, sets)) if used.limit(1).count() else links
+
+
 def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Members of long lists, in blocks of BLOCK by BLOCK (key, i, j), that have a candidate in another
     component by their sketches. Lists whose members are all linked by now are left out, and of the
@@ -270,13 +339,11 @@ def _blocks(lists: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame
     return rows.groupBy("key", "i", "j").applyInPandas(_used, schema)
 
 
-def _linked_in_blocks(docs: DataFrame, used: DataFrame, classes: DataFrame) -> DataFrame:
+def _linked_in_blocks(used: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) among the members ``used`` of each block, which get their full sets.
 
     A block gives links only, one fewer than the members it joins at most: how many pairs it has to
     look at never becomes rows."""
-    sets = full_sets(docs, used.select(F.col("id").alias("doc_id")).distinct())
-    sets = sets.join(classes.select(F.col("id").alias("doc_id"), F.col("print")), ["doc_id", "print"], "left_semi")
     sets = sets.groupBy(F.col("doc_id").alias("_id")).agg(F.first("shingles").alias("shingles"))
     return used.join(sets, F.col("id") == F.col("_id")).drop("_id").groupBy("key", "i", "j").applyInPandas(_link, "a long, b long")
 
@@ -350,7 +417,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Sets that are equal (128 bits and size) are one class, represented by its smallest id. Classes
     meet in the lists of their rarest retained values. Of short lists all pairs are taken. Members of
     long lists, which hold many copies of one text, link to a centre first; whatever of a long list
-    still lies apart after that is compared block by block on the sketches.
+    still lies apart after that meets again in lists of full sets, and what lies apart even there is
+    compared block by block.
 
     Rows without words, and rows with a null id, link with nothing and are kept; their component is
     their own id. Rows that repeat an id count as one document. Texts of fewer than five words
@@ -358,9 +426,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = checkpointed(prints(docs))
     named = rows.where("n_shingles > 0 and doc_id is not null")
-    first = named.groupBy("n_shingles", "print").agg(F.min("doc_id").alias("doc_id"))
-    classes = checkpointed(sketches(docs).join(first, ["doc_id", "print"]).dropDuplicates(["doc_id", "print"])
-                           .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "print", "sketch"))
+    classes = representatives(docs, named)
     member = named.select("doc_id", "n_shingles", "print").join(
         classes.select(F.col("n").alias("n_shingles"), "print", "id"), ["n_shingles", "print"])
     own = member.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
@@ -368,14 +434,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     met = written(_with_length(postings(classes)))
     hot_lists = met.where(F.col("len") > SHORT_LIST)
     # what is linked already needs no pair, so the work goes from few likely pairs to all the rest:
-    # each member of long lists with the centre of its longest, all pairs and centres, whole blocks
+    # each member of long lists with the centre of its longest, all pairs and centres, lists of full sets
     longest = hot_lists.groupBy("id", "n").agg(F.max_by("key", F.struct("len", "key")).alias("key"))
     links = written(_confirmed(docs, _estimated(_stars(hot_lists, longest), classes)))
     pairs = _pairs_of_short(met.where(F.col("len") <= SHORT_LIST)).union(_stars(hot_lists, hot_lists)).distinct()
     links = written(links.union(_confirmed(docs, _estimated(_apart(pairs, components(links)), classes))))
     found = components(links)
-    rest = written(_linked_in_blocks(docs, written(_blocks(hot_lists, classes, found)), classes))
-    whole = components(links.union(rest).union(own))
+    open_ids = written(_still_open(hot_lists, found))
+    if open_ids.limit(1).count():
+        links = written(_links_by_full_sets(docs, open_ids, classes, links, found))
+    whole = components(links.union(own))
     return (rows.join(whole, F.col("doc_id") == F.col("id"), "left")
             .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))

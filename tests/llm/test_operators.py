@@ -664,3 +664,28 @@ def test_language_filter_without_any_label(spark):
     model = langid.fit(docs, F.lit(True))
     assert model.langs == []
     assert sorted(r.doc_id for r in langid.keep_identified(docs, model).collect()) == [0, 1, 5]
+
+
+def test_near_copies_part_in_lists_of_full_sets(spark, monkeypatch):
+    """A group of copies with more and more words replaced: most lie apart, and their long lists must not
+    come to blocks with all members."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(360):
+        own = list(words)
+        for at in rng.choice(150, i % 9, replace=False):
+            own[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    given, blocks = [], near_dups._blocks
+    monkeypatch.setattr(near_dups, "_blocks", lambda lists, *rest: given.append(lists.count()) or blocks(lists, *rest))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
+    assert len(set(root)) > 40 and sum(given) < 10 * len(rows)
