@@ -1,23 +1,25 @@
 """Licence scans by a trained paragraph classifier (operator 5).
 
 Word 1- and 2-grams of a paragraph go to a multinomial logistic regression over licence families
-and an unknown class. It is trained on variants of the families' notices and on paragraphs of the
-corpus; a probability bound is set on further paragraphs so that unknown ones stay unknown. What it
-identifies is confirmed by comparison with the family's notices. All steps are DataFrame operations.
+and an unknown class. It is trained on variants of the families' notices and on half of all
+paragraphs of the corpus; a probability bound is set on the other half so that unknown ones stay
+unknown. What it identifies is confirmed by comparison with the family's notices. The model knows the
+grams of the notices and their variants, so paragraphs that hold the same of them are one row with a
+weight, and the whole corpus trains it. All steps are DataFrame operations.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, SQLTransformer
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hash_share
+from .common import written
 
 #: Usual notices of the families.
 NOTICES = {
@@ -37,11 +39,9 @@ NOTICES = {
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
 }
 UNKNOWN = "unknown"
-#: Paragraphs of the corpus that train the unknown class, and that set the bound, about; documents they come from.
-PARAGRAPHS, DOCUMENTS = 4000, 1500
-VOCABULARY = 4096
-#: Weight of a family's notices in training, shared by their variants; any other paragraph weighs 1.
-FAMILY_WEIGHT = 300.0
+#: Weight of a family's notices in training, shared by their variants, for so many paragraphs of the
+#: corpus that train the unknown class, and at least; any other paragraph weighs 1.
+FAMILY_WEIGHT, PARAGRAPHS = 300.0, 4000
 #: Least share of the shorter of paragraph and notice in the other that confirms a family.
 CONFIRM = 0.6
 #: Limits of the bound on a family's probability.
@@ -83,18 +83,41 @@ def _variants(known: DataFrame) -> DataFrame:
 
 @dataclass
 class Scanner:
-    model: PipelineModel
+    model: LogisticRegressionModel
+    grams: CountVectorizerModel
     families: list[str]
     bound: float
 
 
-def _unlike(drawn: DataFrame, known: DataFrame) -> DataFrame:
-    """Paragraphs (text, h) that share less than half their pairs of words with every notice."""
-    pairs = drawn.withColumn("grams", bigrams(words(F.col("text")))).withColumn("n", F.size("grams")).withColumn("gram", F.explode("grams")).drop("grams")
-    of = known.select("number", F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    like = (pairs.join(F.broadcast(of), "gram").groupBy("text", "h", "number", "n", "m").agg(F.count(F.lit(1)).alias("both"))
-            .where(2 * F.col("both") >= F.least("n", "m")).select("text", "h").distinct())
-    return drawn.join(like, ["text", "h"], "left_anti")
+def _grams(w: Column, vocabulary: list[str]) -> Column:
+    """The distinct words and pairs of neighbouring words that are in the vocabulary, in order."""
+    one, two = [g for g in vocabulary if " " not in g], [g for g in vocabulary if " " in g]
+    fewer = F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(w, F.lit(1), fewer), F.slice(w, F.lit(2), fewer), lambda x, y: F.when(x.isin(one) & y.isin(one), F.concat_ws(" ", x, y)))
+    return F.sort_array(F.array_distinct(F.concat(F.filter(w, lambda x: x.isin(one)), F.filter(pairs, lambda x: x.isin(two)))))
+
+
+def _vocabulary(made: DataFrame) -> list[str]:
+    """Words and pairs of neighbouring words of the notices' variants."""
+    w = words(F.col("text"))
+    return sorted(r.gram for r in made.select(F.explode(F.concat(w, bigrams(w))).alias("gram")).distinct().collect())
+
+
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once for a row: a filter is not pushed into a generator, where it would
+    repeat their expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _unlike(rows: DataFrame, text: str, known: list, vocabulary: list[str]) -> DataFrame:
+    """The rows whose text shares less than half its pairs of words with every notice, with its words ``w``
+    and ``grams``. The vocabulary holds all pairs of the notices."""
+    rows = _once(rows, w=words(F.col(text)))
+    rows = _once(rows, grams=_grams(F.col("w"), vocabulary))
+    rows = _once(rows, pairs=F.filter("grams", lambda g: g.contains(" ")))
+    rows = _once(rows, n=F.when(F.size("pairs") > 0, F.size(bigrams(F.col("w")))))
+    like = [2 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, r.grams)))) >= F.least("n", F.lit(len(r.grams))) for r in known]
+    return rows.where((F.size("pairs") == 0) | ~functools.reduce(lambda x, y: x | y, like)).drop("pairs", "n")
 
 
 def _around(drawn: DataFrame, numbers: int) -> DataFrame:
@@ -103,46 +126,48 @@ def _around(drawn: DataFrame, numbers: int) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Scanner:
-    """Train on variants of the notices and on paragraphs of a bounded, hashed sample of ``docs``.
+    """Train on variants of the notices and on all paragraphs of ``docs``.
 
-    Half of the sample trains the unknown class, alone and around notices; the other half sets the
-    bound: the highest probability that a family gets among them. Without documents the unknown
-    class has only an empty paragraph.
+    Half of the paragraphs, by a hash of the text, trains the unknown class, alone and around notices;
+    the other half sets the bound: the highest probability that a family gets among them. Without
+    documents the unknown class has only an empty paragraph.
     """
     spark = docs.sparkSession
-    rate = DOCUMENTS / max(1, docs.count())
-    drawn = paragraphs(docs.where(hash_share(F.lit("licence"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) < rate))
-    drawn = drawn.select("text", F.xxhash64("text").alias("h")).distinct().orderBy("h", "text").limit(2 * PARAGRAPHS)
     known = notices(spark)
-    drawn = checkpointed(_unlike(drawn, known))
-    families = [UNKNOWN, *sorted(NOTICES)]
-    train = drawn.where("pmod(h, 2) = 0").select(F.lit(UNKNOWN).alias("family"), "text")
-    made = _variants(known)
-    count = sum(map(len, NOTICES.values()))
-    around = _around(drawn, 8 * count)
-    inside = around.join(F.broadcast(known), "number").select("family", F.concat_ws(" ", "other", "notice").alias("text"))
-    empty = spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.lit("").alias("text"))
+    rows, made = known.orderBy("number").collect(), _variants(known)  # fixed and few
+    families, vocabulary = [UNKNOWN, *sorted(NOTICES)], _vocabulary(made)
+    drawn = paragraphs(docs).select("text", F.xxhash64("text").alias("h"))
+    around = _around(drawn, 8 * len(rows)).join(F.broadcast(known.select("number", "family", "notice")), "number")
+    inside = _once(_unlike(around, "other", rows, vocabulary), both=F.concat("w", words(F.col("notice"))))
+    inside = inside.select(F.lit(0).alias("half"), "family", _grams(F.col("both"), vocabulary).alias("grams"))
+    alone = _unlike(drawn, "text", rows, vocabulary).select(F.pmod("h", F.lit(2)).cast("int").alias("half"), F.lit(UNKNOWN).alias("family"), "grams")
+    counted = written(alone.union(inside).groupBy("half", "family", "grams").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    size = counted.where((F.col("half") == 0) & (F.col("family") == UNKNOWN)).agg(F.sum("weight")).first()[0] or 0.0
+    share = FAMILY_WEIGHT * max(1.0, size / PARAGRAPHS)
+    empty = spark.range(1).select(F.lit(UNKNOWN).alias("family"), F.array().cast("array<string>").alias("grams"), F.lit(1.0).alias("weight"))
+    taught = made.select("family", _grams(words(F.col("text")), vocabulary).alias("grams"), (share / F.count(F.lit(1)).over(Window.partitionBy("family"))).alias("weight"))
+    train = counted.where("half = 0").select("family", "grams", "weight").union(empty).union(taught)
     label = F.array_position(F.array(*map(F.lit, families)), F.col("family")).cast("double") - 1
-    train = train.union(empty).union(inside).withColumn("weight", F.lit(1.0)).union(made.withColumn(
-        "weight", FAMILY_WEIGHT / F.count(F.lit(1)).over(Window.partitionBy("family"))))
-    train = checkpointed(train.withColumn("label", label).coalesce(2))  # a bounded sample, read once for each step
-    pipeline = Pipeline(stages=[
-        RegexTokenizer(inputCol="text", outputCol="one", pattern=r"[^\p{L}\p{N}]+"), NGram(n=2, inputCol="one", outputCol="two"),
-        SQLTransformer(statement="select *, concat(one, two) as grams from __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True),
-        LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", weightCol="weight")])
-    scanner = Scanner(pipeline.fit(train), families, LEAST_PROBABILITY)
-    wrong = _identified(drawn.where("pmod(h, 2) = 1"), scanner).where(F.col("family") != UNKNOWN).agg(F.max("probability")).first()[0]
+    of = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
+    regression = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial", weightCol="weight")
+    scanner = Scanner(regression.fit(of.transform(train.withColumn("label", label))), of, families, LEAST_PROBABILITY)
+    wrong = _judged(counted.where("half = 1").select("grams"), scanner).where(F.col("family") != UNKNOWN).agg(F.max("probability")).first()[0]
     scanner.bound = max(LEAST_PROBABILITY, min(wrong or 0.0, MOST_BOUND))
     return scanner
 
 
+def _judged(rows: DataFrame, scanner: Scanner) -> DataFrame:
+    """Adds family and probability to rows with ``grams``, and takes the model's own columns away."""
+    chances = _once(scanner.model.setRawPredictionCol("").transform(scanner.grams.transform(rows)), _p=vector_to_array("probability"))
+    best = F.array_max("_p")
+    family = F.element_at(F.array(*map(F.lit, scanner.families)), F.array_position("_p", best).cast("int"))
+    return chances.select(*rows.columns, family.alias("family"), best.alias("probability"))
+
+
 def _identified(rows: DataFrame, scanner: Scanner) -> DataFrame:
-    """Adds family and probability, and takes the model's own columns away."""
-    out = scanner.model.transform(rows)
-    family = F.element_at(F.array(*map(F.lit, scanner.families)), F.col("prediction").cast("int") + 1)
-    chance = F.element_at(vector_to_array("probability"), F.col("prediction").cast("int") + 1)
-    return out.select(*rows.columns, family.alias("family"), chance.alias("probability"))
+    """Adds family and probability to rows with a text."""
+    held = _once(_once(rows, _w=words(F.col("text"))), grams=_grams(F.col("_w"), scanner.grams.vocabulary)).drop("_w")
+    return _judged(held, scanner).drop("grams")
 
 
 def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:

@@ -689,3 +689,15 @@ def test_near_copies_part_in_lists_of_full_sets(spark, monkeypatch):
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
     assert len(set(root)) > 40 and sum(given) < 10 * len(rows)
+
+
+def test_license_training_takes_every_paragraph(spark, monkeypatch):
+    """The bound is set by paragraphs far beyond any sample: each row of the corpus counts."""
+    seen = []
+    fit = licenses.LogisticRegression.fit
+    monkeypatch.setattr(licenses.LogisticRegression, "fit", lambda self, df, *rest: seen.append(
+        df.where("family = 'unknown'").agg(F.sum("weight"), F.count(F.lit(1))).first()) or fit(self, df, *rest))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the version of number "), F.col("id").cast("string")).alias("text"))
+    licenses.fit(docs)
+    half = docs.where("pmod(xxhash64(text), 2) = 0").count()
+    assert seen[0][0] == half + 1 and seen[0][1] < 10
