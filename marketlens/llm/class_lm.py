@@ -36,8 +36,8 @@ CLASS_RATE, LEAST_CLASSES = 2.0, 15
 ENDING = 2
 #: Sweeps over the units, and over the words of the lexicon (each moves half of them).
 SWEEPS, WORD_SWEEPS = 6, 2
-#: Sums that a task holds before it sends them, and cells compared at once.
-HELD, CELLS = 1 << 20, 1 << 21
+#: Neighbours that a task holds before it sends their sums, and cells compared at once.
+HELD, CELLS = 1 << 21, 1 << 21
 #: Keys that the class bigrams are spread over.
 TABLE_PARTS = 64
 #: Weight of the class frequencies in the transition probabilities.
@@ -81,7 +81,10 @@ class Units:
         at = pc.fill_null(pc.index_in(words, value_set=self.lexicon), -1).to_numpy().astype(np.int64) if len(self.lexicon) else np.full(len(words), -1)
         unit = np.where(at >= 0, self.unit_of[at] if len(self.unit_of) else 0, self.n - 2)
         far = np.flatnonzero(at < 0)
-        unit[far] = [self.endings.get(w[-ENDING:], self.n - 2) for w in words.take(pa.array(far)).to_pylist()]
+        if len(far) and self.endings:
+            ends = pc.utf8_slice_codeunits(words.take(pa.array(far)), -ENDING)
+            which = pc.fill_null(pc.index_in(ends, value_set=pa.array(list(self.endings), pa.string())), -1).to_numpy()
+            unit[far] = np.append(np.fromiter(self.endings.values(), np.int64), self.n - 2)[which]
         return at, unit
 
     def stream(self, of_words: np.ndarray, at: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
@@ -193,13 +196,11 @@ def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, mov
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, of = shared()
         own, total = len(u.lexicon), np.zeros(k * k, np.int64)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([h[1] for h in held])).astype(np.int64)
-
-        def sums(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def sums() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
             return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys // (2 * k)), pa.array(keys % (2 * k)), pa.array(n)], names)
 
         for b in batches:
@@ -217,13 +218,11 @@ def neighbours(texts: DataFrame, units: Units, class_of: np.ndarray, k: int, mov
                     continue
                 total += np.bincount(c[:-1] * k + c[1:], minlength=k * k)
                 near = np.flatnonzero((s < own) & (s % moving[1] == moving[0]))
-                held.append(np.unique(np.concatenate([s[near] * 2 * k + c[near - 1], s[near] * 2 * k + k + c[near + 1]]), return_counts=True))
-                if sum(len(h[0]) for h in held) > HELD:
-                    held = [merged()]
-                    if len(held[0][0]) > HELD // 2:
-                        yield sums(*held.pop())
+                held += [s[near] * 2 * k + c[near - 1], s[near] * 2 * k + k + c[near + 1]]
+                if sum(map(len, held)) > HELD:
+                    yield sums()
         if held:
-            yield sums(*merged())
+            yield sums()
         cells = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.nulls(len(cells), pa.string()), pa.array(-1 - cells % TABLE_PARTS), pa.array(cells), pa.array(total[cells])], names)
 
@@ -243,6 +242,20 @@ def _bigrams_of(found: DataFrame, k: int) -> np.ndarray:
     return _dense(found.where("place < 0").select(F.inline("found")), k)
 
 
+def _summed(rows: np.ndarray, at: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each word the sum of rows[at] over its ``sizes`` places from ``first`` on, at least one.
+
+    The words' first rows are added, then their second ones, and so on; longer words come first.
+    """
+    order = np.argsort(-sizes, kind="stable")
+    start, out = first[order], np.empty((len(first), rows.shape[1]))
+    total = rows[at[start]]
+    for j, m in enumerate(np.searchsorted(-sizes[order], -np.arange(1, sizes.max())).tolist(), 1):
+        total[:m] += rows[at[start[:m] + j]]
+    out[order] = total
+    return out
+
+
 def best_classes(table: np.ndarray, starts: np.ndarray, cell: np.ndarray, n: np.ndarray, old: np.ndarray | None) -> np.ndarray:
     """The class in which the class bigrams are likeliest, for words with the class counts cell, n.
 
@@ -252,41 +265,47 @@ def best_classes(table: np.ndarray, starts: np.ndarray, cell: np.ndarray, n: np.
     """
     k, out = len(table), np.zeros(len(starts) - 1, np.int64)
     rows, cols, both = table.sum(axis=1), table.sum(axis=0), np.concatenate([table, table.T])
+    both_log, d = _xlogx(both), table.diagonal()
     lo = 0
     while lo < len(out):
         hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + CELLS // k, side="right")) - 1)
         part = slice(starts[lo], starts[hi])
-        of = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+        first, sizes = starts[lo:hi] - starts[lo], np.diff(starts[lo : hi + 1])
+        cells, times, every = cell[part], n[part].astype(float), np.arange(hi - lo)
+        of = np.repeat(every, sizes)
         # equal counts of equal classes gain alike in every word: each such row is computed once
-        kinds, alike = np.unique(n[part] * 2 * k + cell[part], return_inverse=True)
-        base = both[kinds % (2 * k)]
-        gain = np.add.reduceat((_xlogx(base + (kinds // (2 * k))[:, None]) - _xlogx(base))[alike], starts[lo:hi] - starts[lo], axis=0)
-        times, every = n[part].astype(float), np.arange(hi - lo)
-        counts = np.zeros((hi - lo, 2 * k))
-        counts[of, cell[part]] = times
-        left, right = counts[:, :k], counts[:, k:]
-        before_n, after_n = left.sum(axis=1), right.sum(axis=1)
-        # the cell of a class with itself gets the words before and after at once
-        d = table.diagonal()
-        gain += _xlogx(d + left + right) - _xlogx(d + left) - _xlogx(d + right) + _xlogx(d)
-        r, q = np.tile(rows, (hi - lo, 1)), np.tile(cols, (hi - lo, 1))
+        kinds, alike = np.unique(n[part] * 2 * k + cells, return_inverse=True)
+        at = kinds % (2 * k)
+        gain = _summed(_xlogx(both[at] + (kinds // (2 * k))[:, None]) - both_log[at], alike, first, sizes)
+        before_n, after_n = np.add.reduceat(times * (cells < k), first), np.add.reduceat(times * (cells >= k), first)
+        # and so do equal numbers of words before, or after
+        for sums, more in ((cols, before_n), (rows, after_n)):
+            if more.any():
+                kinds, alike = np.unique(more, return_inverse=True)
+                gain -= (_xlogx(sums + kinds[:, None]) - _xlogx(sums))[alike]
+        if old is not None or after_n.any():
+            counts = np.zeros((hi - lo, 2 * k))
+            counts[of, cells] = times
+            left, right = counts[:, :k], counts[:, k:]
+            # the cell of a class with itself gets the words before and after at once
+            w, c = np.nonzero((left > 0) & (right > 0))
+            x, y = left[w, c], right[w, c]
+            gain[w, c] += _xlogx(d[c] + x + y) - _xlogx(d[c] + x) - _xlogx(d[c] + y) + _xlogx(d[c])
         if old is not None:
             was = old[lo:hi]
             # cells of the old class without the word: those that the word leaves behind
-            for side, other, cells in ((left, right, table), (right, left, table.T)):
+            for side, other, all_cells in ((left, right, table), (right, left, table.T)):
                 at = np.flatnonzero(side[every, was])
-                times_at, all_, rest = side[at, was[at]][:, None], cells[was[at]], np.maximum(cells[was[at]] - other[at], 0)
+                times_at, all_, rest = side[at, was[at]][:, None], all_cells[was[at]], np.maximum(all_cells[was[at]] - other[at], 0)
                 gain[at] += _xlogx(rest + times_at) - _xlogx(rest) - _xlogx(all_ + times_at) + _xlogx(all_)
             # and those that it would come back to
-            away = cell[part] % k != was[of]
-            less = np.maximum(both[cell[part], was[of]] - times, 0)
+            away = cells % k != was[of]
+            less = np.maximum(both[cells, was[of]] - times, 0)
             own = left[every, was] + right[every, was]
             own_less = np.maximum(d[was] - own, 0)
-            gain[every, was] = np.bincount(of, (_xlogx(less + times) - _xlogx(less)) * away, hi - lo) + _xlogx(own_less + own) - _xlogx(own_less)
-            r[every, was] -= after_n
-            q[every, was] -= before_n
-        r, q = np.maximum(r, 0), np.maximum(q, 0)
-        gain -= _xlogx(r + after_n[:, None]) - _xlogx(r) + _xlogx(q + before_n[:, None]) - _xlogx(q)
+            r, q = np.maximum(rows[was] - after_n, 0), np.maximum(cols[was] - before_n, 0)
+            gain[every, was] = (np.bincount(of, (_xlogx(less + times) - _xlogx(less)) * away, hi - lo) + _xlogx(own_less + own) - _xlogx(own_less)
+                                - (_xlogx(r + after_n) - _xlogx(r) + _xlogx(q + before_n) - _xlogx(q)))
         gain[:, 0] = -np.inf
         new = gain.argmax(axis=1)
         if old is not None:

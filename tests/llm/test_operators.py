@@ -232,6 +232,41 @@ def test_best_class_is_the_likeliest(counted, monkeypatch):
         assert rows.min() >= 0 and scores[got[w] - 1] == pytest.approx(max(scores), abs=1e-9)
 
 
+@pytest.mark.parametrize("counted", [True, False])
+def test_class_choice_computes_equal_counts_once(counted, monkeypatch):
+    """The logarithms follow the different counts, not the words; all words alike get one class."""
+    k, words, done, plain_log = 20, 3000, [], class_lm._xlogx
+    table = np.random.default_rng(7).poisson(50, (k, k)).astype(float)
+    cell, n = np.tile([3, 7, k + 2, k + 9] if counted else [3, 7, 8, 9], words), np.tile([1, 2, 1, 2], words)
+
+    def counting(x):
+        done.append(np.size(x))
+        return plain_log(x)
+
+    monkeypatch.setattr(class_lm, "_xlogx", counting)
+    got = class_lm.best_classes(table, np.arange(0, 4 * words + 1, 4), cell, n, np.full(words, 5) if counted else None)
+    assert len(set(got.tolist())) == 1 and got[0] > 0
+    assert sum(done) < words * k
+
+
+def test_rows_added_up_by_word():
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 9, 50)
+    first, rows = np.cumsum(sizes) - sizes, rng.integers(0, 100, (30, 4)).astype(float)
+    at = rng.integers(0, 30, sizes.sum())
+    assert (class_lm._summed(rows, at, first, sizes) == np.add.reduceat(rows[at], first, axis=0)).all()
+
+
+@pytest.mark.parametrize("endings", [{}, {"x": 2, "\u00e9x": 4, "\u672c\u8a9e": 3}])
+def test_units_of_words(endings):
+    units = class_lm.Units(pa.array(["a", "pq"]), np.array([3, 2]), np.arange(2), endings, 7)
+    words = ["a", "z\u00e9x", "x", "yx", "\u65e5\u672c\u8a9e", "pq", "z\u00e9x", "\U0001f600"]
+    at, unit = units.lookup(pa.array(words, pa.string()))
+    assert at.tolist() == [{"a": 0, "pq": 1}.get(w, -1) for w in words]
+    assert unit.tolist() == [{"a": 0, "pq": 1}.get(w, endings.get(w[-2:], 5)) for w in words]
+    assert [x.tolist() for x in units.lookup(pa.array([], pa.string()))] == [[], []]
+
+
 def test_class_lm_counts_beside_words(spark):
     """Counts of classes and classes of rare words against plain Python, with a lexicon that holds half of the words."""
     texts = ["a b a c x", "b c y d", "a a b x", "d e f a y z", ""]
